@@ -1,6 +1,6 @@
 """SimHash near-duplicates through a segment-popcount embedding.
 
-A 64-bit fingerprint is embedded as the bit counts of its 16 segments of four
+A 64-bit fingerprint is embedded as the bit counts of its 32 segments of two
 bits.  Changing one bit changes one count by one, so the Manhattan distance of
 two embeddings is a lower bound of the Hamming distance.  The range join under
 that bound runs on the integer grid of embeddings: every fingerprint is placed
@@ -29,7 +29,7 @@ from tickloom.llm.components import components
 SEED = 42
 SHINGLE = 3
 MAX_DISTANCE = 2
-_NIBBLE_ONES = 0x1111111111111111
+_EVEN = 0x5555555555555555
 
 
 def fingerprint(text: str | None) -> int:
@@ -58,25 +58,30 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprint_batches, "doc_id long, fp long")
 
 
+def _signed(x: int):
+    return F.lit(x - (1 << 64) if x >> 63 else x).cast("long")
+
+
 def _grid_cells(fp):
-    """The cell of the embedding, four bits a segment, and those one step away."""
-    v = sum((F.shiftrightunsigned(fp, i).bitwiseAND(F.lit(_NIBBLE_ONES)) for i in range(1, 4)), fp.bitwiseAND(F.lit(_NIBBLE_ONES)))
+    """The cell of the embedding, two bits a segment, and those one step away."""
+    a, b = fp.bitwiseAND(_signed(_EVEN)), F.shiftrightunsigned(fp, 1).bitwiseAND(_signed(_EVEN))
+    v = F.shiftleft(a.bitwiseAND(b), 1).bitwiseOR(a.bitwiseXOR(b))
     cells = [v]
-    for i in range(16):
-        count = F.shiftrightunsigned(v, 4 * i).bitwiseAND(F.lit(15))
-        step = F.lit(1 << (4 * i)).cast("long")
-        cells += [F.when(count < 4, v + step), F.when(count > 0, v - step)]
+    for i in range(32):
+        count = F.shiftrightunsigned(v, 2 * i).bitwiseAND(F.lit(3))
+        cells += [F.when(count < 2, v.bitwiseXOR(_signed(1 << 2 * i))), F.when(count > 0, v.bitwiseXOR(_signed(3 << 2 * i)))]
     return F.array(*cells)
 
 
 def _within_one_bit(fp):
-    flips = [F.lit((1 << i) - (1 << 64 if i == 63 else 0)).cast("long") for i in range(64)]
-    return F.array(fp, *(fp.bitwiseXOR(f) for f in flips))
+    return F.array(fp, *(fp.bitwiseXOR(_signed(1 << i)) for i in range(64)))
 
 
 def link_edges(fps: DataFrame) -> DataFrame:
     """Distinct ``fp`` → star edges (a, b), all of them true links, that join
     exactly the fingerprints reachable by links of two bits or fewer."""
+    spark = fps.sparkSession
+    fps = fps.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # few bytes, but each row makes many
     placed = fps.select("fp", F.explode(_grid_cells(F.col("fp"))).alias("cell")).filter("cell is not null")
     shared = placed.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo < hi").select("cell")
     near = placed.join(shared, "cell", "left_semi").select("fp").distinct()
