@@ -56,7 +56,7 @@ def factor_tests(df: DataFrame, ids: Sequence[str], factors: Sequence[str], targ
     by = ["factor", "target"]
     d = long_form(df, ids, factors, targets).dropna(subset=["x", "y"])
     p, s = pearson(d, "x", "y", by), spearman(d, "x", "y", by).drop("n")
-    b = equal_buckets(d, "x", by, ids, k).groupBy(*by).agg(F.avg(F.when(F.col("bucket") == 0, F.col("y"))).alias("low_mean"), F.avg(F.when(F.col("bucket") == k - 1, F.col("y"))).alias("high_mean"), F.avg((F.col("y") > 0).cast("double")).alias("positive_rate"))
+    b = equal_buckets(d, "x", by, [*ids, "y"], k).groupBy(*by).agg(F.avg(F.when(F.col("bucket") == 0, F.col("y"))).alias("low_mean"), F.avg(F.when(F.col("bucket") == k - 1, F.col("y"))).alias("high_mean"), F.avg((F.col("y") > 0).cast("double")).alias("positive_rate"))
     return p.join(s, by).join(b, by).filter(F.col("n") >= least).withColumn("spread", F.col("high_mean") - F.col("low_mean"))
 
 

@@ -457,11 +457,11 @@ def lbl_08_triple_barrier(spark, d):
     return x.select("tx", "log_index", label.alias("label"))
 
 
-@query(f"{SW} SELECT tx, log_index, CAST(c AS INTEGER) AS slippage_bps, round(CASE direction WHEN 'buy_base' THEN 1 WHEN 'sell_base' THEN -1 ELSE 0 END * (lead(price, 5) OVER (PARTITION BY pool, c ORDER BY ts, tx, log_index) / price - 1) * 1e4 - 2 * fee * 100 - 2 * c, 6) AS net_bps FROM swaps CROSS JOIN (VALUES (0), (5), (20)) v(c)")
+@query(f"{SW} SELECT tx, log_index, CAST(c AS INTEGER) AS slippage_bps, round(CASE direction WHEN 'buy_base' THEN 1 WHEN 'sell_base' THEN -1 ELSE 0 END * (lead(price, 5) OVER (PARTITION BY pool, c ORDER BY ts, tx, log_index) / price - 1) * 1e4 - 2 * fee * 100 - 2 * c, 6) + 0.0 AS net_bps FROM swaps CROSS JOIN (VALUES (0), (5), (20)) v(c)")
 def lbl_15_net_labels(spark, d):
     gross = S.side_sign(F.col("direction")) * (S.safe_div(F.lead("price", 5).over(EVENT), F.col("price")) - 1) * 1e4
     x = swaps(spark, d).withColumn("gross", gross).withColumn("slippage_bps", F.explode(F.array(*map(F.lit, (0, 5, 20)))))
-    return x.select("tx", "log_index", "slippage_bps", r(F.col("gross") - 2 * F.col("fee") * 100 - 2 * F.col("slippage_bps"), "net_bps"))
+    return x.select("tx", "log_index", "slippage_bps", (F.round(F.col("gross") - 2 * F.col("fee") * 100 - 2 * F.col("slippage_bps"), 6) + 0.0).alias("net_bps"))
 
 
 # -- factors and controls ----------------------------------------------------
@@ -495,7 +495,7 @@ def fac_07_qcut(spark, d):
 
 
 @query(f"""{_X}, l AS (SELECT tx, log_index, factor, v AS x, fwd AS y FROM x, LATERAL (VALUES ('size', size), ('fee', fee)) t(factor, v) WHERE fwd IS NOT NULL),
- k AS (SELECT *, rank() OVER (PARTITION BY factor ORDER BY x) + (count(*) OVER (PARTITION BY factor, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY factor ORDER BY y) + (count(*) OVER (PARTITION BY factor, y) - 1) / 2.0 AS ry, CAST(floor((row_number() OVER (PARTITION BY factor ORDER BY x, tx, log_index) - 1) * 3 / count(*) OVER (PARTITION BY factor)) AS INTEGER) AS b FROM l)
+ k AS (SELECT *, rank() OVER (PARTITION BY factor ORDER BY x) + (count(*) OVER (PARTITION BY factor, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY factor ORDER BY y) + (count(*) OVER (PARTITION BY factor, y) - 1) / 2.0 AS ry, CAST(floor((row_number() OVER (PARTITION BY factor ORDER BY x, tx, log_index, y) - 1) * 3 / count(*) OVER (PARTITION BY factor)) AS INTEGER) AS b FROM l)
  SELECT factor, 'fwd' AS target, count(*) AS n, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman, round(avg(y) FILTER (b = 2) - avg(y) FILTER (b = 0), 6) AS spread FROM k GROUP BY factor""")
 def fac_09_factor_tests(spark, d):
     t = FA.factor_tests(_panel(spark, d), ["tx", "log_index"], ["size", "fee"], ["fwd"])
@@ -556,7 +556,7 @@ def pf_12_pareto(spark, d):
     return v.withColumn("best", F.max("worst").over(w)).filter("best is null or worst > best").select("pool")
 
 
-@query(f"{SW} SELECT pool, tx, log_index, quote, CAST(row_number() OVER w AS INTEGER) AS place FROM swaps QUALIFY row_number() OVER w <= 3 WINDOW w AS (PARTITION BY pool ORDER BY quote DESC, tx, log_index)")
+@query(f"{SW} SELECT pool, tx, log_index, quote, CAST(row_number() OVER w AS INTEGER) AS place FROM swaps WINDOW w AS (PARTITION BY pool ORDER BY quote DESC, tx, log_index) QUALIFY row_number() OVER w <= 3")
 def srt_03_top_k_per_group(spark, d):
     w = Window.partitionBy("pool").orderBy(F.desc("quote"), "tx", "log_index")
     return swaps(spark, d).withColumn("place", F.row_number().over(w)).filter("place <= 3").select("pool", "tx", "log_index", "quote", "place")
