@@ -27,6 +27,9 @@ GAP_COST = 0.05
 MIN_WORDS = 50
 MIN_IDENTITY = 0.8
 PAD = 40
+#: widest stretch of words without a repeated seed inside one passage
+MAX_GAP = 40
+BATCH_ROWS = 500
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _cache: dict[str, int] = {}
 
@@ -36,7 +39,7 @@ def words_of(text: str | None) -> list[str]:
 
 
 def _word_hashes(words: list[str]) -> np.ndarray:
-    if len(_cache) > 1_000_000:
+    if len(_cache) > 300_000:
         _cache.clear()
     try:
         return np.fromiter((_cache[w] for w in words), np.uint64, len(words))
@@ -153,7 +156,7 @@ def _slice_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         text, words, out = None, [], []
         for s, e, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
             t = t.as_py()
-            if t is not text:
+            if t != text:  # the rows of a document come one after another
                 text, words = t, words_of(t)
             out.append(" ".join(words[max(0, s - PAD) : e + PAD]))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.string())], names=["doc_id", "s", "e", "words"])
@@ -166,17 +169,26 @@ def extend(x: list[str], y: list[str], i: int, j: int, drop: int = 8, reach: int
     score = best = same = 0
     end = (i, j, 0)
     while i < len(x) and j < len(y) and score > best - drop:
+        while x[i : i + 64] == y[j : j + 64] and i + 64 <= len(x) and j + 64 <= len(y):
+            i, j, same, score = i + 64, j + 64, same + 64, score + 64
+        if score > best:
+            best, end = score, (i, j, same)
+        if i == len(x) or j == len(y):
+            break
         if x[i] == y[j]:
             i, j, same, score = i + 1, j + 1, same + 1, score + 1
             if score > best:
                 best, end = score, (i, j, same)
             continue
-        for skip in range(1, reach):
-            step = next(((p, skip - p) for p in sorted(range(skip + 1), key=lambda p: abs(2 * p - skip)) if x[i + p : i + p + 2] and x[i + p : i + p + 2] == y[j + skip - p : j + skip - p + 2]), None)
-            if step:
-                break
-        else:
-            step = (1, 1)
+        ahead: dict[tuple[str, str], int] = {}
+        for p in range(min(reach, len(x) - i - 1)):
+            ahead.setdefault((x[i + p], x[i + p + 1]), p)
+        step = (1, 1)
+        best_skip = reach
+        for q in range(min(reach, len(y) - j - 1)):
+            p = ahead.get((y[j + q], y[j + q + 1]))
+            if p is not None and p + q < best_skip:
+                best_skip, step = p + q, (p, q)
         i, j, score = i + step[0], j + step[1], score - max(step)
     return end
 
@@ -192,23 +204,32 @@ def _align_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     names = ["doc_id", "start", "end", "partner", "p_start", "p_end", "matched"]
     for b in batches:
         out = []
-        cols = [b.column(k).to_pylist() for k in range(6)]
-        for doc, d0, anchor, a0, x, y in zip(*cols, strict=True):
+        cols = [b.column(k).to_pylist() for k in range(4)]
+        for doc, d0, anchor, a0, x, y in zip(*cols, b.column(4), b.column(5), strict=True):
+            x, y = x.as_py(), y.as_py()
             xo, yo = max(0, d0 - PAD), max(0, a0 - PAD)
             s, e, ps, pe, same = align(x.split(), y.split(), d0 - xo, a0 - yo)
             out.append((doc, s + xo, e + xo, anchor, ps + yo, pe + yo, same))
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 7)], names=names)
 
 
-def shared_pairs(docs: DataFrame, min_identity: float = MIN_IDENTITY) -> DataFrame:
+def shared_pairs(docs: DataFrame, min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY) -> DataFrame:
     """Aligned passages of pairs: doc_id, start, end, partner, p_start, p_end,
     matched; positions count words from 0, ends exclusive."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     seeds = materialise(docs.mapInArrow(_seed_batches, "h long, doc_id long, pos int"))
     repeated = seeds.groupBy("h").agg(F.min("doc_id").alias("anchor"), F.max("doc_id").alias("last")).filter("anchor < last").select("h", "anchor")
     held = materialise(seeds.join(repeated, "h"))
+    # a document's repeated seeds fall into runs; one too short, with all the
+    # words that can lie beside its outer seeds, is no passage by any partner
+    in_order = Window.partitionBy("doc_id").orderBy("pos", "h")
+    fresh = (F.col("pos") - F.lag("pos").over(in_order) > MAX_GAP).cast("int")
+    runs = held.withColumn("run", F.sum(F.coalesce(fresh, F.lit(0))).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy("doc_id", "run")
+    reach = F.max("pos").over(whole) - F.min("pos").over(whole) + K + 2 * (WINNOW - 1)
+    long_runs = runs.withColumn("reach", reach).filter(F.col("reach") >= min_words)
     at = held.filter("doc_id = anchor").groupBy("h").agg(F.min("pos").alias("apos"))
-    links = held.filter("doc_id != anchor").join(at, "h").select("doc_id", "anchor", "pos", "apos")
+    links = long_runs.filter("doc_id != anchor").join(at, "h").select("doc_id", "anchor", "pos", "apos")
     chained = links.repartition("doc_id", "anchor").sortWithinPartitions("doc_id", "anchor", "pos", "apos")
     found = materialise(chained.mapInArrow(_chain_batches, "doc_id long, d0 long, d1 long, anchor long, a0 long, a1 long").distinct())
     ends = found.select("doc_id", F.col("d0").alias("s"), F.col("d1").alias("e")).union(found.select("anchor", "a0", "a1")).distinct()
@@ -232,7 +253,14 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_identity:
     Null ids and texts take no part; repeats inside one document or id do not
     count; an empty table gives an empty result.
     """
-    pairs = materialise(shared_pairs(docs, min_identity))
+    # batches of whole texts for Python stay small, however long the texts are
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(BATCH_ROWS))
+    try:
+        pairs = materialise(shared_pairs(docs, min_words, min_identity))
+    finally:
+        conf.set(key, before)
     sides = pairs.select("doc_id", "start", "end", "partner").union(pairs.select(F.col("partner"), F.col("p_start"), F.col("p_end"), F.col("doc_id")))
     spans = sides.groupBy("doc_id", "start", "end").agg(F.min("partner").alias("partner"))
     # spans of one start reduce to the longest before any document is gathered
