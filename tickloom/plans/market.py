@@ -19,12 +19,18 @@ from tickloom.sources.tables import SWAPS_SQL, TICKS_SQL, micros, scan, swaps, t
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 KEY = ["ts", "tx", "log_index"]
-EVENT = Window.partitionBy("pool").orderBy(*KEY)
 SW = f"WITH {SWAPS_SQL}"
 TK = f"WITH {TICKS_SQL}"
 ORD = "PARTITION BY pool ORDER BY ts, tx, log_index"
 TORD = "PARTITION BY symbol ORDER BY ts_us, event_id"
-TICK = Window.partitionBy("symbol").orderBy("ts_us", "event_id")
+
+
+def _event():
+    return Window.partitionBy("pool").orderBy(*KEY)
+
+
+def _tick():
+    return Window.partitionBy("symbol").orderBy("ts_us", "event_id")
 
 
 def query(sql: str | None = None):
@@ -282,39 +288,39 @@ def agg_25_trade_structure(spark, d):
 
 @query(f"{SW} SELECT tx, log_index, lag(price) OVER w AS prev_price, lead(price) OVER w AS next_price, CAST(epoch_us(ts) - epoch_us(lag(ts) OVER w) AS BIGINT) AS gap_us FROM swaps WINDOW w AS ({ORD})")
 def win_01_lag_lead(spark, d):
-    return swaps(spark, d).select("tx", "log_index", F.lag("price").over(EVENT).alias("prev_price"), F.lead("price").over(EVENT).alias("next_price"), (micros("ts") - F.lag(micros("ts")).over(EVENT)).alias("gap_us"))
+    return swaps(spark, d).select("tx", "log_index", F.lag("price").over(_event()).alias("prev_price"), F.lead("price").over(_event()).alias("next_price"), (micros("ts") - F.lag(micros("ts")).over(_event())).alias("gap_us"))
 
 
 @query(f"{SW} SELECT tx, log_index, round(ln(price / last_value(price IGNORE NULLS) OVER ({ORD} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 9) AS ret FROM swaps")
 def win_02_log_return(spark, d):
-    return swaps(spark, d).select("tx", "log_index", r(W.log_return(F.col("price"), EVENT), "ret", 9))
+    return swaps(spark, d).select("tx", "log_index", r(W.log_return(F.col("price"), _event()), "ret", 9))
 
 
 @query(f"{SW} SELECT tx, log_index, round(sum(CASE direction WHEN 'buy_base' THEN quote WHEN 'sell_base' THEN -quote ELSE 0 END) OVER f, 4) AS net_flow, round(sum(quote) OVER f, 4) AS volume, CASE WHEN count(price) OVER f >= 2 THEN round(stddev_pop(price) OVER f, 6) END AS std FROM swaps WINDOW f AS ({ORD} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)")
 def win_03_past_rolling(spark, d):
-    f = W.rows(EVENT, -20, -1)
-    return swaps(spark, d).select("tx", "log_index", r(F.sum(S.side_sign(F.col("direction")) * F.col("quote")).over(f), "net_flow", 4), r(F.sum("quote").over(f), "volume", 4), r(W.past_std(F.col("price"), EVENT, 20), "std"))
+    f = W.rows(_event(), -20, -1)
+    return swaps(spark, d).select("tx", "log_index", r(F.sum(S.side_sign(F.col("direction")) * F.col("quote")).over(f), "net_flow", 4), r(F.sum("quote").over(f), "volume", 4), r(W.past_std(F.col("price"), _event(), 20), "std"))
 
 
 @query(f"{SW}, x AS (SELECT *, ln(price / lag(price) OVER ({ORD})) AS ret FROM swaps) SELECT tx, log_index, CASE WHEN count(ret) OVER f >= 15 THEN round(sqrt(sum(ret * ret) OVER f), 9) END AS rv FROM x WINDOW f AS ({ORD} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)")
 def win_04_realised_vol(spark, d):
-    x = swaps(spark, d).withColumn("ret", W.log_return(F.col("price"), EVENT))
-    return x.select("tx", "log_index", r(W.realised_vol(F.col("ret"), EVENT, 30), "rv", 9))
+    x = swaps(spark, d).withColumn("ret", W.log_return(F.col("price"), _event()))
+    return x.select("tx", "log_index", r(W.realised_vol(F.col("ret"), _event(), 30), "rv", 9))
 
 
 @query(f"{SW} SELECT tx, log_index, CASE WHEN count(price) OVER f >= 5 AND stddev_pop(price) OVER f > 0 THEN round((price - avg(price) OVER f) / stddev_pop(price) OVER f, 6) END AS z FROM swaps WINDOW f AS ({ORD} ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)")
 def win_07_zscore(spark, d):
-    return swaps(spark, d).select("tx", "log_index", r(W.zscore(F.col("price"), EVENT, 30), "z"))
+    return swaps(spark, d).select("tx", "log_index", r(W.zscore(F.col("price"), _event(), 30), "z"))
 
 
 @query(f"{SW} SELECT tx, log_index, CASE WHEN count(price) OVER f >= 5 THEN round((price - quantile_cont(price, 0.5) OVER f) / greatest(quantile_cont(price, 0.75) OVER f - quantile_cont(price, 0.25) OVER f, 1e-9), 6) END AS z FROM swaps WINDOW f AS ({ORD} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)")
 def win_09_robust_z(spark, d):
-    return swaps(spark, d).select("tx", "log_index", r(W.robust_z(F.col("price"), EVENT, 20), "z"))
+    return swaps(spark, d).select("tx", "log_index", r(W.robust_z(F.col("price"), _event(), 20), "z"))
 
 
 @query(f"{SW} SELECT tx, log_index, CASE WHEN count(*) OVER f >= 30 THEN round(regr_slope(quote, base) OVER f, 6) END AS beta, CASE WHEN count(*) OVER f >= 30 THEN round(corr(quote, base) OVER f, 6) END AS corr FROM swaps WINDOW f AS ({ORD} ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)")
 def win_10_rolling_beta(spark, d):
-    beta, corr = W.rolling_beta(F.col("quote"), F.col("base"), EVENT, 60)
+    beta, corr = W.rolling_beta(F.col("quote"), F.col("base"), _event(), 60)
     return swaps(spark, d).select("tx", "log_index", r(beta, "beta"), r(corr, "corr"))
 
 
@@ -344,7 +350,7 @@ def win_19_run_length(spark, d):
 
 @query(f"{TK}, x AS (SELECT *, price - lag(price) OVER ({TORD}) AS ch FROM ticks), s AS (SELECT *, sum(coalesce(ch - 0.5, 0)) OVER ({TORD}) AS s FROM x) SELECT event_id, round(s - least(0, min(s) OVER ({TORD})), 6) AS cusum FROM s")
 def win_27_cusum(spark, d):
-    x = ticks(spark, d).withColumn("ch", F.col("price") - F.lag("price").over(TICK))
+    x = ticks(spark, d).withColumn("ch", F.col("price") - F.lag("price").over(_tick()))
     return W.cusum(x, "ch", ["symbol"], ["ts_us", "event_id"], 0.5, 50.0).select("event_id", r("cusum", "cusum"))
 
 
@@ -365,13 +371,13 @@ def win_30_hysteresis(spark, d):
 
 @query(f"{TK}, x AS (SELECT *, price - lag(price) OVER ({TORD}) AS ch FROM ticks), a AS (SELECT event_id, count(ch) OVER f AS c, avg(greatest(ch, 0)) FILTER (ch IS NOT NULL) OVER f AS u, avg(greatest(-ch, 0)) FILTER (ch IS NOT NULL) OVER f AS dn FROM x WINDOW f AS ({TORD} ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)) SELECT event_id, round(CASE WHEN c = 0 THEN 50.0 WHEN dn = 0 THEN CASE WHEN u = 0 THEN 50.0 ELSE 100.0 END ELSE 100 - 100 / (1 + u / dn) END, 6) AS rsi FROM a")
 def win_33_rsi(spark, d):
-    x = ticks(spark, d).withColumn("ch", F.col("price") - F.lag("price").over(TICK))
-    return x.select("event_id", r(W.rsi(F.col("ch"), TICK, 14), "rsi"))
+    x = ticks(spark, d).withColumn("ch", F.col("price") - F.lag("price").over(_tick()))
+    return x.select("event_id", r(W.rsi(F.col("ch"), _tick(), 14), "rsi"))
 
 
 @query(f"{SW} SELECT tx, log_index, min(price) OVER f AS swing_low, max(price) OVER f AS swing_high FROM swaps WINDOW f AS ({ORD} ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)")
 def win_35_swing(spark, d):
-    f = W.rows(EVENT, -60, -1)
+    f = W.rows(_event(), -60, -1)
     return swaps(spark, d).select("tx", "log_index", F.min("price").over(f).alias("swing_low"), F.max("price").over(f).alias("swing_high"))
 
 
@@ -425,17 +431,17 @@ def grd_15_even_sample(spark, d):
 
 @query(f"{SW} SELECT tx, log_index, round(lead(price, 5) OVER ({ORD}) / price - 1, 9) AS ret FROM swaps")
 def lbl_01_forward_return(spark, d):
-    return swaps(spark, d).select("tx", "log_index", r(S.safe_div(F.lead("price", 5).over(EVENT), F.col("price")) - 1, "ret", 9))
+    return swaps(spark, d).select("tx", "log_index", r(S.safe_div(F.lead("price", 5).over(_event()), F.col("price")) - 1, "ret", 9))
 
 
 @query(f"{SW} SELECT tx, log_index, round(lead(price, 6) OVER w / lead(price, 1) OVER w - 1, 9) AS ret FROM swaps WINDOW w AS ({ORD})")
 def lbl_02_entry_gap_return(spark, d):
-    return swaps(spark, d).select("tx", "log_index", r(S.safe_div(F.lead("price", 6).over(EVENT), F.lead("price", 1).over(EVENT)) - 1, "ret", 9))
+    return swaps(spark, d).select("tx", "log_index", r(S.safe_div(F.lead("price", 6).over(_event()), F.lead("price", 1).over(_event())) - 1, "ret", 9))
 
 
 @query(f"{SW} SELECT tx, log_index, round(max(price) OVER f / price - 1, 9) AS mfe, round(min(price) OVER f / price - 1, 9) AS mae FROM swaps WINDOW f AS ({ORD} ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING)")
 def lbl_04_excursions(spark, d):
-    f = W.rows(EVENT, 1, 10)
+    f = W.rows(_event(), 1, 10)
     return swaps(spark, d).select("tx", "log_index", r(F.max("price").over(f) / F.col("price") - 1, "mfe", 9), r(F.min("price").over(f) / F.col("price") - 1, "mae", 9))
 
 
@@ -449,7 +455,7 @@ def lbl_05_forward_extremes(spark, d):
  y AS (SELECT tx, log_index, len(path) AS m, list_position(list_transform(path, lambda p: p / price - 1 >= 0.05), true) AS up, list_position(list_transform(path, lambda p: p / price - 1 <= -0.05), true) AS dn FROM x)
  SELECT tx, log_index, CASE WHEN up IS NOT NULL AND (dn IS NULL OR up < dn) THEN 'upper' WHEN dn IS NOT NULL THEN 'lower' WHEN coalesce(m, 0) < 12 THEN 'future_missing' ELSE 'none' END AS label FROM y""")
 def lbl_08_triple_barrier(spark, d):
-    path = F.collect_list("price").over(W.rows(EVENT, 1, 12))
+    path = F.collect_list("price").over(W.rows(_event(), 1, 12))
     x = swaps(spark, d).select("tx", "log_index", "price", path.alias("path"))
     up = F.array_position(F.transform("path", lambda p: p / F.col("price") - 1 >= 0.05), True)
     down = F.array_position(F.transform("path", lambda p: p / F.col("price") - 1 <= -0.05), True)
@@ -459,7 +465,7 @@ def lbl_08_triple_barrier(spark, d):
 
 @query(f"{SW} SELECT tx, log_index, CAST(c AS INTEGER) AS slippage_bps, round(CASE direction WHEN 'buy_base' THEN 1 WHEN 'sell_base' THEN -1 ELSE 0 END * (lead(price, 5) OVER (PARTITION BY pool, c ORDER BY ts, tx, log_index) / price - 1) * 1e4 - 2 * fee * 100 - 2 * c, 6) + 0.0 AS net_bps FROM swaps CROSS JOIN (VALUES (0), (5), (20)) v(c)")
 def lbl_15_net_labels(spark, d):
-    gross = S.side_sign(F.col("direction")) * (S.safe_div(F.lead("price", 5).over(EVENT), F.col("price")) - 1) * 1e4
+    gross = S.side_sign(F.col("direction")) * (S.safe_div(F.lead("price", 5).over(_event()), F.col("price")) - 1) * 1e4
     x = swaps(spark, d).withColumn("gross", gross).withColumn("slippage_bps", F.explode(F.array(*map(F.lit, (0, 5, 20)))))
     return x.select("tx", "log_index", "slippage_bps", (F.round(F.col("gross") - 2 * F.col("fee") * 100 - 2 * F.col("slippage_bps"), 6) + 0.0).alias("net_bps"))
 
@@ -471,7 +477,7 @@ _RANKS = "rank() OVER (PARTITION BY pool ORDER BY size) + (count(*) OVER (PARTIT
 
 
 def _panel(spark, d):
-    return swaps(spark, d).withColumn("fwd", S.safe_div(F.lead("price", 1).over(EVENT), F.col("price")) - 1).withColumn("size", F.log("quote"))
+    return swaps(spark, d).withColumn("fwd", S.safe_div(F.lead("price", 1).over(_event()), F.col("price")) - 1).withColumn("size", F.log("quote"))
 
 
 @query(f"{_X} SELECT pool, count(*) AS n, round(corr(size, fwd), 6) AS pearson FROM x WHERE fwd IS NOT NULL GROUP BY pool HAVING count(*) >= 2")
