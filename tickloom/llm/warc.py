@@ -225,10 +225,11 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def _base32(hex_digest):
-    """Hex of whole five-byte groups → base32: five bits at a time."""
-    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-    bits = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(36), F.lit(5)), lambda i: F.lpad(F.conv(F.substring(hex_digest, i, F.lit(5)), 16, 2), 20, "0")), "")
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(156), F.lit(5)), lambda i: F.substring(F.lit(alphabet), F.conv(F.substring(bits, i, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1))), "")
+    """Hex of whole five-byte groups of a SHA-1 → base32, 40 bits at a time;
+    ``conv`` counts in other digits than the archive format."""
+    own, alphabet = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    groups = (F.lpad(F.conv(F.substring(hex_digest, i, 10), 16, 32), 8, "0") for i in (1, 11, 21, 31))
+    return F.translate(F.concat(*groups), own, alphabet)
 
 
 def write_pages(pages: DataFrame, folder: str, min_bytes: int = 0) -> None:
