@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import scalars as S
 from tickloom.operators import grid as G
 from tickloom.operators import joins as J
+from tickloom.operators import wider as X
 from tickloom.operators import windows as W
 
 
@@ -52,3 +53,22 @@ def test_scalars(spark):
     assert [x.d for x in r] == [None, None] and [x.m for x in r] == [1500.0, None] and [x.w for x in r] == [0.5, 2.0]
     assert (r[0].o.underlying, str(r[0].o.expiry), r[0].o.strike, r[0].o.is_call) == ("BTC", "2025-06-27", 60000.0, True) and r[1].o is None
     assert abs(r[1].c - 0.9772498680518208) < 1e-7
+
+
+def test_wider_operators(spark):
+    t = spark.createDataFrame([(1, 0, 5), (1, 5, 9), (1, 6, 7), (1, 7, 8), (1, 8, 20), (2, 3, 3)], "k int, a long, b long")
+    kept = X.non_overlapping(t, ["k"], "a", "b", ["b"]).collect()
+    assert sorted((r.k, r.a) for r in kept) == [(1, 0), (1, 6), (1, 8), (2, 3)]
+    entries = spark.createDataFrame([(1, 10, "x"), (1, 4, "y"), (2, 9, "z")], "k int, t long, id string")
+    known = spark.createDataFrame([(1, 5, 1.0, 1), (1, 10, -2.0, 2), (1, 10, 4.0, 3), (1, 11, 9.0, 4)], "k int, t long, y double, i int")
+    got = {r.id: (r.n, r.up, r.down, r.worst) for r in X.prior_outcomes(entries, known, "t", ["k"], "y", ["i"], 2).collect()}
+    assert got == {"x": (2, 4.0, -2.0, -2.0), "y": (None,) * 4, "z": (None,) * 4}
+    legs = spark.createDataFrame([(1, 0.0, 1.0, 0.4), (1, 1.0, 2.0, 0.5), (2, 0.0, 1.0, 0.4), (2, 1.5, 2.0, 0.2)], "e int, lo double, hi double, ask double")
+    b = {r.e: (r.complete, r.n_gaps, round(r.all_yes_cost, 9)) for r in X.basket(legs, ["e"], "lo", "hi", "ask", []).collect()}
+    assert b == {1: (True, 0, 0.9), 2: (False, 1, 0.6)}
+
+
+def test_forward_tie_takes_the_larger(spark):
+    a = spark.createDataFrame([(1, 10)], "k int, t long")
+    b = spark.createDataFrame([(1, 12, 7), (1, 12, 8)], "k int, t long, v int")
+    assert [r.v for r in J.asof_join(a, b, "t", ["k"], ["v"], forward=True, tie="v").collect()] == [8]

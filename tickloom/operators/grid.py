@@ -19,7 +19,8 @@ def fill_forward(grid: DataFrame, bars: DataFrame, by: Sequence[str], t: str, va
     w = Window.partitionBy(*by).orderBy(t)
     d = grid.join(bars.select(*by, t, F.col(value).alias("__v")), [*by, t], "left")
     last = F.last("__v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    nxt = F.first("__v", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    back = Window.partitionBy(*by).orderBy(F.desc(t)).rowsBetween(Window.unboundedPreceding, 0)
+    nxt = F.last("__v", ignorenulls=True).over(back)
     how = F.when(F.col("__v").isNotNull(), "observed").when(last.isNotNull(), "forward_fill").when(nxt.isNotNull(), "back_fill_initial")
     return d.select(*by, t, F.coalesce(last, nxt).alias(value), how.alias("method"))
 

@@ -25,10 +25,12 @@ def asof_join(left: DataFrame, right: DataFrame, ts: str, by: Sequence[str], val
     tie_col = lambda is_right: (F.col(tie).cast("double") if tie and is_right else F.lit(None).cast("double")).alias("__tie")
     a = left.select(*by, ts, *own, F.lit(None).cast(dict(right.dtypes)[ts]).alias("__rt"), *side, lt.alias("__o"), F.lit(True).alias("__left"), tie_col(False))
     b = right.select(*by, ts, *none, F.col(ts).alias("__rt"), *(F.col(v).alias(f"__v_{v}") for v in values), F.lit(0 if first_right else 1).alias("__o"), F.lit(False).alias("__left"), tie_col(True))
-    w = Window.partitionBy(*by).orderBy(ts, "__o", "__tie")
-    frame = w.rowsBetween(0, Window.unboundedFollowing) if forward else w.rowsBetween(Window.unboundedPreceding, 0)
+    # forward runs the order backwards: a frame to the end of the key would be
+    # evaluated anew for each row
+    way = F.desc if forward else F.asc
+    w = Window.partitionBy(*by).orderBy(way(ts), way("__o"), "__tie")
     pack = F.when(~F.col("__left"), F.struct("__rt", *(f"__v_{v}" for v in values)))
-    pick = (F.first if forward else F.last)(pack, ignorenulls=True).over(frame)
+    pick = F.last(pack, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     m = a.unionByName(b).withColumn("__m", pick).filter("__left")
     age = F.abs(F.col(ts) - F.col("__m.__rt"))
     ok = F.lit(True) if tolerance is None else age <= tolerance
