@@ -218,7 +218,8 @@ def shared_pairs(docs: DataFrame, min_words: int = MIN_WORDS, min_identity: floa
     matched; positions count words from 0, ends exclusive."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     seeds = materialise(docs.mapInArrow(_seed_batches, "h long, doc_id long, pos int"))
-    repeated = seeds.groupBy("h").agg(F.min("doc_id").alias("anchor"), F.max("doc_id").alias("last")).filter("anchor < last").select("h", "anchor")
+    # written, so that both joins on h read plain exchanges, which are split at a hot seed
+    repeated = materialise(seeds.groupBy("h").agg(F.min("doc_id").alias("anchor"), F.max("doc_id").alias("last")).filter("anchor < last").select("h", "anchor"))
     held = materialise(seeds.join(repeated, "h"))
     # a document's repeated seeds fall into runs; one too short, with all the
     # words that can lie beside its outer seeds, is no passage by any partner
@@ -228,7 +229,7 @@ def shared_pairs(docs: DataFrame, min_words: int = MIN_WORDS, min_identity: floa
     whole = Window.partitionBy("doc_id", "run")
     reach = F.max("pos").over(whole) - F.min("pos").over(whole) + K + 2 * (WINNOW - 1)
     long_runs = runs.withColumn("reach", reach).filter(F.col("reach") >= min_words)
-    at = held.filter("doc_id = anchor").groupBy("h").agg(F.min("pos").alias("apos"))
+    at = materialise(held.filter("doc_id = anchor").groupBy("h").agg(F.min("pos").alias("apos")))
     links = long_runs.filter("doc_id != anchor").join(at, "h").select("doc_id", "anchor", "pos", "apos")
     chained = links.repartition("doc_id", "anchor").sortWithinPartitions("doc_id", "anchor", "pos", "apos")
     found = materialise(chained.mapInArrow(_chain_batches, "doc_id long, d0 long, d1 long, anchor long, a0 long, a1 long").distinct())
