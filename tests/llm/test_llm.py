@@ -392,6 +392,21 @@ def test_passages(spark, edge, empty):
     passages.repeated_passages(edge).collect()
 
 
+def test_passages_whole_chain(spark):
+    rng = np.random.default_rng(8)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    one, two, line, long, split = word(70), word(80), word(12), word(90), word(60)
+    docs = {
+        1: word(20) + one + word(60) + two + word(20), 2: word(30) + one + word(90) + two,  # two passages, one chain
+        3: word(10) + line + word(30) + long + word(10), 4: line + word(25) + long,  # a short line before the passage
+        5: word(15) + split + word(20), 6: split[:30] + word(11) + split[30:] + word(9),  # words inserted
+    }
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    got = sorted((r.doc_id, r.start, r.end) for r in passages.repeated_passages(df).collect())
+    want = [(1, 20, 90), (1, 150, 230), (2, 30, 100), (2, 190, 270), (3, 52, 142), (4, 37, 127), (5, 15, 75), (6, 0, 71)]
+    assert len(got) == len(want) and all(g[0] == w[0] and abs(g[1] - w[1]) <= 2 and abs(g[2] - w[2]) <= 2 for g, w in zip(got, want, strict=True)), got
+
+
 def test_chain_is_best():
     rng = np.random.default_rng(6)
     for _ in range(50):

@@ -4,14 +4,15 @@ Seeds are winnowed k-word hashes of whole texts.  Every seed that two or more
 documents hold links each of its occurrences to the occurrence in the smallest
 document, so links grow with the seeds and not with their pairs.  The links of
 two documents are chained in order in both, with gap costs, through a Fenwick
-tree; chains are aligned word by word, which extends them to their ends and
-bridges edits; and what the aligned passages cover of a document is merged.
+tree; every seed of a chain that no stretch covers yet starts an alignment word
+by word, which extends it to its ends and bridges edits; and what the aligned
+stretches cover of a document is merged.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -80,8 +81,10 @@ def _seed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h for h, _ in found])), pa.array(doc, pa.int64()), pa.array(np.concatenate([p for _, p in found]))], names=["h", "doc_id", "pos"])
 
 
-def chain(d: np.ndarray, a: np.ndarray, k: int = K, gap_cost: float = GAP_COST) -> list[tuple[int, int, int, int]]:
-    """Matches (d, a) → local chains as (d_start, d_end, a_start, a_end).
+def chain(d: np.ndarray, a: np.ndarray, k: int = K, gap_cost: float = GAP_COST) -> list[tuple[int, int, int, int, list[int], list[int]]]:
+    """Matches (d, a) → local chains as (d_start, d_end, a_start, a_end, ds, as)
+    with the matches of the chain in order; one that continues the exact match
+    before it is left out of ds and as.
 
     The score of a match is k plus the best earlier match, in both orders,
     less the words skipped times ``gap_cost``; with that cost linear, the best
@@ -115,25 +118,30 @@ def chain(d: np.ndarray, a: np.ndarray, k: int = K, gap_cost: float = GAP_COST)
         last = i
         if used[i]:
             continue
+        path = [i]
         while True:
             used[i] = True
             if prev[i] < 0 or used[prev[i]]:
                 break
             i = prev[i]
-        out.append((int(d[i]), int(d[last]) + k, int(a[i]), int(a[last]) + k))
+            path.append(i)
+        at = [(int(d[x]), int(a[x])) for x in reversed(path)]
+        own = [x for n, x in enumerate(at) if not n or x[0] - at[n - 1][0] != x[1] - at[n - 1][1] or x[0] - at[n - 1][0] > k]
+        out.append((int(d[i]), int(d[last]) + k, int(a[i]), int(a[last]) + k, [x for x, _ in own], [y for _, y in own]))
     return out
 
 
 def _chain_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (doc_id, anchor); a group may span batches."""
-    names = ["doc_id", "d0", "d1", "anchor", "a0", "a1"]
+    names = ["doc_id", "d0", "d1", "anchor", "a0", "a1", "ds", "as"]
+    kinds = [pa.int64()] * 6 + [pa.list_(pa.int64())] * 2
     held = None
 
     def chains(rows: list[np.ndarray]) -> pa.RecordBatch:
         doc, anchor, pos, apos = rows
         cuts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1]), True])
-        out = [(int(doc[s]), x[0], x[1], int(anchor[s]), x[2], x[3]) for s, e in zip(cuts[:-1], cuts[1:], strict=True) for x in chain(pos[s:e], apos[s:e])]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 6)], names=names)
+        out = [(int(doc[s]), x[0], x[1], int(anchor[s]), *x[2:]) for s, e in zip(cuts[:-1], cuts[1:], strict=True) for x in chain(pos[s:e], apos[s:e])]
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True) if out else [[]] * 8, kinds, strict=True)], names=names)
 
     for b in batches:
         rows = [b.column(i).to_numpy() for i in range(4)]
@@ -151,21 +159,31 @@ def _chain_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _slice_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, s, e, text) → the words from PAD before s to PAD after e."""
-    for b in batches:
-        text, words, out = None, [], []
-        for s, e, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
-            t = t.as_py()
-            if t != text:  # the rows of a document come one after another
-                text, words = t, words_of(t)
-            out.append(" ".join(words[max(0, s - PAD) : e + PAD]))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.string())], names=["doc_id", "s", "e", "words"])
+    """(doc_id, ends, text) → for each (s, e) the words from PAD before s to PAD after e."""
+    names, kinds = ["doc_id", "s", "e", "words"], [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    rows: list[tuple[int, int, int, str]] = []
 
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-def extend(x: list[str], y: list[str], i: int, j: int, drop: int = 8, reach: int = 12) -> tuple[int, int, int]:
+    for b in batches:
+        for doc, ends, text in zip(b.column(0), b.column(1), b.column(2), strict=True):
+            doc, words = doc.as_py(), words_of(text.as_py())
+            for x in ends.as_py():
+                rows.append((doc, x["s"], x["e"], " ".join(words[max(0, x["s"] - PAD) : x["e"] + PAD])))
+                if len(rows) == BATCH_ROWS:
+                    yield batch()
+                    rows.clear()
+    if rows:
+        yield batch()
+
+
+def extend(x: list[str], y: list[str], i: int, j: int, drop: int = 8, reach: int = 12, cost: float = 1) -> tuple[int, int, int]:
     """Align x[i:] with y[j:] from a common start: (end in x, end in y, words
     matched).  Edits are bridged by the nearest two words in step; the walk
-    ends where the score, one up a match and one down an edit, has dropped."""
+    ends where the score, one up a match and ``cost`` down an edit, has dropped
+    by ``drop`` edits."""
+    drop *= cost
     score = best = same = 0
     end = (i, j, 0)
     while i < len(x) and j < len(y) and score > best - drop:
@@ -189,28 +207,69 @@ def extend(x: list[str], y: list[str], i: int, j: int, drop: int = 8, reach: int
             p = ahead.get((y[j + q], y[j + q + 1]))
             if p is not None and p + q < best_skip:
                 best_skip, step = p + q, (p, q)
-        i, j, score = i + step[0], j + step[1], score - max(step)
+        i, j, score = i + step[0], j + step[1], score - cost * max(step)
     return end
 
 
-def align(x: list[str], y: list[str], i: int, j: int) -> tuple[int, int, int, int, int]:
-    """Both ways from the common seed at x[i], y[j]: spans in x and y, matches."""
-    xe, ye, right = extend(x, y, i, j)
-    xb, yb, left = extend(x[:i][::-1], y[:j][::-1], 0, 0)
-    return i - xb, xe, j - yb, ye, left + right
+def align(x: list[str], y: list[str], i: int, j: int, min_identity: float = MIN_IDENTITY, x_from: int = 0, y_from: int = 0) -> tuple[int, int, int, int, int]:
+    """Both ways from the common seed at x[i], y[j]: spans in x and y, matches.
+    Where that is less alike than ``min_identity``, an edit costs as many
+    matches as hold the identity at every end the walk can take."""
+    for cost in (1, min_identity / max(1 - min_identity, 1e-9)):
+        xe, ye, right = extend(x, y, i, j, cost=cost)
+        xb, yb, left = extend(x[x_from:i][::-1], y[y_from:j][::-1], 0, 0, cost=cost)
+        out = i - xb, xe, j - yb, ye, left + right
+        if _alike(*out, min_identity):
+            break
+    return out
 
 
-def _align_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _alike(xb: int, xe: int, yb: int, ye: int, same: int, min_identity: float) -> bool:
+    return same >= min_identity * max(xe - xb, ye - yb) - 1e-9
+
+
+def stretches(x: list[str], y: list[str], seeds: list[tuple[int, int]], k: int = K, min_identity: float = MIN_IDENTITY) -> list[tuple[int, int, int, int, int]]:
+    """All that a chain of seeds aligns, as from ``align``: a stretch from each
+    seed that the last one does not cover, and neighbouring stretches as one
+    where they stay alike with the words between them."""
+    out, parts = [], []
+    for i, j in seeds:
+        if out and i + k <= out[-1][1] and j + k <= out[-1][3]:
+            continue
+        out.append(align(x, y, i, j, min_identity))
+        part = out[-1]
+        if parts and (part[0] < parts[-1][1] or part[2] < parts[-1][3]):
+            if i < parts[-1][1] or j < parts[-1][3]:
+                continue
+            part = align(x, y, i, j, min_identity, parts[-1][1], parts[-1][3])
+        parts.append(part)
+    matched = np.cumsum([0] + [p[4] for p in parts]).tolist()
+    s = 0
+    while s < len(parts):
+        e = len(parts) - 1
+        while e > s and not _alike(parts[s][0], parts[e][1], parts[s][2], parts[e][3], matched[e + 1] - matched[s], min_identity):
+            e -= 1
+        if e > s:
+            out.append((parts[s][0], parts[e][1], parts[s][2], parts[e][3], matched[e + 1] - matched[s]))
+        s = e + 1
+    return out
+
+
+def _align_batches(min_identity: float) -> Callable:
     names = ["doc_id", "start", "end", "partner", "p_start", "p_end", "matched"]
-    for b in batches:
-        out = []
-        cols = [b.column(k).to_pylist() for k in range(4)]
-        for doc, d0, anchor, a0, x, y in zip(*cols, b.column(4), b.column(5), strict=True):
-            x, y = x.as_py(), y.as_py()
-            xo, yo = max(0, d0 - PAD), max(0, a0 - PAD)
-            s, e, ps, pe, same = align(x.split(), y.split(), d0 - xo, a0 - yo)
-            out.append((doc, s + xo, e + xo, anchor, ps + yo, pe + yo, same))
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 7)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            cols = [b.column(k).to_pylist() for k in range(6)]
+            for doc, d0, anchor, a0, ds, at, x, y in zip(*cols, b.column(6), b.column(7), strict=True):
+                x, y = x.as_py().split(), y.as_py().split()
+                xo, yo = max(0, d0 - PAD), max(0, a0 - PAD)
+                for s, e, ps, pe, same in stretches(x, y, [(i - xo, j - yo) for i, j in zip(ds, at, strict=True)], K, min_identity):
+                    out.append((doc, s + xo, e + xo, anchor, ps + yo, pe + yo, same))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 7)], names=names)
+
+    return run
 
 
 def shared_pairs(docs: DataFrame, min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY) -> DataFrame:
@@ -232,15 +291,17 @@ def shared_pairs(docs: DataFrame, min_words: int = MIN_WORDS, min_identity: floa
     at = materialise(held.filter("doc_id = anchor").groupBy("h").agg(F.min("pos").alias("apos")))
     links = long_runs.filter("doc_id != anchor").join(at, "h").select("doc_id", "anchor", "pos", "apos")
     chained = links.repartition("doc_id", "anchor").sortWithinPartitions("doc_id", "anchor", "pos", "apos")
-    found = materialise(chained.mapInArrow(_chain_batches, "doc_id long, d0 long, d1 long, anchor long, a0 long, a1 long").distinct())
+    found = materialise(chained.mapInArrow(_chain_batches, "doc_id long, d0 long, d1 long, anchor long, a0 long, a1 long, ds array<long>, as array<long>").distinct())
     ends = found.select("doc_id", F.col("d0").alias("s"), F.col("d1").alias("e")).union(found.select("anchor", "a0", "a1")).distinct()
-    sliced = docs.join(ends, "doc_id").select("doc_id", "s", "e", "text").mapInArrow(_slice_batches, "doc_id long, s long, e long, words string")
+    # a text is read once for all its ends in a few thousand words
+    ends = ends.groupBy("doc_id", F.expr("s div 4096").alias("part")).agg(F.collect_list(F.struct("s", "e")).alias("ends"))
+    sliced = docs.join(ends, "doc_id").select("doc_id", "ends", "text").mapInArrow(_slice_batches, "doc_id long, s long, e long, words string")
     # ids that repeat with different texts keep one slice
     sliced = materialise(sliced).groupBy("doc_id", "s", "e").agg(F.min("words").alias("words"))
     left = sliced.select("doc_id", F.col("s").alias("d0"), F.col("e").alias("d1"), F.col("words").alias("x"))
     right = sliced.select(F.col("doc_id").alias("anchor"), F.col("s").alias("a0"), F.col("e").alias("a1"), F.col("words").alias("y"))
-    both = found.join(left, ["doc_id", "d0", "d1"]).join(right, ["anchor", "a0", "a1"]).select("doc_id", "d0", "anchor", "a0", "x", "y")
-    aligned = both.mapInArrow(_align_batches, "doc_id long, start long, end long, partner long, p_start long, p_end long, matched long")
+    both = found.join(left, ["doc_id", "d0", "d1"]).join(right, ["anchor", "a0", "a1"]).select("doc_id", "d0", "anchor", "a0", "ds", "as", "x", "y")
+    aligned = both.mapInArrow(_align_batches(min_identity), "doc_id long, start long, end long, partner long, p_start long, p_end long, matched long")
     return aligned.filter((F.col("matched") >= K) & (F.col("matched") >= min_identity * F.greatest(F.col("end") - F.col("start"), F.col("p_end") - F.col("p_start"))))
 
 
