@@ -407,6 +407,22 @@ def test_passages_whole_chain(spark):
     assert len(got) == len(want) and all(g[0] == w[0] and abs(g[1] - w[1]) <= 2 and abs(g[2] - w[2]) <= 2 for g, w in zip(got, want, strict=True)), got
 
 
+def test_passages_again_in_anchor(spark):
+    rng = np.random.default_rng(9)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    twice, full, often = word(70), word(60), word(55)
+    docs = {
+        1: word(30) + twice + word(300) + twice + word(10), 2: word(5) + twice + word(5), 3: word(15) + twice,
+        4: full[:45] + word(400) + full + word(10), 5: word(25) + full + word(25), 6: word(35) + full, 7: full + word(15),  # a teaser before the passage
+        8: sum((word(40) + often for _ in range(12)), []), 9: often + word(20), 10: word(20) + often,
+    }
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    got = sorted((r.doc_id, r.start, r.end) for r in passages.repeated_passages(df).collect())
+    want = [(1, 30, 100), (1, 400, 470), (2, 5, 75), (3, 15, 85), (4, 445, 505), (5, 25, 85), (6, 35, 95), (7, 0, 60)]
+    want += [(8, 40 + 95 * k, 95 + 95 * k) for k in range(12)] + [(9, 0, 55), (10, 20, 75)]
+    assert len(got) == len(want) and all(g[0] == w[0] and abs(g[1] - w[1]) <= 2 and abs(g[2] - w[2]) <= 2 for g, w in zip(got, want, strict=True)), got
+
+
 def test_chain_is_best():
     rng = np.random.default_rng(6)
     for _ in range(50):

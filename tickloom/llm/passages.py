@@ -1,8 +1,9 @@
 """Passages that repeat across documents, by collinear chaining of seeds.
 
 Seeds are winnowed k-word hashes of whole texts.  Every seed that two or more
-documents hold links each of its occurrences to the occurrence in the smallest
-document, so links grow with the seeds and not with their pairs.  The links of
+documents hold links each of its occurrences to the first FEW occurrences in the
+smallest document, and each further one there to the first occurrence in the
+largest, so links grow with the seeds and not with their pairs.  The links of
 two documents are chained in order in both, with gap costs, through a Fenwick
 tree; every seed of a chain that no stretch covers yet starts an alignment word
 by word, which extends it to its ends and bridges edits; and what the aligned
@@ -31,6 +32,8 @@ PAD = 40
 #: widest stretch of words without a repeated seed inside one passage
 MAX_GAP = 40
 BATCH_ROWS = 500
+#: occurrences in the smallest document that every other document links to
+FEW = 8
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _cache: dict[str, int] = {}
 
@@ -278,7 +281,7 @@ def shared_pairs(docs: DataFrame, min_words: int = MIN_WORDS, min_identity: floa
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     seeds = materialise(docs.mapInArrow(_seed_batches, "h long, doc_id long, pos int"))
     # written, so that both joins on h read plain exchanges, which are split at a hot seed
-    repeated = materialise(seeds.groupBy("h").agg(F.min("doc_id").alias("anchor"), F.max("doc_id").alias("last")).filter("anchor < last").select("h", "anchor"))
+    repeated = materialise(seeds.groupBy("h").agg(F.min("doc_id").alias("anchor"), F.max("doc_id").alias("last")).filter("anchor < last"))
     held = materialise(seeds.join(repeated, "h"))
     # a document's repeated seeds fall into runs; one too short, with all the
     # words that can lie beside its outer seeds, is no passage by any partner
@@ -288,8 +291,12 @@ def shared_pairs(docs: DataFrame, min_words: int = MIN_WORDS, min_identity: floa
     whole = Window.partitionBy("doc_id", "run")
     reach = F.max("pos").over(whole) - F.min("pos").over(whole) + K + 2 * (WINNOW - 1)
     long_runs = runs.withColumn("reach", reach).filter(F.col("reach") >= min_words)
-    at = materialise(held.filter("doc_id = anchor").groupBy("h").agg(F.min("pos").alias("apos")))
-    links = long_runs.filter("doc_id != anchor").join(at, "h").select("doc_id", "anchor", "pos", "apos")
+    nth = F.row_number().over(Window.partitionBy("h").orderBy("apos"))
+    at = materialise(held.filter("doc_id = anchor").select("h", F.col("pos").alias("apos")).distinct().withColumn("nth", nth))
+    links = long_runs.filter("doc_id != anchor").join(at.filter(F.col("nth") <= FEW), "h").select("doc_id", "anchor", "pos", "apos")
+    # the anchor's further occurrences link to one place of one document each
+    first = materialise(held.filter("doc_id = last").groupBy("h", "anchor", F.col("last").alias("doc_id")).agg(F.min("pos").alias("pos")).join(at.filter(F.col("nth") > FEW), "h").select("doc_id", "anchor", "pos", "apos"))
+    links = links.union(first)
     chained = links.repartition("doc_id", "anchor").sortWithinPartitions("doc_id", "anchor", "pos", "apos")
     found = materialise(chained.mapInArrow(_chain_batches, "doc_id long, d0 long, d1 long, anchor long, a0 long, a1 long, ds array<long>, as array<long>").distinct())
     ends = found.select("doc_id", F.col("d0").alias("s"), F.col("d1").alias("e")).union(found.select("anchor", "a0", "a1")).distinct()
