@@ -423,6 +423,19 @@ def test_passages_again_in_anchor(spark):
     assert len(got) == len(want) and all(g[0] == w[0] and abs(g[1] - w[1]) <= 2 and abs(g[2] - w[2]) <= 2 for g, w in zip(got, want, strict=True)), got
 
 
+def test_passages_fuzzy_recall(spark):
+    rng = np.random.default_rng(10)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    docs = {}
+    for k in range(0, 80, 2):
+        p = word(80)
+        edited = [w if rng.random() < 0.9 else f"e{rng.integers(10**6)}" for w in p]
+        docs |= {k: word(60) + p + word(60), k + 1: word(60) + edited + word(60)}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    got = {r.doc_id for r in passages.repeated_passages(df).filter("start between 45 and 75 and end between 125 and 150").collect()}
+    assert len(got) >= 0.9 * len(docs), len(got)
+
+
 def test_chain_is_best():
     rng = np.random.default_rng(6)
     for _ in range(50):

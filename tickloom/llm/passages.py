@@ -23,14 +23,12 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import materialise
 
-K = 8
-WINNOW = 16
+K = 6
+WINNOW = 8
 GAP_COST = 0.05
 MIN_WORDS = 50
 MIN_IDENTITY = 0.8
 PAD = 40
-#: widest stretch of words without a repeated seed inside one passage
-MAX_GAP = 40
 BATCH_ROWS = 500
 #: occurrences in the smallest document that every other document links to
 FEW = 8
@@ -84,7 +82,7 @@ def _seed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h for h, _ in found])), pa.array(doc, pa.int64()), pa.array(np.concatenate([p for _, p in found]))], names=["h", "doc_id", "pos"])
 
 
-def chain(d: np.ndarray, a: np.ndarray, k: int = K, gap_cost: float = GAP_COST) -> list[tuple[int, int, int, int, list[int], list[int]]]:
+def chain(d: np.ndarray, a: np.ndarray, k: int = 8, gap_cost: float = GAP_COST) -> list[tuple[int, int, int, int, list[int], list[int]]]:
     """Matches (d, a) → local chains as (d_start, d_end, a_start, a_end, ds, as)
     with the matches of the chain in order; one that continues the exact match
     before it is left out of ds and as.
@@ -143,7 +141,7 @@ def _chain_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     def chains(rows: list[np.ndarray]) -> pa.RecordBatch:
         doc, anchor, pos, apos = rows
         cuts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1]), True])
-        out = [(int(doc[s]), x[0], x[1], int(anchor[s]), *x[2:]) for s, e in zip(cuts[:-1], cuts[1:], strict=True) for x in chain(pos[s:e], apos[s:e])]
+        out = [(int(doc[s]), x[0], x[1], int(anchor[s]), *x[2:]) for s, e in zip(cuts[:-1], cuts[1:], strict=True) for x in chain(pos[s:e], apos[s:e], K)]
         return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True) if out else [[]] * 8, kinds, strict=True)], names=names)
 
     for b in batches:
@@ -283,17 +281,9 @@ def shared_pairs(docs: DataFrame, min_words: int = MIN_WORDS, min_identity: floa
     # written, so that both joins on h read plain exchanges, which are split at a hot seed
     repeated = materialise(seeds.groupBy("h").agg(F.min("doc_id").alias("anchor"), F.max("doc_id").alias("last")).filter("anchor < last"))
     held = materialise(seeds.join(repeated, "h"))
-    # a document's repeated seeds fall into runs; one too short, with all the
-    # words that can lie beside its outer seeds, is no passage by any partner
-    in_order = Window.partitionBy("doc_id").orderBy("pos", "h")
-    fresh = (F.col("pos") - F.lag("pos").over(in_order) > MAX_GAP).cast("int")
-    runs = held.withColumn("run", F.sum(F.coalesce(fresh, F.lit(0))).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = Window.partitionBy("doc_id", "run")
-    reach = F.max("pos").over(whole) - F.min("pos").over(whole) + K + 2 * (WINNOW - 1)
-    long_runs = runs.withColumn("reach", reach).filter(F.col("reach") >= min_words)
     nth = F.row_number().over(Window.partitionBy("h").orderBy("apos"))
     at = materialise(held.filter("doc_id = anchor").select("h", F.col("pos").alias("apos")).distinct().withColumn("nth", nth))
-    links = long_runs.filter("doc_id != anchor").join(at.filter(F.col("nth") <= FEW), "h").select("doc_id", "anchor", "pos", "apos")
+    links = held.filter("doc_id != anchor").join(at.filter(F.col("nth") <= FEW), "h").select("doc_id", "anchor", "pos", "apos")
     # the anchor's further occurrences link to one place of one document each
     first = materialise(held.filter("doc_id = last").groupBy("h", "anchor", F.col("last").alias("doc_id")).agg(F.min("pos").alias("pos")).join(at.filter(F.col("nth") > FEW), "h").select("doc_id", "anchor", "pos", "apos"))
     links = links.union(first)
