@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tickloom.llm import components, exact, mixing, packing, passages, pii, queries, secret_scan, simhash, topk, toxicity, warc
+from tickloom.llm import components, exact, minhash, mixing, packing, passages, pii, queries, secret_scan, simhash, topk, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
 Q = queries.queries()
@@ -459,3 +459,32 @@ def test_pipeline(spark):
         assert out.columns == docs.columns, name
     last = corpus_pipeline.run(spark, SF)
     assert last.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(last.columns)
+
+
+def test_near_stage_against_brute_force(spark, edge, empty):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(12)
+    texts = {}
+    for g in range(40):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, int(rng.integers(60, 300)))]
+        for c in range(int(rng.integers(1, 7))):
+            copy = list(base)
+            for p in rng.integers(0, len(base), int(rng.integers(0, len(base) // 25))):
+                copy[p] = f"e{rng.integers(10**6)}"
+            texts[len(texts)] = " ".join(copy)
+    long = [f"w{x}" for x in rng.integers(0, 10**6, 500)]
+    texts |= {1000: " ".join(long), 1001: " ".join([*long[:250], "changed", *long[251:]]), 1002: "one two", 1003: "One TWO"}
+    grams = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in ((i, t.lower().split()) for i, t in texts.items())}
+    best = {i: i for i in texts}
+    for i in texts:
+        for j in texts:
+            if j < i and len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]):
+                a, b = best[i], best[j]
+                best = {k: min(a, b) if v in (a, b) else v for k, v in best.items()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash.near_components(docs).collect()} == best
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()}
+    assert kept == {i for i, v in best.items() if i == v} and 1001 not in kept
+    assert minhash.near_components(empty).count() == 0 and minhash.near_components(edge).count() == len(EDGE)
+    assert corpus_pipeline.drop_near_copies(spark, edge, SF).columns == edge.columns
