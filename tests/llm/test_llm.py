@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tickloom.llm import components, exact, minhash, mixing, packing, passages, pii, queries, secret_scan, simhash, topk, toxicity, warc
+from tickloom.llm import components, exact, mixing, packing, passages, pii, queries, secret_scan, simhash, topk, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
 Q = queries.queries()
@@ -345,20 +345,27 @@ def test_topk(spark):
     assert set(map(tuple, Q["op9_topk"](spark, SF).collect())) == brute_top([(r.vec_id, r.embedding) for r in own.collect()])
 
 
+def toxic_arrays(samples):
+    entries = [(i, f, n) for i, (x, _) in enumerate(samples) for f, n in sorted(x.items())]
+    cols = list(zip(*entries, strict=True)) or [[], [], []]
+    return (*(np.array(c, int) for c in cols), np.array([g > 0 for _, g in samples], int))
+
+
 def test_toxicity_model():
     rng = np.random.default_rng(2)
     vocabulary = [f"word{i}" for i in range(300)]
     samples, held = [], []
-    for i in range(600):
+    for i in range(900):
         words = list(rng.choice(vocabulary, 60))
-        y = i % 5 == 0
-        words += list(rng.choice(["vileA", "vileB", "vileC"], rng.integers(1, 9))) if y else []
-        (samples if i < 400 else held).append((toxicity.features(" ".join(words)), int(y)))
-    model = toxicity.fit(samples)
+        n = int(rng.integers(1, 9)) if i % 5 == 0 else 0
+        words += list(rng.choice(["vileA", "vileB", "vileC"], n))
+        (samples if i < 700 else held).append((toxicity.features(" ".join(words)), n))
+    model = toxicity.fit(*toxic_arrays(samples))
     assert model.thresholds[0] < model.thresholds[1]
-    scores = [(sum(model.above(x)), y) for x, y in held]
-    assert all((s >= toxicity.REJECT_AT) == bool(y) for s, y in scores)
-    assert toxicity.fit([]).above({}) == pytest.approx([0, 0], abs=1e-6)
+    scores = [(sum(model.above(x)), n) for x, n in held]
+    assert all((s >= toxicity.REJECT_AT) == (n > 0) for s, n in scores)
+    assert np.mean([s for s, n in scores if n >= 6]) > np.mean([s for s, n in scores if 0 < n <= 2]) + 0.2
+    assert toxicity.fit(*toxic_arrays([])).above({}) == pytest.approx([0, 0], abs=1e-6)
 
 
 def test_toxicity_on_tables(spark, edge, empty):
@@ -483,8 +490,8 @@ def test_near_stage_against_brute_force(spark, edge, empty):
                 a, b = best[i], best[j]
                 best = {k: min(a, b) if v in (a, b) else v for k, v in best.items()}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    assert {r.doc_id: r.component_id for r in minhash.near_components(docs).collect()} == best
+    assert {r.doc_id: r.component_id for r in simhash.near_components(docs).collect()} == best
     kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()}
     assert kept == {i for i, v in best.items() if i == v} and 1001 not in kept
-    assert minhash.near_components(empty).count() == 0 and minhash.near_components(edge).count() == len(EDGE)
+    assert simhash.near_components(empty).count() == 0 and simhash.near_components(edge).count() == len(EDGE)
     assert corpus_pipeline.drop_near_copies(spark, edge, SF).columns == edge.columns

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import string
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,11 +14,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set."""
+    """The folder that the driver and all executors share.
+
+    It is the session's ``spark.checkpoint.dir``; a session without it is told
+    so, as a folder of one machine would not be seen by the others.
+    """
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is not None and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(folder)
+    folder = folder or sc.getCheckpointDir()
+    if folder is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -32,14 +39,27 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+#: characters that are no upper case in any version of Unicode: ASCII, the
+#: lower half of Latin-1, general punctuation and the unified ideographs
+_SETTLED = r"[^\x00-\x7F\u00A0-\u00BF\u00DF-\u00FF\u2000-\u206F\u4E00-\u9FFF]"
+
+
 def lower_ascii(c: Column) -> Column:
     """Lower-case A-Z only.
 
-    ``lower`` gives the same bytes, and is much cheaper than ``translate``,
-    unless the text holds another character that has a lower case.
+    ``lower`` is much cheaper than ``translate`` and changes A-Z alone where a
+    text has no characters but those that are settled; every other text goes
+    through ``translate``.
     """
-    other = c.rlike(r"[\p{IsUppercase}\p{Lt}&&[^A-Z]]")
-    return F.when(other, F.translate(c, string.ascii_uppercase, string.ascii_lowercase)).otherwise(F.lower(c))
+    return F.when(c.rlike(_SETTLED), F.translate(c, string.ascii_uppercase, string.ascii_lowercase)).otherwise(F.lower(c))
+
+
+def own_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not have, whatever the case."""
+    taken, name = {c.lower() for c in df.columns}, base
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -48,3 +68,31 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def written(df: DataFrame, folder: str, name: str) -> str:
+    """Write ``df`` as Parquet under ``folder``; its path."""
+    path = f"{folder}/{name}"
+    df.write.parquet(path)
+    return path
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this library wrote, in whatever store it lies."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def small_batches(spark: SparkSession, rows: int) -> SparkSession:
+    """A session of its own on the same cluster that hands Python ``rows`` rows
+    at a time, so that no other query of the caller's session sees the setting."""
+    own = spark.newSession()
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.ansi.enabled", "spark.sql.session.timeZone", "spark.sql.adaptive.enabled"):
+        own.conf.set(key, spark.conf.get(key))
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return own

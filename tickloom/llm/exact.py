@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import lower_ascii, text_or_empty
+from tickloom.llm.common import lower_ascii, own_name, text_or_empty
 
 
 def content_hash(c: Column) -> Column:
@@ -33,8 +33,10 @@ def exact_dedup(
 
     ``keep`` is F.max or F.min of the id.  A null text counts as empty, a null
     id never wins against another one, rows that repeat id and text of the
-    row that stays are the same document and are all ``kept``, and an empty
-    table gives an empty result.  Further columns are ignored.
+    row that stays are the same document and are all ``kept`` (``keep_one``
+    returns one of them), and an empty table gives an empty result.  Texts of
+    any length are compared whole.  Further columns are ignored, whatever
+    their names.
     """
     norm = lower_ascii(text_or_empty(text_col))
     rows = docs.select(F.col(id_col).alias("id"), norm.alias("norm"))
@@ -58,10 +60,13 @@ def exact_dedup(
 
 
 def keep_one(docs: DataFrame, **kw) -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns; one row each."""
-    norm = lower_ascii(text_or_empty(kw.get("text_col", "text")))
-    id_col = kw.get("id_col", "doc_id")
-    stay = exact_dedup(docs, **kw).filter("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    keyed = docs.withColumn("__sha", F.sha2(norm.cast("binary"), 256)).withColumn("__id", F.col(id_col))
-    joined = keyed.join(stay, keyed["__sha"].eqNullSafe(stay["__sha"]) & keyed["__id"].eqNullSafe(stay["__id"]), "left_semi")
-    return joined.dropDuplicates(["__id", "__sha"]).select(*docs.columns)
+    """The rows of ``docs`` that stay, with their own columns; one row each.
+
+    A row is looked up by its text's SHA-256 and its id in one string key, so
+    the join and the choice among repeated rows share one exchange.
+    """
+    id_col, key = kw.get("id_col", "doc_id"), own_name(docs, "row_key")
+    sha = F.sha2(lower_ascii(text_or_empty(kw.get("text_col", "text"))).cast("binary"), 256)
+    named = lambda sha: F.concat_ws(":", sha, F.col(id_col).cast("string"))
+    stay = exact_dedup(docs, **kw).filter("kept").select(named(F.col("text_sha256")).alias(key))
+    return docs.withColumn(key, named(sha)).join(stay, key, "left_semi").dropDuplicates([key]).select(*(docs[c] for c in docs.columns))

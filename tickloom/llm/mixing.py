@@ -7,11 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.llm.common import own_name
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MAX_EPOCHS = 2
-SLICES = 4096
+#: slices of the key range between two powers of two
+SLICES = 1024
 
 
 def n_words(c: Column) -> Column:
@@ -51,6 +54,15 @@ def es_key(id_col: Column, weight: Column, seed: int) -> Column:
     return -F.log(u) / weight
 
 
+def _slice(key: Column, slices: int) -> Column:
+    """Ascending with the key, and fine at every scale of it, so that documents
+    of any weight are spread over many slices."""
+    k = F.greatest(key, F.lit(1e-18))
+    power = F.floor(F.log2(k))
+    part = F.floor((k / F.pow(F.lit(2.0), power) - 1) * slices)
+    return (power * slices + F.greatest(F.lit(0), F.least(part, F.lit(slices - 1)))).cast("int")
+
+
 def mix_sources(
     docs: DataFrame,
     weight_by: DataFrame | None = None,
@@ -73,8 +85,9 @@ def mix_sources(
     ``weight_by`` has the quality weight of a doc_id, one row each (positive;
     1 where none is given); those weights, small rows, join the sizes.  A null
     text has size 0 and is never taken; a null source is a source of its own,
-    the last one; ties in the key go to the smaller doc_id, then size; an
-    empty table gives an empty result.
+    the last one; ties in the key go to the smaller doc_id, then size; rows
+    that repeat are documents each; texts of any length are counted whole;
+    further columns are ignored; an empty table gives an empty result.
     """
     rows = docs.select("doc_id", "source", (size if size is not None else n_words(F.col("text"))).cast("long").alias("size"))
     if weight_by is None:
@@ -83,7 +96,7 @@ def mix_sources(
         weight_of = weight_by.select(F.col("doc_id").alias("wid"), F.greatest(F.col("weight").cast("double"), F.lit(1e-6)).alias("wt"))
         rows = rows.join(weight_of, rows["doc_id"] == weight_of["wid"], "left").drop("wid").withColumn("wt", F.coalesce("wt", F.lit(1.0)))
     rows = rows.withColumn("key", es_key(F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("wt"), seed))
-    rows = rows.withColumn("slice", F.least(F.floor((1 - F.exp(-F.col("key"))) * slices), F.lit(slices - 1)).cast("int")).drop("wt")
+    rows = rows.withColumn("slice", _slice(F.col("key"), slices)).drop("wt")
     # a hash of the source keeps null sources joinable
     rows = rows.withColumn("sid", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
     per_slice = rows.groupBy("sid", "source", "slice").agg(F.sum("size").alias("slice_size"))
@@ -110,7 +123,11 @@ def mix_sources(
 
 
 def repeated(docs: DataFrame, weight_by: DataFrame | None = None, **kw) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
-    times = mix_sources(docs, weight_by, **kw).filter("taken > 0").select(F.col("doc_id").alias("__id"), F.expr("cast(taken div size as int)").alias("__times"))
-    once = docs.join(times.groupBy("__id").agg(F.max("__times").alias("__times")), docs["doc_id"].eqNullSafe(F.col("__id")))
-    return once.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*(docs[c] for c in docs.columns))
+    """The rows of ``docs``, each as often as the mix takes it, with their own
+    columns.  Rows that repeat an id are all taken as often as the id's most
+    taken row."""
+    key, times, copy = (own_name(docs, n) for n in ("mix_id", "mix_times", "mix_copy"))
+    mixed = mix_sources(docs, weight_by, **kw).filter("taken > 0")
+    each = mixed.groupBy(F.col("doc_id").alias(key)).agg(F.max(F.expr("cast(taken div size as int)")).alias(times))
+    once = docs.join(each, docs["doc_id"].eqNullSafe(F.col(key)))
+    return once.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*(docs[c] for c in docs.columns))

@@ -24,41 +24,49 @@ from tickloom.llm.common import cut
 WINDOW = 2048
 END_ID = 1
 VOCABULARY = "byte_bpe_50k"
-LANES = 512
+#: lanes a length at least, and pieces a lane beyond which there are more
+LANES, LANE_PIECES = 512, 100_000
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 _loaded: dict = {}
 
 
 def encoder(vocabulary: str = VOCABULARY):
     """text → ids, equal to those of the tokenizers file of that name with
-    add_special_tokens=False and the strings of special tokens read as
-    ordinary text.  The ranks file of the same vocabulary gives the same ids
-    several times faster; texts that its pattern engine gives up on (runs of
-    very many blanks) go to the tokenizers file itself."""
+    add_special_tokens=False, the strings of its added tokens included.  The
+    ranks file of the same vocabulary gives the same ids several times faster;
+    texts that its pattern engine gives up on (runs of very many blanks) go to
+    the tokenizers file itself."""
     if vocabulary not in _loaded:
+        import json
+
         import public_tokenizers
         import tiktoken
 
         with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(public_tokenizers.path(f"{vocabulary}.json"), encoding="utf-8") as f:
+            added = json.load(f)["added_tokens"]
+        plain = all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) for t in added)
+        special = {t["content"]: t["id"] for t in added}
+        fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks={k: v for k, v in ranks.items() if k.decode("utf-8", "replace") not in special}, special_tokens=special)
+        held: list = []
 
         def slow(text: str) -> list[int]:
             from tokenizers import Tokenizer
 
-            t = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
-            t.encode_special_tokens = True
-            return t.encode(text, add_special_tokens=False).ids
+            if not held:
+                held.append(Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json")))
+            return held[0].encode(text, add_special_tokens=False).ids
 
         def encode(text: str) -> list[int]:
             try:
-                return fast.encode_ordinary(text)
-            except BaseException as e:  # the engine's errors are no Exceptions
-                if isinstance(e, (KeyboardInterrupt, SystemExit)):
+                return fast.encode(text, allowed_special="all")
+            except BaseException as e:  # a panic of the engine is no Exception, and its class cannot be imported
+                if type(e).__name__ != "PanicException":
                     raise
                 return slow(text)
 
-        _loaded[vocabulary] = encode
+        _loaded[vocabulary] = encode if plain else slow
     return _loaded[vocabulary]
 
 
@@ -150,15 +158,18 @@ def _plan_rows(plan: list[tuple[dict[int, int], int]]) -> list[tuple[int, ...]]:
     return rows
 
 
-def assign(pieces: DataFrame, window: int = WINDOW, lanes: int = LANES) -> DataFrame:
+def assign(pieces: DataFrame, window: int = WINDOW, lanes: int | None = None) -> DataFrame:
     """Pieces with any columns besides doc_id, start, length → + sequence_id, offset.
 
-    Ranks within a length come from ``lanes`` hash lanes: a row number inside
+    Ranks within a length come from hash lanes, whose number follows that of
+    the pieces (counted over what ``pieces`` holds, so give it computed
+    already): a row number inside
     (length, lane) plus the counts of the lanes before, so that a length that
     most pieces share is ranked in many tasks.  The plan has at most a few
     rows per length, fixed by ``window``, and is joined on the length.
     """
     spark = pieces.sparkSession
+    lanes = lanes or max(LANES, pieces.count() // LANE_PIECES)
     laned = pieces.withColumn("lane", F.pmod(F.xxhash64(F.lit(3), "doc_id", "start"), F.lit(lanes)).cast("int"))
     per_lane = laned.groupBy("length", "lane").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
@@ -184,8 +195,10 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, keep: Mapping[str, Col
     offset, and the columns ``keep``, computed from the piece's ``ids``
     (little-endian uint32); by default the ids themselves.
 
-    Null and empty texts are the end id alone.  Rows that repeat are packed as
-    often as they come.  An empty table gives an empty result.
+    Null and empty texts are the end id alone; a text of any length is encoded
+    whole and cut into windows.  Rows that repeat are packed as often as they
+    come, null ids like any other.  Further columns are ignored.  An empty
+    table gives an empty result.
     """
     keep = {"ids": F.col("ids")} if keep is None else keep
     pieces = token_pieces(docs, window, **tokens).select("doc_id", "start", "length", "doc_tokens", *(c.alias(n) for n, c in keep.items()))

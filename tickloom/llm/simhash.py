@@ -5,12 +5,16 @@ bits.  Changing one bit changes one count by one, so the Manhattan distance of
 two embeddings is a lower bound of the Hamming distance.  The range join under
 that bound runs on the integer grid of embeddings: every fingerprint is placed
 in its own cell and the cells one step away, and two embeddings at distance
-two or less always share a cell.  Fingerprints that share no cell with
-another one are done.  For the others the bound is verified exactly with the
-same midpoint argument on the bits themselves: two fingerprints differ in two
-bits or fewer if and only if a word is within one bit of both.  A bucket of
-that last step holds at most 65 different fingerprints, so nothing here grows
-with the square of a group.
+two or less always share a cell.  The fingerprints that meet in a cell are the
+candidates, and each candidate pair is verified on its bits.  Cells of up to
+``CELL`` fingerprints compare theirs directly; those of fuller cells are dealt
+out again by the words within one bit, of which two fingerprints share one if
+and only if they differ in two bits or fewer, so that no group is compared
+with the square of its size.
+
+``near_components`` is the operator for whole similarity classes: links of
+fingerprints of five-word shingles and buckets of MinHash values propose pairs,
+and every pair is checked on the whole shingle sets.
 """
 
 from __future__ import annotations
@@ -20,24 +24,29 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import cut
+from tickloom.llm import minhash
+from tickloom.llm.common import drop, materialise, new_folder, own_name, small_batches, written
 from tickloom.llm.components import components
 
 SEED = 42
 SHINGLE = 3
+#: the grid's step and the words within one bit are made for this radius
 MAX_DISTANCE = 2
+CELL = 64
+#: near_components: fingerprints beside the hub that a leftover is compared with, and rows a group of leftovers
+NEXT, GROUP = 8, 128
+BATCH_ROWS = 500
 _EVEN = 0x5555555555555555
 
 
-def fingerprint(text: str | None) -> int:
+def fingerprint(text: str | None, n: int = SHINGLE) -> int:
     """Unsigned 64-bit SimHash of the lower-cased (A-Z) word shingles."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return 0
-    n = SHINGLE
     grams = [b" ".join(words)] if len(words) < n else map(b" ".join, zip(*(words[i:] for i in range(n)), strict=False))
     digest = xxhash.xxh64_intdigest
     h = np.fromiter((digest(g, SEED) for g in grams), dtype=np.uint64, count=max(1, len(words) - n + 1))
@@ -77,19 +86,30 @@ def _within_one_bit(fp):
     return F.array(fp, *(fp.bitwiseXOR(_signed(1 << i)) for i in range(64)))
 
 
+def _linked_in(fps: Column, radius: int) -> Column:
+    """(a, b) of the members of one cell that differ in ``radius`` bits or fewer."""
+    def with_earlier(x: Column, i: Column) -> Column:
+        close = F.filter(F.slice(fps, F.lit(1), i), lambda y: F.bit_count(x.bitwiseXOR(y)) <= radius)
+        return F.transform(close, lambda y: F.struct(x.alias("a"), y.alias("b")))
+
+    return F.flatten(F.transform(fps, with_earlier))
+
+
 def link_edges(fps: DataFrame) -> DataFrame:
-    """Distinct ``fp`` → star edges (a, b), all of them true links, that join
+    """Distinct ``fp`` → edges (a, b), all of them true links, that join
     exactly the fingerprints reachable by links of two bits or fewer."""
     spark = fps.sparkSession
     fps = fps.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # few bytes, but each row makes many
     placed = fps.select("fp", F.explode(_grid_cells(F.col("fp"))).alias("cell")).filter("cell is not null")
-    shared = placed.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo < hi").select("cell")
-    near = placed.join(shared, "cell", "left_semi").select("fp").distinct()
-    meet = near.select("fp", F.explode(_within_one_bit(F.col("fp"))).alias("key"))
-    # at most 65 different fingerprints lie within one bit of a key
-    buckets = meet.groupBy("key").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
-    star = buckets.select(F.explode("fps").alias("a"), F.array_min("fps").alias("b"))
-    return star.filter("a != b").distinct()
+    shared = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = materialise(placed.join(shared, "cell").select("cell", "n", "fp"))
+    few = met.filter(F.col("n") <= CELL).groupBy("cell").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
+    direct = few.select(F.explode(_linked_in(F.col("fps"), MAX_DISTANCE)).alias("e")).select("e.a", "e.b")
+    # at most 65 different fingerprints lie within one bit of a word
+    words = met.filter(F.col("n") > CELL).select("fp").distinct().select("fp", F.explode(_within_one_bit(F.col("fp"))).alias("word"))
+    full = words.groupBy("word").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
+    star = full.select(F.explode("fps").alias("a"), F.array_min("fps").alias("b")).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_DISTANCE)
+    return direct.union(star).filter("a != b").distinct()
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -97,9 +117,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     A null text counts as empty (fingerprint zero, linked like any other); a
     component of only null ids has a null component_id; rows that repeat are
-    returned as often as they come; an empty table gives an empty result.
+    returned as often as they come; texts of any length are read whole;
+    further columns are ignored; an empty table gives an empty result.
     """
-    rows = cut(fingerprints(docs, id_col, text_col))
+    rows = materialise(fingerprints(docs, id_col, text_col))
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     member = components(link_edges(nodes.select("fp")))
     labelled = nodes.join(member, nodes.fp == member.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
@@ -108,7 +129,89 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The document with the smallest id of each component, with its columns."""
-    stay = simhash_components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["__id"]), "left_semi")
+def near_components(docs: DataFrame, shingle: int = minhash.SHINGLE, similarity: float = minhash.SIMILARITY) -> DataFrame:
+    """One row per document: doc_id, component_id, the smallest doc_id that
+    links of ``similarity`` or more between sets of ``shingle``-word shingles
+    reach.
+
+    Nodes are the different sets.  Pairs come from fingerprints that differ in
+    two bits or fewer, and from buckets: two sets at similarity 0.8 share none
+    of the 24 with probability 0.00007.  In a bucket every set is compared with
+    the hub, the one whose buckets are fullest; what the hub's class does not
+    take in is compared, in groups of about ``GROUP``, with the group's first
+    and the ``NEXT`` sets in order.  So pairs grow with the rows of a bucket;
+    a link between two leftovers of a large bucket that are neither the hub's
+    nor near in order can be missed.
+
+    Null texts count as empty, a component of only null ids has a null
+    component_id, rows that repeat are returned as often as they come, texts of
+    any length are read whole, further columns are ignored, and an empty table
+    gives an empty result.
+    """
+    spark, folder = docs.sparkSession, new_folder(docs.sparkSession, "near")
+    own = small_batches(spark, BATCH_ROWS)  # sets of long texts are large
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    kept = {"rows": minhash.SIGNED, "nodes": "node long, first_id long, fp long", "met": "node long, bucket long, n long", "hubs": "bucket long, hub long", "sets": "node long, sig binary, shingles binary"}
+
+    def read(name: str, kind: str | None = None, session=spark) -> DataFrame:
+        return session.read.schema(kind or kept[name]).parquet(f"{folder}/{name}")
+
+    written(texts.mapInArrow(minhash.sign(shingle), minhash.SIGNED), folder, "rows")
+    written(read("rows").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("fp").alias("fp")), folder, "nodes")
+    placed = read("rows").select("node", F.explode("buckets").alias("bucket")).distinct()
+    counted = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    written(placed.join(counted.hint("merge"), "bucket").select("node", "bucket", "n"), folder, "met")
+    met = read("met")
+    weight = met.groupBy("node").agg(F.sum("n").alias("w"))
+    heaviest = met.join(weight.hint("merge"), "node").groupBy("bucket").agg(F.max(F.struct("w", "node")).alias("m"))
+    written(heaviest.select("bucket", F.col("m.node").alias("hub")), folder, "hubs")
+    of_fp = read("nodes").groupBy("fp").agg(F.min("node").alias("rep"))
+    fp_pairs = link_edges(of_fp.select("fp")).join(of_fp.select(F.col("fp").alias("a"), F.col("rep").alias("x")), "a").join(of_fp.select(F.col("fp").alias("b"), F.col("rep").alias("y")), "b").select("x", "y")
+    pairs = met.join(read("hubs").hint("merge"), "bucket").select(F.col("node").alias("x"), F.col("hub").alias("y"))
+    pairs = pairs.union(fp_pairs).union(read("nodes").join(of_fp, "fp").select(F.col("node").alias("x"), F.col("rep").alias("y")))
+
+    def ordered(p: DataFrame) -> DataFrame:
+        return p.filter("x != y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+    edge = "a long, b long"
+    written(ordered(pairs), folder, "pairs")
+    asked = met.select("node").union(read("pairs", edge).select("a")).union(read("pairs", edge).select("b")).distinct()
+    one = read("rows").join(asked.hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("sig").alias("sig"), F.first("shingles").alias("shingles"))
+    written(one, folder, "sets")
+
+    def checked(name: str) -> DataFrame:
+        """The pairs of table ``name`` that hold; signatures, small, go first."""
+        for column, test, out in (("sig", minhash.promising(similarity), f"{name}-close"), ("shingles", minhash.similar(similarity), f"{name}-links")):
+            sets = read("sets", session=own)
+            whole = read(name, edge, own).join(sets.select(F.col("node").alias("a"), F.col(column).alias("x")).hint("merge"), "a").join(sets.select(F.col("node").alias("b"), F.col(column).alias("y")).hint("merge"), "b")
+            written(whole.select("a", "b", "x", "y").mapInArrow(test, edge), folder, out)
+            name = out
+        return read(name, edge)
+
+    links = checked("pairs")
+    member = components(links)
+    named = met.join(member, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("c"))
+    hubs = read("hubs").join(member.withColumnRenamed("node", "hub"), "hub", "left").select("bucket", F.coalesce("component", "hub").alias("hub_c"))
+    left = named.join(hubs.hint("merge"), "bucket").filter("c != hub_c")
+    left = left.withColumn("deal", F.pmod(F.xxhash64(F.lit(1), "node"), F.floor(F.col("n") / GROUP) + 1))
+    in_order = Window.partitionBy("bucket", "deal").orderBy("node")
+    other = F.struct("node", "c")
+    others = F.array(F.first(other).over(in_order), *(F.lead(other, k).over(in_order) for k in range(1, NEXT + 1)))
+    more = left.select("node", "c", others.alias("os")).select("node", "c", F.explode("os").alias("o")).filter("o is not null and o.c != c")
+    more = ordered(more.select(F.col("node").alias("x"), F.col("o.node").alias("y")))
+    written(more.join(read("pairs", edge).hint("merge"), ["a", "b"], "left_anti"), folder, "more")
+    member = components(links.union(checked("more")))
+    labelled = read("nodes").join(member, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
+    least = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    labelled = labelled.join(least.hint("merge"), "component").select("node", "component_id")
+    out = materialise(read("rows").select("doc_id", "node").join(labelled.hint("merge"), "node").select("doc_id", "component_id"))
+    drop(spark, folder)
+    return out
+
+
+def keep_one(docs: DataFrame, **kw) -> DataFrame:
+    """The document with the smallest id of each component, with its columns;
+    rows that repeat that id stay with it."""
+    key = own_name(docs, "near_id")
+    stay = near_components(docs, **kw).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(stay, docs["doc_id"].eqNullSafe(stay[key]), "left_semi")
