@@ -5,9 +5,15 @@ documents hold links each of its occurrences to the first FEW occurrences in the
 smallest document, and each further one there to the first occurrence in the
 largest, so links grow with the seeds and not with their pairs.  The links of
 two documents are chained in order in both, with gap costs, through a Fenwick
-tree; every seed of a chain that no stretch covers yet starts an alignment word
-by word, which extends it to its ends and bridges edits; and what the aligned
-stretches cover of a document is merged.
+tree.  A chain shorter than LONG words is looked at in its surroundings: fewer
+words than a passage around it can differ must lie unmatched beside it.  From
+every other one each seed that no stretch covers yet starts an alignment word by
+word, which extends it to its ends and bridges edits; equal pairs of texts are
+aligned once; and what the aligned stretches cover of a document is merged.
+
+Words are runs of anything but the six ASCII blanks, A-Z lower-cased.  A
+document is an id with a text: rows that repeat both are one document, and
+different texts under one id are different documents.
 """
 
 from __future__ import annotations
@@ -21,65 +27,122 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import materialise
+from tickloom.llm.common import drop, materialise, new_folder, small_batches, written
 
 K = 6
 WINNOW = 8
 GAP_COST = 0.05
 MIN_WORDS = 50
 MIN_IDENTITY = 0.8
-PAD = 40
+PAD = 100
+#: words that a chain spans without a look at what lies beside it
+LONG = 30
+#: how far apart matching words beside a short chain may lie, and how many
+#: times the share of edits that MIN_IDENTITY allows may lie in MIN_WORDS there
+SHIFT, SLACK = 10, 1.5
 BATCH_ROWS = 500
 #: occurrences in the smallest document that every other document links to
 FEW = 8
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-_cache: dict[str, int] = {}
-
-
-def words_of(text: str | None) -> list[str]:
-    return (text or "").lower().split()
-
-
-def _word_hashes(words: list[str]) -> np.ndarray:
-    if len(_cache) > 300_000:
-        _cache.clear()
-    try:
-        return np.fromiter((_cache[w] for w in words), np.uint64, len(words))
-    except KeyError:
-        for w in set(words):
-            if w not in _cache:
-                _cache[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 7)
-        return np.fromiter((_cache[w] for w in words), np.uint64, len(words))
-
-
-def seeds_of(text: str | None, k: int = K, winnow: int = WINNOW) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, word positions).  Any ``k + winnow - 1`` words that two texts
-    share have a seed in common."""
-    words = words_of(text)
-    n = len(words) - k + 1
-    if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.int32)
-    w = _word_hashes(words)
+#: bytes of text that are hashed at once
+CHUNK = 1 << 20
+_M = 0x9E3779B97F4A7C15
+_MIX = np.uint64(_M)
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(1, 257, dtype=np.uint64)
+_LOWER[65:91] += np.uint64(32)
+_powers: list[np.ndarray] = []
+
+
+def _word_hashes(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of texts laid end to end, and where each text begins → a hash of
+    every word, and where the word begins: differences of prefix sums of a
+    polynomial, moved to one power and mixed."""
+    n = len(data)
+    if not _powers or len(_powers[0]) < n:
+        size = max(n, CHUNK + 1)
+        run = lambda m: np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, m, np.uint64))])
+        _powers[:] = [run(_M), run(pow(_M, -1, 1 << 64))]
+    blank = _BLANK[data]
+    before, after = np.r_[True, blank[:-1]], np.r_[blank[1:], True]
+    before[first[first < n]] = True
+    after[(first - 1)[(first > 0) & (first <= n)]] = True
+    s, e = np.flatnonzero(~blank & before), np.flatnonzero(~blank & after)
+    total = np.concatenate([[np.uint64(0)], np.cumsum(_LOWER[data] * _powers[0][:n])])
+    h = (total[e + 1] - total[s]) * _powers[1][s]
+    h ^= h >> np.uint64(32)
+    h *= _MIX
+    return h ^ (h >> np.uint64(29)), s
+
+
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word of all texts in order, words of each text)."""
+    hashes, counts, at = [], np.zeros(len(texts), np.int64), 0
+    while at < len(texts):
+        upto, size = at, 0
+        while upto < len(texts) and (upto == at or size + len(texts[upto]) <= CHUNK):
+            size += len(texts[upto])
+            upto += 1
+        part = texts[at:upto]
+        if size <= CHUNK:
+            first = np.cumsum([0, *map(len, part)])
+            h, s = _word_hashes(np.frombuffer(b"".join(part), np.uint8), first)
+            hashes.append(h)
+            counts[at:upto] = np.diff(np.searchsorted(s, first))
+        else:  # one long text, cut at blanks
+            text, i = part[0], 0
+            while i < len(text):
+                j = min(i + CHUNK, len(text))
+                while j < len(text) and not _BLANK[text[j]]:
+                    j += 1
+                h, _ = _word_hashes(np.frombuffer(text, np.uint8, j - i, i), np.array([0]))
+                hashes.append(h)
+                counts[at] += len(h)
+                i = j
+        at = upto
+    return (np.concatenate(hashes) if hashes else np.empty(0, np.uint64)), counts
+
+
+def seeds_of(texts: list[bytes], k: int = K, winnow: int = WINNOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, which text, word positions).  Any ``k + winnow - 1`` words that
+    two texts share have a seed in common."""
+    w, counts = hashed_words(texts)
+    gap = k + winnow
+    starts = np.concatenate([[0], np.cumsum(counts + gap)])
+    which = np.repeat(np.arange(len(texts)), counts)
+    laid = np.zeros(starts[-1] + gap, np.uint64)
+    laid[np.arange(len(w)) + which * gap] = w  # texts lie apart, so no gram or window spans two
+    n = len(laid) - k + 1
     h = np.zeros(n, np.uint64)
     for j in range(k):
-        h = (h ^ w[j : j + n]) * _MIX
+        h = (h ^ laid[j : j + n]) * _MIX
         h ^= h >> np.uint64(29)
-    if n <= winnow:
-        at = np.array([n - 1 - int(np.argmin(h[::-1]))])
-    else:
-        view = np.lib.stride_tricks.sliding_window_view(h, winnow)
-        at = np.unique(np.arange(len(view)) + winnow - 1 - np.argmin(view[:, ::-1], axis=1))
-    return h[at].view(np.int64), at.astype(np.int32)
+    grams = np.maximum(counts - k + 1, 0)
+    some = grams > 0
+    own = np.zeros(n + 1, np.int32)
+    np.add.at(own, starts[:-1][some], 1)
+    np.add.at(own, (starts[:-1] + grams)[some], -1)
+    h[np.cumsum(own[:-1]) == 0] = np.iinfo(np.uint64).max
+    windows = np.maximum(grams - winnow + 1, 1)[some]
+    base = np.repeat(starts[:-1][some] - np.concatenate([[0], np.cumsum(windows)[:-1]]), windows) + np.arange(windows.sum())
+    view = np.lib.stride_tricks.sliding_window_view(h, winnow)
+    pick = np.concatenate([b + winnow - 1 - np.argmin(view[b][:, ::-1], axis=1) for b in np.array_split(base, len(base) // 65536 + 1)]) if len(base) else np.empty(0, np.int64)
+    at = np.unique(pick)
+    text = np.searchsorted(starts, at, side="right") - 1
+    return h[at].view(np.int64), text, (at - starts[text]).astype(np.int32)
+
+
+def _texts(column: pa.Array) -> list[bytes]:
+    return [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in column]
 
 
 def _seed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, 512):
-            ids, texts = b.column(0)[at : at + 512], b.column(1)[at : at + 512].to_pylist()
-            found = [seeds_of(t) for t in texts]
-            n = [len(h) for h, _ in found]
-            doc = np.repeat(ids.to_numpy(zero_copy_only=False), n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h for h, _ in found])), pa.array(doc, pa.int64()), pa.array(np.concatenate([p for _, p in found]))], names=["h", "doc_id", "pos"])
+            part = b.slice(at, 512)
+            h, which, pos = seeds_of(_texts(part.column(2)))
+            own = [part.column(i).to_numpy(zero_copy_only=False)[which] for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(own[0], pa.int64()), pa.array(own[1], pa.int32()), pa.array(pos)], names=["h", "doc_id", "ver", "pos"])
 
 
 def chain(d: np.ndarray, a: np.ndarray, k: int = 8, gap_cost: float = GAP_COST) -> list[tuple[int, int, int, int, list[int], list[int]]]:
@@ -132,25 +195,32 @@ def chain(d: np.ndarray, a: np.ndarray, k: int = 8, gap_cost: float = GAP_COST)
     return out
 
 
+CHAINS = "doc_id long, ver int, d0 long, d1 long, anchor long, aver int, a0 long, a1 long, ds array<long>, as array<long>"
+
+
 def _chain_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (doc_id, anchor); a group may span batches."""
-    names = ["doc_id", "d0", "d1", "anchor", "a0", "a1", "ds", "as"]
-    kinds = [pa.int64()] * 6 + [pa.list_(pa.int64())] * 2
+    """Rows come sorted by (doc_id, ver, anchor, aver, pos, apos); a group may
+    span batches."""
+    names = [x.split()[0] for x in CHAINS.split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
     held = None
 
     def chains(rows: list[np.ndarray]) -> pa.RecordBatch:
-        doc, anchor, pos, apos = rows
-        cuts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1]), True])
-        out = [(int(doc[s]), x[0], x[1], int(anchor[s]), *x[2:]) for s, e in zip(cuts[:-1], cuts[1:], strict=True) for x in chain(pos[s:e], apos[s:e], K)]
-        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True) if out else [[]] * 8, kinds, strict=True)], names=names)
+        fresh = np.r_[True, np.any([x[1:] != x[:-1] for x in rows], axis=0)]  # documents that repeat
+        doc, ver, anchor, aver, pos, apos = (x[fresh] for x in rows)
+        cuts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (ver[1:] != ver[:-1]) | (anchor[1:] != anchor[:-1]) | (aver[1:] != aver[:-1]), True])
+        out = []
+        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            out += [(int(doc[s]), int(ver[s]), x[0], x[1], int(anchor[s]), int(aver[s]), *x[2:]) for x in chain(pos[s:e], apos[s:e], K)]
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True) if out else [[]] * 10, kinds, strict=True)], names=names)
 
     for b in batches:
-        rows = [b.column(i).to_numpy() for i in range(4)]
+        rows = [b.column(i).to_numpy() for i in range(6)]
         if held is not None:
             rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
         if not len(rows[0]):
             continue
-        same = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1])
+        same = np.all([x == x[-1] for x in rows[:4]], axis=0)
         first = int(np.argmax(same))
         held = [x[first:] for x in rows]
         if first:
@@ -159,27 +229,92 @@ def _chain_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield chains(held)
 
 
-def _slice_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, ends, text) → for each (s, e) the words from PAD before s to PAD after e."""
-    names, kinds = ["doc_id", "s", "e", "words"], [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-    rows: list[tuple[int, int, int, str]] = []
+def _at_ends(make: Callable[[np.ndarray], Callable[[int, int], tuple]], kinds: list[pa.DataType]) -> Callable:
+    """(doc_id, ver, ends, text) → doc_id, ver, s, e and what ``make`` of the
+    text's word hashes gives for each (s, e)."""
+    names = ["doc_id", "ver", "s", "e", *(f"x{i}" for i in range(len(kinds)))]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), *kinds]
 
-    def batch() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
 
-    for b in batches:
-        for doc, ends, text in zip(b.column(0), b.column(1), b.column(2), strict=True):
-            doc, words = doc.as_py(), words_of(text.as_py())
-            for x in ends.as_py():
-                rows.append((doc, x["s"], x["e"], " ".join(words[max(0, x["s"] - PAD) : x["e"] + PAD])))
-                if len(rows) == BATCH_ROWS:
-                    yield batch()
-                    rows.clear()
-    if rows:
-        yield batch()
-
-
-def extend(x: list[str], y: list[str], i: int, j: int, drop: int = 8, reach: int = 12, cost: float = 1) -> tuple[int, int, int]:
+        def batch() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            rows.clear()
+            return out
+
+        for b in batches:
+            for doc, ver, ends, text in zip(*(b.column(i) for i in range(3)), _texts(b.column(3)), strict=True):
+                doc, ver, of = doc.as_py(), ver.as_py(), make(hashed_words([text])[0])
+                for x in ends.as_py():
+                    rows.append((doc, ver, x["s"], x["e"], *of(x["s"], x["e"])))
+                    if len(rows) == BATCH_ROWS:
+                        yield batch()
+        if rows:
+            yield batch()
+
+    return run
+
+
+def _beside(reach: int) -> Callable:
+    """A byte for each of the ``reach`` words before s, the nearest first, and
+    after e; 0 beyond the text."""
+
+    def make(w: np.ndarray) -> Callable[[int, int], tuple]:
+        b = np.concatenate([np.zeros(reach, np.uint8), np.maximum((w >> np.uint64(56)).astype(np.uint8), 1), np.zeros(reach, np.uint8)])
+        return lambda s, e: (b[s : s + reach][::-1].tobytes() + b[e + reach : e + 2 * reach].tobytes(),)
+
+    return make
+
+
+def _slice(w: np.ndarray) -> Callable[[int, int], tuple]:
+    """The words from PAD before s to PAD after e, and a hash of them."""
+    small = (w >> np.uint64(32)).astype(np.uint32)
+
+    def of(s: int, e: int) -> tuple:
+        own = small[max(0, s - PAD) : e + PAD].tobytes()
+        return xxhash.xxh3_128_digest(own), own
+
+    return of
+
+
+def _unmatched(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many of the first 0, 1, 2, ... words of each row of x have no equal
+    within SHIFT places in y; words beyond a text count as many."""
+    found = np.zeros(x.shape, bool)
+    n = x.shape[1]
+    for o in range(-min(SHIFT, n), min(SHIFT, n) + 1):
+        i, j = max(0, -o), n - max(0, o)
+        found[:, i:j] |= x[:, i:j] == y[:, i + o : j + o]
+    cost = np.where(x == 0, 1000, ~found)
+    return np.concatenate([np.zeros((len(x), 1), int), np.cumsum(cost, axis=1)], axis=1)
+
+
+def fits(x: np.ndarray, y: np.ndarray, span: np.ndarray, min_words: int, most: int) -> np.ndarray:
+    """Whether ``min_words`` words of x around a chain of ``span`` words can lie
+    in a passage: at most ``most`` of those beside it have no match."""
+    reach = x.shape[1] // 2
+    left, right = _unmatched(x[:, :reach], y[:, :reach]), _unmatched(x[:, reach:], y[:, reach:])
+    out = np.zeros(len(x), bool)
+    for n in np.unique(span):
+        need, rows = min(reach, max(0, min_words - int(n))), span == n
+        out[rows] = (left[rows, : need + 1] + right[rows, need::-1][:, : need + 1]).min(axis=1) <= most
+    return out
+
+
+def _fit_batches(min_words: int, most: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, -1) for i in (10, 11))
+                span = np.maximum(b.column(3).to_numpy() - b.column(2).to_numpy(), b.column(7).to_numpy() - b.column(6).to_numpy())
+                keep = fits(x, y, span, min_words, most)
+                yield pa.RecordBatch.from_arrays(b.columns[:10], names=b.schema.names[:10]).filter(pa.array(keep))
+
+    return run
+
+
+def extend(x: list[int], y: list[int], i: int, j: int, drop: int = 8, reach: int = 12, cost: float = 1) -> tuple[int, int, int]:
     """Align x[i:] with y[j:] from a common start: (end in x, end in y, words
     matched).  Edits are bridged by the nearest two words in step; the walk
     ends where the score, one up a match and ``cost`` down an edit, has dropped
@@ -199,7 +334,7 @@ def extend(x: list[str], y: list[str], i: int, j: int, drop: int = 8, reach: int
             if score > best:
                 best, end = score, (i, j, same)
             continue
-        ahead: dict[tuple[str, str], int] = {}
+        ahead: dict[tuple[int, int], int] = {}
         for p in range(min(reach, len(x) - i - 1)):
             ahead.setdefault((x[i + p], x[i + p + 1]), p)
         step = (1, 1)
@@ -212,7 +347,7 @@ def extend(x: list[str], y: list[str], i: int, j: int, drop: int = 8, reach: int
     return end
 
 
-def align(x: list[str], y: list[str], i: int, j: int, min_identity: float = MIN_IDENTITY, x_from: int = 0, y_from: int = 0) -> tuple[int, int, int, int, int]:
+def align(x: list[int], y: list[int], i: int, j: int, min_identity: float = MIN_IDENTITY, x_from: int = 0, y_from: int = 0) -> tuple[int, int, int, int, int]:
     """Both ways from the common seed at x[i], y[j]: spans in x and y, matches.
     Where that is less alike than ``min_identity``, an edit costs as many
     matches as hold the identity at every end the walk can take."""
@@ -229,7 +364,7 @@ def _alike(xb: int, xe: int, yb: int, ye: int, same: int, min_identity: float) -
     return same >= min_identity * max(xe - xb, ye - yb) - 1e-9
 
 
-def stretches(x: list[str], y: list[str], seeds: list[tuple[int, int]], k: int = K, min_identity: float = MIN_IDENTITY) -> list[tuple[int, int, int, int, int]]:
+def stretches(x: list[int], y: list[int], seeds: list[tuple[int, int]], k: int = K, min_identity: float = MIN_IDENTITY) -> list[tuple[int, int, int, int, int]]:
     """All that a chain of seeds aligns, as from ``align``: a stretch from each
     seed that the last one does not cover, and neighbouring stretches as one
     where they stay alike with the words between them."""
@@ -257,49 +392,99 @@ def stretches(x: list[str], y: list[str], seeds: list[tuple[int, int]], k: int =
 
 
 def _align_batches(min_identity: float) -> Callable:
-    names = ["doc_id", "start", "end", "partner", "p_start", "p_end", "matched"]
+    """(pair, rs, rt, x, y) → aligned stretches, in words from the slices' starts."""
+    names = ["pair", "xb", "xe", "yb", "ye", "matched"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            cols = [b.column(k).to_pylist() for k in range(6)]
-            for doc, d0, anchor, a0, ds, at, x, y in zip(*cols, b.column(6), b.column(7), strict=True):
-                x, y = x.as_py().split(), y.as_py().split()
-                xo, yo = max(0, d0 - PAD), max(0, a0 - PAD)
-                for s, e, ps, pe, same in stretches(x, y, [(i - xo, j - yo) for i, j in zip(ds, at, strict=True)], K, min_identity):
-                    out.append((doc, s + xo, e + xo, anchor, ps + yo, pe + yo, same))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 7)], names=names)
+            for pair, rs, rt, x, y in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3), b.column(4), strict=True):
+                x, y = (np.frombuffer(t.as_buffer(), np.uint32).tolist() for t in (x, y))
+                out += [(pair, *row) for row in stretches(x, y, list(zip(rs, rt, strict=True)), K, min_identity)]
+            cols = list(zip(*out, strict=True)) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=names)
 
     return run
 
 
 def shared_pairs(docs: DataFrame, min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY) -> DataFrame:
-    """Aligned passages of pairs: doc_id, start, end, partner, p_start, p_end,
-    matched; positions count words from 0, ends exclusive."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
-    seeds = materialise(docs.mapInArrow(_seed_batches, "h long, doc_id long, pos int"))
-    # written, so that both joins on h read plain exchanges, which are split at a hot seed
-    repeated = materialise(seeds.groupBy("h").agg(F.min("doc_id").alias("anchor"), F.max("doc_id").alias("last")).filter("anchor < last"))
-    held = materialise(seeds.join(repeated, "h"))
-    nth = F.row_number().over(Window.partitionBy("h").orderBy("apos"))
-    at = materialise(held.filter("doc_id = anchor").select("h", F.col("pos").alias("apos")).distinct().withColumn("nth", nth))
-    links = held.filter("doc_id != anchor").join(at.filter(F.col("nth") <= FEW), "h").select("doc_id", "anchor", "pos", "apos")
+    """Aligned passages of pairs: doc_id, ver, start, end, partner, pver,
+    p_start, p_end, matched; positions count words from 0, ends exclusive; ver
+    tells texts of one id apart."""
+    spark, folder = docs.sparkSession, new_folder(docs.sparkSession, "passages")
+    own = small_batches(spark, BATCH_ROWS)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("ver"), "text").filter("doc_id is not null and text is not null")
+
+    def table(df: DataFrame, name: str, session=None) -> DataFrame:
+        path = written(df, folder, name)
+        return (session or spark).read.schema(df.schema).parquet(path)
+
+    # tables that are written before a join read plain exchanges there, which Spark splits at a hot key
+    seeds = table(docs.mapInArrow(_seed_batches, "h long, doc_id long, ver int, pos int"), "seeds")
+    repeated = seeds.groupBy("h").agg(F.min("doc_id").alias("anchor"), F.max("doc_id").alias("last"), F.min("ver").alias("v0"), F.max("ver").alias("v1"))
+    repeated = table(repeated.filter("anchor < last or v0 < v1").select("h", "anchor"), "repeated")
+    held = table(seeds.join(repeated, "h"), "held")
+    mine = held.filter("doc_id = anchor").select("h", F.col("ver").alias("aver"), F.col("pos").alias("apos")).distinct()
+    by_place = Window.partitionBy("h").orderBy("aver", "apos")
+    mine = mine.withColumn("nth", F.row_number().over(by_place)).withColumn("least", F.first("aver").over(by_place))
+    at = table(mine.filter("aver = least").drop("least"), "at")
+    pair = ["doc_id", "ver", "anchor", "aver", "pos", "apos"]
+    other = "doc_id != anchor or ver != aver"
+    links = held.join(at.filter(F.col("nth") <= FEW), "h").filter(other).select(*pair)
     # the anchor's further occurrences link to one place of one document each
-    first = materialise(held.filter("doc_id = last").groupBy("h", "anchor", F.col("last").alias("doc_id")).agg(F.min("pos").alias("pos")).join(at.filter(F.col("nth") > FEW), "h").select("doc_id", "anchor", "pos", "apos"))
-    links = links.union(first)
-    chained = links.repartition("doc_id", "anchor").sortWithinPartitions("doc_id", "anchor", "pos", "apos")
-    found = materialise(chained.mapInArrow(_chain_batches, "doc_id long, d0 long, d1 long, anchor long, a0 long, a1 long, ds array<long>, as array<long>").distinct())
-    ends = found.select("doc_id", F.col("d0").alias("s"), F.col("d1").alias("e")).union(found.select("anchor", "a0", "a1")).distinct()
-    # a text is read once for all its ends in a few thousand words
-    ends = ends.groupBy("doc_id", F.expr("s div 4096").alias("part")).agg(F.collect_list(F.struct("s", "e")).alias("ends"))
-    sliced = docs.join(ends, "doc_id").select("doc_id", "ends", "text").mapInArrow(_slice_batches, "doc_id long, s long, e long, words string")
-    # ids that repeat with different texts keep one slice
-    sliced = materialise(sliced).groupBy("doc_id", "s", "e").agg(F.min("words").alias("words"))
-    left = sliced.select("doc_id", F.col("s").alias("d0"), F.col("e").alias("d1"), F.col("words").alias("x"))
-    right = sliced.select(F.col("doc_id").alias("anchor"), F.col("s").alias("a0"), F.col("e").alias("a1"), F.col("words").alias("y"))
-    both = found.join(left, ["doc_id", "d0", "d1"]).join(right, ["anchor", "a0", "a1"]).select("doc_id", "d0", "anchor", "a0", "ds", "as", "x", "y")
-    aligned = both.mapInArrow(_align_batches(min_identity), "doc_id long, start long, end long, partner long, p_start long, p_end long, matched long")
-    return aligned.filter((F.col("matched") >= K) & (F.col("matched") >= min_identity * F.greatest(F.col("end") - F.col("start"), F.col("p_end") - F.col("p_start"))))
+    more = at.filter(F.col("nth") > FEW)
+    place = held.join(at.filter(F.col("nth") == FEW + 1).select("h", "aver"), "h").filter(other)
+    place = table(place.groupBy("h", "anchor").agg(F.max(F.struct("doc_id", "ver", (-F.col("pos")).alias("back"))).alias("m")), "place")
+    further = place.join(more, "h").select("m.doc_id", "m.ver", "anchor", "aver", (-F.col("m.back")).alias("pos"), "apos")
+    chained = links.union(further).repartition("doc_id", "ver", "anchor", "aver").sortWithinPartitions(*pair)
+    found = table(chained.mapInArrow(_chain_batches, CHAINS), "found")
+
+    def sides(chains: DataFrame) -> DataFrame:
+        ends = chains.select("doc_id", "ver", F.col("d0").alias("s"), F.col("d1").alias("e")).union(chains.select("anchor", "aver", "a0", "a1")).distinct()
+        # a text is read once for all its ends in a few thousand words
+        ends = ends.groupBy("doc_id", "ver", F.expr("s div 4096").alias("part")).agg(F.collect_list(F.struct("s", "e")).alias("ends"))
+        return docs.join(ends.hint("merge"), ["doc_id", "ver"]).select("doc_id", "ver", "ends", "text")
+
+    keys = ["doc_id", "ver", "s", "e"]
+
+    def at_both(chains: DataFrame, what: DataFrame, columns: list[str]) -> DataFrame:
+        """Chains with the columns of ``what`` at their two places."""
+        left = what.select(F.col("doc_id"), F.col("ver"), F.col("s").alias("d0"), F.col("e").alias("d1"), *(F.col(c).alias(f"l{c}") for c in columns))
+        right = what.select(F.col("doc_id").alias("anchor"), F.col("ver").alias("aver"), F.col("s").alias("a0"), F.col("e").alias("a1"), *(F.col(c).alias(f"r{c}") for c in columns))
+        both = chains.join(left.hint("merge"), ["doc_id", "ver", "d0", "d1"]).join(right.hint("merge"), ["anchor", "aver", "a0", "a1"])
+        return both.select(*found.columns, *(f"l{c}" for c in columns), *(f"r{c}" for c in columns))
+
+    reach = max(1, min_words - K)
+    span = F.greatest(F.col("d1") - F.col("d0"), F.col("a1") - F.col("a0"))
+    beside = sides(found.filter(span < LONG)).mapInArrow(_at_ends(_beside(reach), [pa.binary()]), "doc_id long, ver int, s long, e long, x0 binary")
+    beside = table(beside.dropDuplicates(keys), "beside")
+    most = int(SLACK * (1 - min_identity) * min_words + 1e-9)
+    fit = table(at_both(found.filter(span < LONG), beside, ["x0"]).mapInArrow(_fit_batches(min_words, most), CHAINS), "fit")
+    found = table(found.filter(span >= LONG).union(fit), "whole")
+    sliced = sides(found).mapInArrow(_at_ends(_slice, [pa.binary(), pa.binary()]), "doc_id long, ver int, s long, e long, x0 binary, x1 binary")
+    sliced = table(sliced.dropDuplicates(keys), "sliced")
+    words = table(sliced.groupBy("x0").agg(F.first("x1").alias("words")), "words")
+    moved = lambda c, start: F.transform(c, lambda v: v - F.greatest(start - PAD, F.lit(0)))
+    named = at_both(found, sliced.drop("x1"), ["x0"]).withColumn("rs", moved(F.col("ds"), F.col("d0"))).withColumn("rt", moved(F.col("as"), F.col("a0")))
+    told = F.concat_ws(":", F.hex("lx0"), F.hex("rx0"), F.array_join("rs", ","), F.array_join("rt", ","))
+    named = table(named.withColumn("pair", F.unhex(F.sha2(told, 256))).select("pair", "lx0", "rx0", "rs", "rt", "doc_id", "ver", "d0", "anchor", "aver", "a0"), "named")
+    once = table(named.groupBy("pair").agg(*(F.first(c).alias(c) for c in ("lx0", "rx0", "rs", "rt"))), "once")
+    reopened = lambda name, kind: own.read.schema(kind.schema).parquet(f"{folder}/{name}")
+    text = reopened("words", words)
+    both = reopened("once", once).join(text.select(F.col("x0").alias("lx0"), F.col("words").alias("x")).hint("merge"), "lx0").join(text.select(F.col("x0").alias("rx0"), F.col("words").alias("y")).hint("merge"), "rx0")
+    aligned = both.select("pair", "rs", "rt", "x", "y").mapInArrow(_align_batches(min_identity), "pair binary, xb long, xe long, yb long, ye long, matched long")
+    alike = (F.col("matched") >= K) & (F.col("matched") >= min_identity * F.greatest(F.col("xe") - F.col("xb"), F.col("ye") - F.col("yb")))
+    written(aligned.filter(alike), folder, "aligned")
+    aligned = spark.read.schema(aligned.schema).parquet(f"{folder}/aligned")
+    x0, y0 = F.greatest(F.col("d0") - PAD, F.lit(0)), F.greatest(F.col("a0") - PAD, F.lit(0))
+    out = materialise(
+        named.join(aligned.hint("merge"), "pair").select(
+            "doc_id", "ver", (F.col("xb") + x0).alias("start"), (F.col("xe") + x0).alias("end"),
+            F.col("anchor").alias("partner"), F.col("aver").alias("pver"), (F.col("yb") + y0).alias("p_start"), (F.col("ye") + y0).alias("p_end"), "matched",
+        )
+    )
+    drop(spark, folder)
+    return out
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY) -> DataFrame:
@@ -309,23 +494,19 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_identity:
     A passage is a stretch that aligned passages cover without a break; the
     partner is the smallest document linked to it, n_links the number of
     different aligned stretches in it.  Documents without one are not listed.
-    Null ids and texts take no part; repeats inside one document or id do not
-    count; an empty table gives an empty result.
+    Null ids and texts take no part, nor do repeats inside one document or of
+    a whole row; different texts of one id are documents of their own, listed
+    under that id.  Texts of any length are read whole; further columns are
+    ignored; an empty table gives an empty result.
     """
-    # batches of whole texts for Python stay small, however long the texts are
-    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(key)
-    conf.set(key, str(BATCH_ROWS))
-    try:
-        pairs = materialise(shared_pairs(docs, min_words, min_identity))
-    finally:
-        conf.set(key, before)
-    sides = pairs.select("doc_id", "start", "end", "partner").union(pairs.select(F.col("partner"), F.col("p_start"), F.col("p_end"), F.col("doc_id")))
-    spans = sides.groupBy("doc_id", "start", "end").agg(F.min("partner").alias("partner"))
+    pairs = shared_pairs(docs, min_words, min_identity)
+    sides = pairs.select("doc_id", "ver", "start", "end", "partner").union(pairs.select("partner", "pver", "p_start", "p_end", "doc_id"))
+    spans = sides.groupBy("doc_id", "ver", "start", "end").agg(F.min("partner").alias("partner"))
     # spans of one start reduce to the longest before any document is gathered
-    spans = spans.groupBy("doc_id", "start").agg(F.max("end").alias("end"), F.min("partner").alias("partner"), F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy("doc_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.groupBy("doc_id", "ver", "start").agg(F.max("end").alias("end"), F.min("partner").alias("partner"), F.count(F.lit(1)).alias("n"))
+    in_order = Window.partitionBy("doc_id", "ver").orderBy("start")
+    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
     marked = spans.withColumn("fresh", F.coalesce(F.col("start") > F.max("end").over(earlier), F.lit(True)).cast("int"))
-    upto = Window.partitionBy("doc_id").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
-    merged = marked.withColumn("part", F.sum("fresh").over(upto)).groupBy("doc_id", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("partner").alias("partner_id"), F.sum("n").alias("n_links"))
+    upto = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    merged = marked.withColumn("part", F.sum("fresh").over(upto)).groupBy("doc_id", "ver", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("partner").alias("partner_id"), F.sum("n").alias("n_links"))
     return merged.withColumn("words", F.col("end") - F.col("start")).filter(F.col("words") >= min_words).select("doc_id", "start", "end", "words", "partner_id", "n_links")

@@ -67,23 +67,19 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprint_batches, "doc_id long, fp long")
 
 
-def _signed(x: int):
-    return F.lit(x - (1 << 64) if x >> 63 else x).cast("long")
+def _embedding(fp: Column) -> Column:
+    """The bit counts of the 32 segments, two bits a segment."""
+    even = F.lit(_EVEN).cast("long")
+    a, b = fp.bitwiseAND(even), F.shiftrightunsigned(fp, 1).bitwiseAND(even)
+    return F.shiftleft(a.bitwiseAND(b), 1).bitwiseOR(a.bitwiseXOR(b))
 
 
-def _grid_cells(fp):
-    """The cell of the embedding, two bits a segment, and those one step away."""
-    a, b = fp.bitwiseAND(_signed(_EVEN)), F.shiftrightunsigned(fp, 1).bitwiseAND(_signed(_EVEN))
-    v = F.shiftleft(a.bitwiseAND(b), 1).bitwiseOR(a.bitwiseXOR(b))
-    cells = [v]
-    for i in range(32):
-        count = F.shiftrightunsigned(v, 2 * i).bitwiseAND(F.lit(3))
-        cells += [F.when(count < 2, v.bitwiseXOR(_signed(1 << 2 * i))), F.when(count > 0, v.bitwiseXOR(_signed(3 << 2 * i)))]
-    return F.array(*cells)
-
-
-def _within_one_bit(fp):
-    return F.array(fp, *(fp.bitwiseXOR(_signed(1 << i)) for i in range(64)))
+#: the cell of an embedding v and those one step away; a step up or down in a
+#: segment changes its two bits, 00, 01 or 10, by xor with 01 or 11
+_CELLS = """concat(array(v), flatten(transform(sequence(0, 62, 2), i ->
+    CASE shiftrightunsigned(v, i) & 3 WHEN 0 THEN array(v ^ shiftleft(1L, i)) WHEN 2 THEN array(v ^ shiftleft(3L, i))
+    ELSE array(v ^ shiftleft(1L, i), v ^ shiftleft(3L, i)) END)))"""
+_WORDS = "concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))"
 
 
 def _linked_in(fps: Column, radius: int) -> Column:
@@ -100,13 +96,13 @@ def link_edges(fps: DataFrame) -> DataFrame:
     exactly the fingerprints reachable by links of two bits or fewer."""
     spark = fps.sparkSession
     fps = fps.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # few bytes, but each row makes many
-    placed = fps.select("fp", F.explode(_grid_cells(F.col("fp"))).alias("cell")).filter("cell is not null")
+    placed = fps.select("fp", _embedding(F.col("fp")).alias("v")).select("fp", F.explode(F.expr(_CELLS)).alias("cell"))
     shared = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = materialise(placed.join(shared, "cell").select("cell", "n", "fp"))
     few = met.filter(F.col("n") <= CELL).groupBy("cell").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
     direct = few.select(F.explode(_linked_in(F.col("fps"), MAX_DISTANCE)).alias("e")).select("e.a", "e.b")
     # at most 65 different fingerprints lie within one bit of a word
-    words = met.filter(F.col("n") > CELL).select("fp").distinct().select("fp", F.explode(_within_one_bit(F.col("fp"))).alias("word"))
+    words = met.filter(F.col("n") > CELL).select("fp").distinct().select("fp", F.explode(F.expr(_WORDS)).alias("word"))
     full = words.groupBy("word").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
     star = full.select(F.explode("fps").alias("a"), F.array_min("fps").alias("b")).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_DISTANCE)
     return direct.union(star).filter("a != b").distinct()
