@@ -12,7 +12,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import text_or_empty
@@ -55,18 +55,42 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, version: str = RULE_V
         blobs = blobs.join(ledger.filter(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
             found = [[{"kind": k, "start": s, "end": e} for k, s, e in find_secrets(t.as_py())] for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([version] * b.num_rows), pa.array(found, _FINDINGS)], names=["blob", "rule_version", "findings"])
 
     return blobs.mapInArrow(look, LEDGER)
 
 
+def update_ledger(docs: DataFrame, folder: str, version: str = RULE_VERSION, text_col: str = "text") -> DataFrame:
+    """Bring the ledger in ``folder`` up to date with one more version of the
+    table, and return it.
+
+    Only pairs of a blob and this rule version that it lacks are scanned and
+    appended; what was scanned before, by whichever version of the table or of
+    the rules, stays.  A task that runs again leaves one set of rows, as the
+    write commits whole.
+    """
+    spark = docs.sparkSession
+    known = read_ledger(spark, folder)
+    scan(docs, known, version, text_col).write.mode("append").parquet(folder)
+    return read_ledger(spark, folder)
+
+
+def read_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """The ledger in ``folder``; without rows where none was written yet."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(folder)
+    exists = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    return spark.read.schema(LEDGER).parquet(folder) if exists else spark.createDataFrame([], LEDGER)
+
+
 def findings_by_path(docs: DataFrame, ledger: DataFrame, version: str = RULE_VERSION, path_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every path with the findings of its blob: path, blob, findings.
 
-    Null texts count as empty, rows that repeat are paths of their own, and an
-    empty table has no paths.
+    Null texts count as empty, rows that repeat are paths of their own, texts
+    of any length are scanned whole, further columns are ignored, and an empty
+    table has no paths.
     """
     hits = ledger.filter((F.col("rule_version") == version) & (F.size("findings") > 0)).select("blob", "findings")
     paths = docs.select(F.col(path_col), blob_id(text_or_empty(text_col)).alias("blob"))

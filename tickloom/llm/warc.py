@@ -1,9 +1,11 @@
 """WARC archives as a Spark data source written in Python.
 
-Reading plans one partition per archive file, takes record-type and header
-predicates from the query, parses each record's headers first, and skips the
-block of a record that no row needs without decoding it.  Writing keeps one
-response per payload and revisit records for its copies.
+Reading plans one partition per archive file (``.warc``, or ``.warc.gz`` with a
+gzip member a record), takes record-type and header predicates from the query,
+parses each record's headers first, and skips the block of a record that no row
+needs without decoding it.  Records of any type and of other writers are rows
+too; what a header does not say is null.  Writing keeps one response per payload
+and revisit records for its copies.
 """
 
 from __future__ import annotations
@@ -12,18 +14,36 @@ import base64
 import gzip
 import hashlib
 import io
+import operator
+import re
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    DataSourceWriter,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    IsNotNull,
+    IsNull,
+    LessThan,
+    LessThanOrEqual,
+    StringStartsWith,
+    WriterCommitMessage,
+)
 
 from tickloom.llm.common import shared_dir
 
 ROLL_BYTES = 64 << 20
-SCHEMA = "record_type string, page_id long, target_uri string, refers_to long, payload_bytes long, payload_digest string, payload string"
+SCHEMA = "record_id string, record_type string, page_id long, target_uri string, refers_to_id string, refers_to long, content_type string, payload_bytes long, payload_digest string, payload string"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _URN = "urn:x-page:"
 
@@ -38,8 +58,14 @@ def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def record_id(page_id: int | None, digest: str) -> str:
+    """The id of the response record of a page and payload, so that a revisit
+    can name it without a look at the archives."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{_URN}{page_id}:{digest}')}>"
+
+
 def encode_record(record_type: str, page_id: int | None, uri: str | None, refers_to: int | None, payload: str | None, digest: str, size: int) -> bytes:
-    """One record; ids are urns, the payload is gzip content encoding."""
+    """One record; the payload has gzip content encoding."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     if record_type == "response":
         body = gzip.compress((payload or "").encode("utf-8", "surrogatepass"), 6, mtime=0)
@@ -48,11 +74,12 @@ def encode_record(record_type: str, page_id: int | None, uri: str | None, refers
         block = http + b"\r\n"
     head = {
         "WARC-Type": record_type,
-        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>",
+        "WARC-Record-ID": record_id(page_id, digest) if record_type == "response" and page_id is not None else f"<urn:uuid:{uuid.uuid4()}>",
         "WARC-Date": "1970-01-01T00:00:00Z",
         "WARC-Target-URI": " ".join(uri.split()) if uri else None,
         "WARC-Page-ID": None if page_id is None else f"<{_URN}{page_id}>",
-        "WARC-Refers-To": None if refers_to is None else f"<{_URN}{refers_to}>",
+        "WARC-Refers-To": None if refers_to is None else record_id(refers_to, digest),
+        "WARC-Refers-To-Page-ID": None if refers_to is None else f"<{_URN}{refers_to}>",
         "WARC-Profile": _PROFILE if record_type == "revisit" else None,
         "WARC-Payload-Digest": f"sha1:{digest}",
         "WARC-Payload-Length": size,
@@ -64,7 +91,21 @@ def encode_record(record_type: str, page_id: int | None, uri: str | None, refers
 
 
 def _page(value: str | None) -> int | None:
-    return int(value.strip("<>").removeprefix(_URN)) if value else None
+    text = (value or "").strip("<>").removeprefix(_URN)
+    return int(text) if re.fullmatch("-?[0-9]+", text) else None
+
+
+#: predicates on headers that the reader checks itself; a null passes none but IsNull
+_TESTS: dict[type, Callable[[object, object], bool]] = {
+    EqualTo: operator.eq,
+    GreaterThan: operator.gt,
+    GreaterThanOrEqual: operator.ge,
+    LessThan: operator.lt,
+    LessThanOrEqual: operator.le,
+    StringStartsWith: lambda x, v: x.startswith(v),
+    In: lambda x, v: x in v,
+    IsNotNull: lambda x, v: True,
+}
 
 
 @dataclass
@@ -82,61 +123,72 @@ class WarcReader(DataSourceReader):
         self.folder, self.payload, self.wanted = folder, payload, []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Equality and IN on header columns are checked on the headers."""
+        """Comparisons of a header column with values are checked on the headers."""
         for f in filters:
-            column = f.attribute[0] if isinstance(f, (EqualTo, In, IsNotNull)) and len(f.attribute) == 1 else None
-            if column in (None, "payload"):
+            column = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            # a payload's size is known for certain only once it is decoded
+            if column in (None, "payload", "payload_bytes", "payload_digest") or type(f) not in (*_TESTS, IsNull):
                 yield f
-            elif isinstance(f, IsNotNull):
-                self.wanted.append((column, None))
             else:
-                self.wanted.append((column, {f.value} if isinstance(f, EqualTo) else set(f.value)))
+                self.wanted.append((column, type(f), getattr(f, "value", None)))
 
     def partitions(self) -> Sequence[InputPartition]:
         from pyarrow import fs
 
         store, path = filesystem(self.folder)
         files = store.get_file_info(fs.FileSelector(path, allow_not_found=True))
-        return [ArchiveFile(f.path) for f in files if f.is_file and f.path.endswith(".warc")] or [ArchiveFile(None)]
+        return [ArchiveFile(f.path) for f in files if f.is_file and f.path.endswith((".warc", ".warc.gz"))] or [ArchiveFile(None)]
 
     def _fits(self, row: dict) -> bool:
-        return all(row[c] is not None if values is None else row[c] in values for c, values in self.wanted)
+        return all(row[c] is None if kind is IsNull else row[c] is not None and _TESTS[kind](row[c], value) for c, kind, value in self.wanted)
 
     def read(self, partition: ArchiveFile) -> Iterator[tuple]:
         if partition.path is None:
             return
         store, _ = filesystem(self.folder)
         with store.open_input_file(partition.path) as raw:
-            f = io.BufferedReader(raw, 1 << 16)
-            while line := f.readline():
-                if not line.startswith(b"WARC/"):
-                    raise ValueError(f"{partition.path}: no record at {f.tell()}")
-                head = {}
-                while (line := f.readline().rstrip(b"\r\n")):
-                    k, _, v = line.decode("utf-8", "surrogatepass").partition(": ")
-                    head[k] = v
-                length = int(head["Content-Length"])
-                row = {
-                    "record_type": head["WARC-Type"],
-                    "page_id": _page(head.get("WARC-Page-ID")),
-                    "target_uri": head.get("WARC-Target-URI"),
-                    "refers_to": _page(head.get("WARC-Refers-To")),
-                    "payload_bytes": int(head["WARC-Payload-Length"]),
-                    "payload_digest": head["WARC-Payload-Digest"].removeprefix("sha1:"),
-                    "payload": None,
-                }
-                if not self.payload or row["record_type"] != "response" or not self._fits(row):
-                    f.seek(length + 4, 1)
-                else:
-                    block = f.read(length)
-                    f.seek(4, 1)
-                    http, _, body = block.partition(b"\r\n\r\n")
-                    data = gzip.decompress(body) if b"Content-Encoding: gzip" in http else body
-                    row |= {"payload_bytes": len(data), "payload": data.decode("utf-8", "surrogatepass")}
-                    if sha1_base32(data) != row["payload_digest"]:
-                        raise ValueError(f"{partition.path}: payload of page {row['page_id']} is damaged")
-                if self._fits(row):
-                    yield tuple(row.values())
+            packed = partition.path.endswith(".gz")
+            yield from self.records(gzip.GzipFile(fileobj=raw) if packed else io.BufferedReader(raw, 1 << 16), partition.path)
+
+    def records(self, f, path: str) -> Iterator[tuple]:
+        while line := f.readline():
+            if not line.strip():
+                continue  # the blank lines after a record
+            if not line.startswith(b"WARC/"):
+                raise ValueError(f"{path}: no record where one should begin")
+            head = {}
+            while line := f.readline().rstrip(b"\r\n"):
+                k, _, v = line.decode("utf-8", "surrogatepass").partition(":")
+                head[k.strip().lower()] = v.strip()
+            length = int(head["content-length"])
+            algorithm, _, digest = head.get("warc-payload-digest", "").partition(":")
+            told = head.get("warc-payload-length")
+            row = {
+                "record_id": head.get("warc-record-id"),
+                "record_type": head.get("warc-type"),
+                "page_id": _page(head.get("warc-page-id")),
+                "target_uri": head.get("warc-target-uri"),
+                "refers_to_id": head.get("warc-refers-to"),
+                "refers_to": _page(head.get("warc-refers-to-page-id")),
+                "content_type": head.get("content-type"),
+                "payload_bytes": int(told) if told else None,
+                "payload_digest": digest or None,
+                "payload": None,
+            }
+            fits = self._fits(row)
+            if not fits or not self.payload or row["record_type"] not in ("response", "resource"):
+                f.seek(length, 1)
+            else:
+                block = f.read(length)
+                http, _, body = block.partition(b"\r\n\r\n") if row["content_type"] and row["content_type"].startswith("application/http") else (b"", b"", block)
+                coded = re.search(rb"(?im)^content-encoding:[ \t]*(x-)?gzip", http)
+                data = gzip.decompress(body) if coded else body
+                row |= {"payload_bytes": len(data), "payload": data.decode("utf-8", "replace" if told is None else "surrogatepass")}
+                # of other writers, some digest what was sent and some what it stood for
+                if algorithm == "sha1" and not {sha1_base32(data), sha1_base32(body)} & {digest.upper()}:
+                    raise ValueError(f"{path}: payload of record {row['record_id']} is damaged")
+            if fits:
+                yield tuple(row.values())
 
 
 class WarcWriter(DataSourceWriter):
@@ -206,7 +258,8 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Rows for the writer.  Of equal payloads of at least ``min_bytes`` the
     smallest page_id is the response and the others revisit it.  A null html
     is an empty payload; a null page_id never stands for others; rows that
-    repeat the response's id are responses too."""
+    repeat the response's id are responses too; payloads of any length are
+    written whole; further columns are ignored; an empty table gives none."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("target_uri"), F.coalesce("html", F.lit("")).alias("payload"))
     p = p.withColumn("key", F.unhex(F.sha2(F.col("payload").cast("binary"), 256))).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     first = p.filter(F.col("payload_bytes") >= min_bytes).groupBy("key").agg(F.min("page_id").alias("first_id"))
@@ -243,5 +296,10 @@ def read(spark: SparkSession, folder: str, payload: bool = True) -> DataFrame:
 
 
 def page_report(spark: SparkSession, folder: str) -> DataFrame:
-    """What the archives say of each page; payloads are decoded and verified."""
-    return read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """What the archives say of each page: payloads of responses are decoded
+    and verified; revisits come from headers alone, the predicate on the record
+    type skipping every block."""
+    columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    held = read(spark, folder).filter("record_type = 'response'").select(*columns)
+    again = read(spark, folder, payload=False).filter("record_type = 'revisit'").select(*columns)
+    return held.union(again)
