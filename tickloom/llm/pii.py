@@ -4,8 +4,14 @@ High-recall generators propose spans of several kinds, which may overlap.  The
 four base kinds are settled by their formats alone.  Every other proposal is
 scored by gradient-boosted trees over format and context features, and is
 redacted where the score reaches a threshold calibrated for precision on held
-out candidates.  The trees are CASE expressions, so all of the main path is
-DataFrame functions.
+out candidates.
+
+The trees learn from spans whose nature is known without those generators: a
+validated address or number of the corpus, rewritten in its place in another
+form (an address spelled out, a number without its plus sign), is personal data
+that no base pattern matches; a date, version, range or sum put in its place,
+and what the generators propose elsewhere, is not.  The trees are CASE
+expressions, so all of the main path is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -17,6 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.common import materialise
 from tickloom.llm.spans import matches
 
 _LOCAL = "A-Za-z0-9._%+-"
@@ -36,7 +43,7 @@ EXTRA = {
 }
 KINDS = tuple(BASE)
 #: bounds of the sample that the trees are fitted on
-SAMPLE_DOCS, SAMPLE_CANDIDATES = 20000, 20000
+SAMPLE_DOCS, SAMPLE_CANDIDATES = 8000, 20000
 CONTEXT = 24
 
 
@@ -143,7 +150,13 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 16, depth: int = 2, rate:
     order = np.argsort(-p, kind="stable")
     good = np.cumsum(yh[order]) / np.arange(1, len(yh) + 1)
     fine = np.flatnonzero(good >= precision)
-    model.threshold = float(max(0.5, p[order][fine[-1]])) if len(fine) else 2.0
+    if not len(fine):
+        model.threshold = 2.0
+        return model
+    # between the last score taken and the next lower one, so that rounding does not matter
+    last = p[order][fine[-1]]
+    lower = p[p < last - 1e-9]
+    model.threshold = float(max(0.5 - 1e-9, (last + (lower.max() if len(lower) else 0.0)) / 2))
     return model
 
 
@@ -172,29 +185,87 @@ def _features(text: Column, c: Column) -> list[Column]:
     ]
 
 
-def _candidates(text: Column) -> Column:
-    """Proposals of all generators, the base formats unvalidated among them."""
-    def tag(kind: str, pattern: str, base: bool) -> Column:
-        fields = lambda s: (F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"))
-        return F.transform(matches(text, pattern), lambda s: F.struct(*fields(s), (_valid(kind, s["text"]) if base else F.lit(False)).alias("base")))
+def _proposals(text: Column) -> Column:
+    """What the generators propose beside the base kinds."""
+    def tag(kind: str, pattern: str) -> Column:
+        return F.transform(matches(text, pattern), lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text")))
 
-    return F.concat(*(tag(k, p, True) for k, p in (BASE | {"card": r"[0-9](?:[\x20-]?[0-9]){7,}+"}).items()), *(tag(k, p, False) for k, p in EXTRA.items()))
+    return F.concat(*(tag(k, p) for k, p in EXTRA.items()))
+
+
+def _overlap(a: Column, b: Column) -> Column:
+    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+
+
+def _instead(email: Column, phone: Column, pick: Column) -> tuple[Column, Column]:
+    """Other forms of an address or number (null where there is none), and
+    look-alikes that are no personal data; ``pick`` chooses among them."""
+    spelled = [(" [at] ", " [dot] "), (" (at) ", " (dot) "), ("[at]", "."), (" at ", " dot ")]
+    address = F.element_at(F.array(*(F.replace(F.replace(email, F.lit("@"), F.lit(at)), F.lit("."), F.lit(dot)) for at, dot in spelled)), (F.pmod(pick, F.lit(len(spelled))) + 1).cast("int"))
+    bare = F.regexp_replace(phone, r"^\+[0-9]{1,3}[\x20.-]?", "")
+    digits = F.regexp_replace(bare, "[^0-9]", "")
+    parted = lambda c: F.concat_ws(c, F.substring(digits, 1, 3), F.substring(digits, 4, 3), F.substring(digits, 7, 20))
+    number = F.element_at(F.array(bare, parted("-"), parted("."), parted(" ")), (F.pmod(F.shiftright(pick, 8), F.lit(4)) + 1).cast("int"))
+    part = lambda k, n: F.pmod(F.shiftright(pick, k), F.lit(n)).cast("string")
+    two = lambda k, n: F.lpad(part(k, n), 2, "0")
+    plain = [
+        F.concat(F.lit("20"), two(3, 30), F.lit("-"), two(9, 12), F.lit("-"), two(15, 28)),
+        F.concat(F.lit("version "), two(3, 12), F.lit("."), two(9, 30), F.lit("."), two(15, 99)),
+        F.concat(F.lit("pages "), two(3, 90), F.lit("-"), two(9, 99)),
+        F.concat(F.lit("total "), two(3, 99), F.lit("."), two(9, 99)),
+        F.concat(two(3, 24), F.lit("/"), two(9, 12), F.lit("/"), F.lit("19"), two(15, 99)),
+    ]
+    return F.coalesce(address, number), F.element_at(F.array(*plain), (F.pmod(F.shiftright(pick, 20), F.lit(len(plain))) + 1).cast("int"))
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_candidates: int = SAMPLE_CANDIDATES) -> Boosted:
-    """Fit the trees on candidates of at most ``sample_docs`` documents, chosen
-    by a hash of the id.  A candidate that a validated base span covers is a
-    positive, any other a negative."""
+def labelled(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_candidates: int = SAMPLE_CANDIDATES) -> DataFrame:
+    """(key, y, sure, f): features of proposals that are (1) and are not (0)
+    personal data, from the sampled documents; ``key`` orders them, whatever the
+    partitions.  What is proposed in a text as it is (not sure) counts as none,
+    though some of it may be."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    ids = docs.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64(F.lit(9), "doc_id")).limit(sample_docs)
-    some = docs.join(F.broadcast(ids), "doc_id").select(text.alias("text"))  # bounded by sample_docs
-    cand = some.select("text", _candidates(F.col("text")).alias("c")).filter(F.size("c") > 0)
-    each = cand.select("text", "c", F.explode("c").alias("x"))
-    covered = F.exists("c", lambda b: b["base"] & (b["start"] <= F.col("x.start")) & (b["end"] >= F.col("x.end")))
-    rows = each.select(covered.cast("int").alias("y"), F.array(*_features(F.col("text"), F.col("x"))).alias("f")).limit(sample_candidates).collect()
+    ids = docs.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64(F.lit(9), "doc_id"), "doc_id").limit(sample_docs)
+    some = docs.select("doc_id", text.alias("text")).join(F.broadcast(ids), "doc_id")  # bounded by sample_docs
+    base = base_spans(F.col("text"))
+    all_base = F.concat(*(F.transform(s, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))) for s in base.values()))
+    some = materialise(some.select("doc_id", "text", F.get(base["email"], F.lit(0)).alias("email"), F.get(base["phone"], F.lit(0)).alias("phone"), all_base.alias("base")))
+    pick = F.abs(F.xxhash64(F.lit(21), "doc_id", "text"))
+    known = some.filter("email is not null or phone is not null")
+    # a document with both gives the one that its hash says
+    use_email = F.col("phone").isNull() | (F.col("email").isNotNull() & (F.pmod(F.shiftright(pick, 33), F.lit(2)) == 0))
+    span = F.when(use_email, F.col("email")).otherwise(F.col("phone"))
+    other, plain = _instead(F.when(use_email, F.col("email.text")), F.when(~use_email, F.col("phone.text")), pick)
+    known = known.select("doc_id", "text", span.alias("span"), F.explode(F.array(F.struct(F.lit(1).alias("y"), other.alias("put")), F.struct(F.lit(0).alias("y"), plain.alias("put")))).alias("v"))
+    before, after = F.expr("substring(text, 1, int(span.start))"), F.expr("substring(text, int(span.end) + 1)")
+    known = known.select("doc_id", "v.y", F.concat(before, F.col("v.put"), after).alias("text"), F.array(F.struct(F.col("span.start").alias("start"), (F.col("span.start") + F.char_length("v.put")).alias("end"))).alias("at"))
+    # of rewritten texts the proposals at the place count, of texts as they are those off all base spans
+    as_is = some.select("doc_id", F.lit(0).alias("y"), "text", F.lit(None).cast("array<struct<start:long,end:long>>").alias("at"), "base")
+    both = known.withColumn("base", F.lit(None).cast("array<struct<start:long,end:long>>")).unionByName(as_is)
+    both = both.select("doc_id", "y", "text", "at", "base", F.explode(_proposals(F.col("text"))).alias("x"))
+    x = F.col("x")
+    fits = F.when(F.col("at").isNotNull(), F.exists("at", lambda s: _overlap(x, s))).otherwise(~F.exists("base", lambda s: _overlap(x, s)))
+    key = F.xxhash64(F.lit(13), "doc_id", "y", "x.kind", "x.start", "text")
+    rows = both.filter(fits).select(key.alias("key"), "y", F.col("at").isNotNull().alias("sure"), F.array(*_features(F.col("text"), x)).alias("f"))
+    return rows.orderBy("key", "y", "f").limit(sample_candidates)
+
+
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_candidates: int = SAMPLE_CANDIDATES) -> Boosted:
+    """Fit the trees on at most ``sample_candidates`` proposals of at most
+    ``sample_docs`` documents, both chosen by hashes, so that the model does not
+    depend on how the rows are partitioned.  The reliable negatives among the
+    proposals of texts as they are come from a first fit."""
+    rows = labelled(docs, sample_docs, sample_candidates).collect()
     if not rows:
         return Boosted(-20.0)
-    return boost(np.array([r["f"] for r in rows], float), np.array([r["y"] for r in rows]))
+    x, y, sure = np.array([r["f"] for r in rows], float), np.array([r["y"] for r in rows]), np.array([r["sure"] for r in rows])
+    first = boost(x, y)
+    if not first.trees:
+        return first
+    # proposals that look like the rewritten ones to a first model may be
+    # personal data, and teach nothing
+    score = first.predict(x)
+    keep = sure | (score < np.quantile(score[y == 1], 0.1))
+    return boost(x[keep], y[keep])
 
 
 def find_pii(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
@@ -202,7 +273,9 @@ def find_pii(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
 
     Base spans come first, kind by kind, then by start; further candidates
     follow where no base span overlaps them and the trees' score reaches the
-    threshold.  A null text counts as empty; repeated rows are searched each.
+    threshold.  A null text counts as empty; repeated rows are searched each;
+    texts of any length are searched whole; further columns are ignored; an
+    empty table gives an empty result.
     """
     docs = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     text = F.col("text")
@@ -210,12 +283,8 @@ def find_pii(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
     out = docs.select("doc_id", "text", base.alias("base"))
     if model is None or not model.trees or model.threshold > 1:
         return out.select("doc_id", F.col("base").alias("spans"))
-    def proposals(kind: str, pattern: str) -> Column:
-        return F.transform(matches(text, pattern), lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text")))
-
-    proposed = F.concat(*(proposals(k, p) for k, p in EXTRA.items()))
-    out = out.withColumn("more", proposed)
-    clear = F.filter("more", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    out = out.withColumn("more", _proposals(text))
+    clear = F.filter("more", lambda c: ~F.exists("base", lambda b: _overlap(c, b)))
     chosen = F.filter(clear, lambda c: model.column(_features(text, c)) >= model.threshold)
     plain = F.transform(chosen, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), F.lit(False).alias("base")))
     return out.select("doc_id", F.concat("base", F.when(F.size("more") > 0, plain).otherwise(F.array().cast("array<struct<kind:string,start:long,end:long,base:boolean>>"))).alias("spans"))
