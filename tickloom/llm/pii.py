@@ -264,7 +264,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_candidates: in
     # proposals that look like the rewritten ones to a first model may be
     # personal data, and teach nothing
     score = first.predict(x)
-    keep = sure | (score < np.quantile(score[y == 1], 0.1))
+    keep = sure | (score < np.quantile(score[y == 1], 0.02))
     return boost(x[keep], y[keep])
 
 
