@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -26,9 +26,11 @@ def log_ratio(a: Column, b: Column, scale: float = 1.0) -> Column:
 
 
 def epoch_micros(n: Column) -> Column:
-    """Seconds, milli-, micro- or nanoseconds, told by magnitude → micros."""
+    """Seconds, milli-, micro- or nanoseconds, told by magnitude → micros, in
+    whole numbers throughout."""
     n = n.cast("long")
-    return F.when(n >= 10**17, F.floor(n / 1000)).when(n >= 10**14, n).when(n >= 10**11, n * 1000).otherwise(n * 1_000_000).cast("long")
+    whole = (n - F.pmod(n, F.lit(1000))) / F.lit(1000).cast("decimal(20,0)")
+    return F.when(n >= 10**17, whole.cast("long")).when(n >= 10**14, n).when(n >= 10**11, n * 1000).otherwise(n * 1_000_000).cast("long")
 
 
 def row_mean(*cols: Column) -> Column:
@@ -91,3 +93,37 @@ def option_symbol(s: Column) -> Column:
     month = (F.instr(months, part(3)) + 2) / 3
     date = F.make_date(2000 + part(4).cast("int"), month.cast("int"), part(2).cast("int"))
     return F.when(s.rlike(pattern), F.struct(part(1).alias("underlying"), date.alias("expiry"), part(5).cast("double").alias("strike"), (part(6) == "C").alias("is_call")))
+
+
+def repair_quote(bid: Column, ask: Column, mark: Column) -> tuple[Column, Column, Column]:
+    """Crossed sides change places; the mark is held between them."""
+    low, high = F.least(bid, ask), F.greatest(bid, ask)
+    return low, high, F.greatest(F.least(mark, high), low)
+
+
+def rescale_fractions(df: DataFrame, column: str, below: float = 2.0, by: float = 100.0) -> DataFrame:
+    """Times ``by`` where the median positive value says that fractions were
+    written.  Values are counted before the median, which reads one row each."""
+    counts = df.filter(F.col(column) > 0).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    median = counts.agg(F.percentile("v", 0.5, F.col("n")).alias("m"))
+    return df.join(F.broadcast(median)).withColumn(column, F.when(F.col("m") < below, F.col(column) * by).otherwise(F.col(column))).drop("m")  # one row
+
+
+def bps_from_annual(pct: Column, hours: float) -> Column:
+    return pct / 100 / (24 * 365 / hours) ** 0.5 * 1e4
+
+
+def side_return_bps(side: Column, entry: Column, exit_: Column) -> Column:
+    return side * (safe_div(exit_, entry) - 1) * 1e4
+
+
+def trade_cost_bps(maker: Column, maker_bps: float, taker_bps: float, crossing: Column) -> Column:
+    return F.when(maker, maker_bps).otherwise(taker_bps + crossing)
+
+
+def sign_label(c: Column) -> Column:
+    return F.when(c > 0, "positive").when(c < 0, "negative").when(c == 0, "zero")
+
+
+def wall_side(c: Column, least: float) -> Column:
+    return F.when(c > least, "bid_wall").when(c < -least, "ask_wall").when(c.isNotNull(), "balanced")
