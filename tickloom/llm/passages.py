@@ -128,6 +128,10 @@ def seeds_of(texts: list[bytes], k: int = K, winnow: int = WINNOW) -> tuple[np.n
     view = np.lib.stride_tricks.sliding_window_view(h, winnow)
     pick = np.concatenate([b + winnow - 1 - np.argmin(view[b][:, ::-1], axis=1) for b in np.array_split(base, len(base) // 65536 + 1)]) if len(base) else np.empty(0, np.int64)
     at = np.unique(pick)
+    # of a run of one gram, as a word repeated gives, every winnow-th place and the last
+    again = np.r_[False, (h[at[1:]] == h[at[:-1]]) & (at[1:] == at[:-1] + 1)] if len(at) else np.empty(0, bool)
+    nth = np.arange(len(at)) - np.maximum.accumulate(np.where(again, 0, np.arange(len(at))))
+    at = at[(nth % winnow == 0) | ~np.r_[again[1:], False][: len(at)]]
     text = np.searchsorted(starts, at, side="right") - 1
     return h[at].view(np.int64), text, (at - starts[text]).astype(np.int32)
 
@@ -424,6 +428,7 @@ def shared_pairs(docs: DataFrame, min_words: int = MIN_WORDS, min_identity: floa
     repeated = seeds.groupBy("h").agg(F.min("doc_id").alias("anchor"), F.max("doc_id").alias("last"), F.min("ver").alias("v0"), F.max("ver").alias("v1"))
     repeated = table(repeated.filter("anchor < last or v0 < v1").select("h", "anchor"), "repeated")
     held = table(seeds.join(repeated, "h"), "held")
+    drop(spark, f"{folder}/seeds")
     mine = held.filter("doc_id = anchor").select("h", F.col("ver").alias("aver"), F.col("pos").alias("apos")).distinct()
     by_place = Window.partitionBy("h").orderBy("aver", "apos")
     mine = mine.withColumn("nth", F.row_number().over(by_place)).withColumn("least", F.first("aver").over(by_place))
@@ -438,6 +443,8 @@ def shared_pairs(docs: DataFrame, min_words: int = MIN_WORDS, min_identity: floa
     further = place.join(more, "h").select("m.doc_id", "m.ver", "anchor", "aver", (-F.col("m.back")).alias("pos"), "apos")
     chained = links.union(further).repartition("doc_id", "ver", "anchor", "aver").sortWithinPartitions(*pair)
     found = table(chained.mapInArrow(_chain_batches, CHAINS), "found")
+    for name in ("repeated", "held", "at", "place"):
+        drop(spark, f"{folder}/{name}")
 
     def sides(chains: DataFrame) -> DataFrame:
         ends = chains.select("doc_id", "ver", F.col("d0").alias("s"), F.col("d1").alias("e")).union(chains.select("anchor", "aver", "a0", "a1")).distinct()
@@ -461,6 +468,7 @@ def shared_pairs(docs: DataFrame, min_words: int = MIN_WORDS, min_identity: floa
     most = int(SLACK * (1 - min_identity) * min_words + 1e-9)
     fit = table(at_both(found.filter(span < LONG), beside, ["x0"]).mapInArrow(_fit_batches(min_words, most), CHAINS), "fit")
     found = table(found.filter(span >= LONG).union(fit), "whole")
+    drop(spark, f"{folder}/beside")
     sliced = sides(found).mapInArrow(_at_ends(_slice, [pa.binary(), pa.binary()]), "doc_id long, ver int, s long, e long, x0 binary, x1 binary")
     sliced = table(sliced.dropDuplicates(keys), "sliced")
     words = table(sliced.groupBy("x0").agg(F.first("x1").alias("words")), "words")
