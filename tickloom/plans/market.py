@@ -64,11 +64,6 @@ def flt_02_exclusion_summary(spark, d):
     return C.exclusion_summary(C.clean_reason(swaps(spark, d)))
 
 
-@query(f"{SW} SELECT pool, token, tx, log_index, quote FROM swaps QUALIFY row_number() OVER (PARTITION BY pool, token ORDER BY ts DESC, tx DESC, log_index DESC) = 1")
-def flt_03_keep_latest(spark, d):
-    return C.keep_latest(swaps(spark, d), ["pool", "token"], KEY).select("pool", "token", "tx", "log_index", "quote")
-
-
 @query(f"{SW} SELECT pool, day, tx, log_index FROM swaps QUALIFY row_number() OVER (PARTITION BY pool, day ORDER BY ts, tx, log_index) = 1")
 def flt_04_first_occurrence(spark, d):
     return C.keep_first(swaps(spark, d), ["pool", "day"], KEY).select("pool", "day", "tx", "log_index")
@@ -91,38 +86,11 @@ def flt_10_work_queue(spark, d):
     return C.work_queue(scan(spark, d, "orders").select("o_orderkey"), done, ["o_orderkey"])
 
 
-@query(f"{SW} SELECT CAST(count(*) - count(DISTINCT (pool, token)) AS BIGINT) AS duplicates FROM swaps")
-def qlt_01_duplicate_keys(spark, d):
-    return C.duplicate_keys(swaps(spark, d), ["pool", "token"])
-
-
 @query(f"{SW} SELECT count(*) FILTER (base = 0 OR quote = 0) AS zero_amount, count(*) FILTER (base <> 0 AND quote <> 0 AND price <= 0) AS bad_price, count(*) FILTER (base <> 0 AND direction = 'unknown') AS unknown_direction FROM swaps")
 def qlt_05_swap_sanity(spark, d):
     return C.swap_sanity(swaps(spark, d))
 
 
-@query("SELECT DISTINCT c_custkey AS custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-def qlt_06_missing_keys(spark, d):
-    return C.missing_keys(scan(spark, d, "customer").select(F.col("c_custkey").alias("custkey")), scan(spark, d, "orders").select(F.col("o_custkey").alias("custkey")), ["custkey"])
-
-
-@query(f"{TK}, l AS (SELECT *, lag(event_id) OVER w AS ps, lag(ts_us) OVER w AS pt FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY event_id)) SELECT symbol, count(*) AS n, count(*) FILTER (event_id <> ps + 1) AS gaps, count(*) FILTER (ts_us < pt) AS regressions, count(*) FILTER (NOT price > 0) AS bad_price FROM l GROUP BY symbol")
-def qlt_07_sequence_quality(spark, d):
-    return C.sequence_quality(ticks(spark, d), "symbol", "event_id", "ts_us", "price")
-
-
-@query(f"{TK}, c AS (SELECT symbol, ts_us, event_id, CASE WHEN kind IS NOT DISTINCT FROM lag(kind) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS ch FROM ticks WINDOW w AS ({TORD})), i AS (SELECT symbol, sum(ch) OVER ({TORD}) AS i FROM c), g AS (SELECT symbol, i, count(*) AS n FROM i GROUP BY 1, 2) SELECT symbol, max(n) AS longest_run, count(*) AS runs FROM g GROUP BY symbol")
-def qlt_09_longest_unchanged(spark, d):
-    return C.longest_unchanged(ticks(spark, d), ["symbol"], ["ts_us", "event_id"], "kind")
-
-
-@query("SELECT o_orderkey, 'differs' AS status FROM orders WHERE o_orderpriority LIKE '1%'")
-def qlt_13_compare_rows(spark, d):
-    a = scan(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    b = scan(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderpriority").startswith("1"), F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).alias("o_totalprice"))
-    return C.compare_rows(a, b, ["o_orderkey"], 0.5)
-
-
 # -- joins -------------------------------------------------------------------
 
 
@@ -202,18 +170,6 @@ def joi_16_semi(spark, d):
 # -- aggregates --------------------------------------------------------------
 
 
-@query(f"""{SW} SELECT pool, day, count(*) AS swaps, count(DISTINCT tx) AS txs, count(*) FILTER (direction = 'buy_base') AS buys, count(*) FILTER (direction = 'sell_base') AS sells,
- round(sum(quote), 4) AS volume, round(coalesce(sum(CASE direction WHEN 'buy_base' THEN quote WHEN 'sell_base' THEN -quote ELSE 0 END), 0), 4) AS net_flow, round(sum(quote) / sum(base), 6) AS vwap FROM swaps GROUP BY 1, 2""")
-def agg_01_pool_buckets(spark, d):
-    side = S.side_sign(F.col("direction"))
-    return swaps(spark, d).groupBy("pool", "day").agg(F.count(F.lit(1)).alias("swaps"), F.count_distinct("tx").alias("txs"), F.count_if(side == 1).alias("buys"), F.count_if(side == -1).alias("sells"), r(F.sum("quote"), "volume", 4), r(F.sum(side * F.col("quote")), "net_flow", 4), r(S.safe_div(F.sum("quote"), F.sum("base")), "vwap"))
-
-
-@query(f"{SW} SELECT pool, count(*) AS raw, count(*) FILTER (NOT removed) AS clean, count(DISTINCT tx) AS txs, count(DISTINCT day) AS days, round(median(price), 6) AS median_price, min(ts) AS first_seen, max(ts) AS last_seen FROM swaps GROUP BY pool")
-def agg_03_pool_summary(spark, d):
-    return swaps(spark, d).groupBy("pool").agg(F.count(F.lit(1)).alias("raw"), F.count_if(~F.col("removed")).alias("clean"), F.count_distinct("tx").alias("txs"), F.count_distinct("day").alias("days"), r(F.median("price"), "median_price"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
-
-
 @query(f"{SW} SELECT tx, log_index, count(*) OVER (PARTITION BY day) AS same_day, count(*) OVER (PARTITION BY day, pool) AS same_day_pool FROM swaps")
 def agg_05_same_block(spark, d):
     w = lambda *k: F.count(F.lit(1)).over(Window.partitionBy(*k))
@@ -581,39 +537,11 @@ def srt_09_unpivot(spark, d):
 
 # -- book --------------------------------------------------------------------
 
-_LEVELS = "e AS (SELECT vec_id, [abs(CAST(v AS DOUBLE)) + 0.01 FOR v IN embedding][1:10] AS a FROM embeddings)"
-
-
-def _levels(spark, d):
-    a = F.slice(F.transform("embedding", lambda v: F.abs(v.cast("double")) + 0.01), 1, 10)
-    levels = F.transform(a, lambda x, i: F.struct((100 + i).cast("double").alias("price"), x.alias("size")))
-    return scan(spark, d, "embeddings").select("vec_id", levels.alias("levels"))
-
-
-@query(f"WITH {_LEVELS}, x AS (SELECT vec_id, list_sum([(99 + i) * a[i] FOR i IN range(1, 6)]) AS near, list_sum([(99 + i) * a[i] FOR i IN range(6, 11)]) AS far FROM e) SELECT vec_id, round(near, 6) AS near, round((near - far) / (near + far), 6) AS imbalance FROM x")
-def bk_03_depth(spark, d):
-    near = B.notional(F.col("levels"), 5)
-    far = B.notional(F.slice("levels", 6, 5), 5)
-    return _levels(spark, d).select("vec_id", r(near, "near"), r(B.imbalance(near, far), "imbalance"))
-
-
-@query()
-def bk_11_walk_cost(spark, d):
-    return _levels(spark, d).select("vec_id", r(B.walk_cost(F.col("levels"), 50.0), "cost"))
-
-
 @query(f"{TK}, x AS (SELECT *, coalesce(lag(price) OVER ({TORD}), 0) AS p FROM ticks) SELECT event_id, CASE WHEN price = p THEN 'no_op' WHEN p = 0 THEN 'create' WHEN price = 0 THEN 'remove' WHEN price > p THEN 'replenish' ELSE 'decrease' END AS update_class FROM x")
 def bk_04_update_class(spark, d):
     return B.update_class(ticks(spark, d), ["symbol"], ["ts_us", "event_id"], "price").select("event_id", "update_class")
 
 
-@query(f"{TK}, m AS (SELECT CAST(floor(avg(ts_us)) AS BIGINT) AS t FROM ticks), s AS (SELECT symbol, kind, arg_max(price, (ts_us, event_id)) AS price FROM ticks, m WHERE ts_us <= t GROUP BY 1, 2) SELECT symbol, kind, price FROM s WHERE price > 0")
-def bk_01_state_at(spark, d):
-    t = ticks(spark, d)
-    mid = t.agg(F.floor(F.avg("ts_us")).alias("t"))
-    return B.state_at(t.join(F.broadcast(mid)), ["symbol", "kind"], ["ts_us", "event_id"], F.col("ts_us") <= F.col("t"), "price")  # one row
-
-
 # -- flagship ----------------------------------------------------------------
 
 

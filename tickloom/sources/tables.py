@@ -83,3 +83,35 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TICKS_SQL = """ticks AS (SELECT event_id, user_id AS symbol, ts, epoch_us(ts) AS ts_us, CAST(ts AS DATE) AS day,
  event_type AS kind, value AS price, props FROM events)"""
+
+
+def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-of-book quotes around the price of every tick."""
+    t, p, k = ticks(spark, sf_dir), F.col("price"), F.col("event_id")
+    return t.select("symbol", "ts_us", "event_id", (p * (1 - 0.0005 * (1 + k % 4))).alias("bid"), (p * (1 + 0.0005 * (1 + k % 3))).alias("ask"), (1 + k % 7).cast("double").alias("bid_size"), (1 + k % 5).cast("double").alias("ask_size"))
+
+
+QUOTES_SQL = f"""{TICKS_SQL}, quotes AS (SELECT symbol, ts_us, event_id, price * (1 - 0.0005 * (1 + event_id % 4)) AS bid, price * (1 + 0.0005 * (1 + event_id % 3)) AS ask,
+ CAST(1 + event_id % 7 AS DOUBLE) AS bid_size, CAST(1 + event_id % 5 AS DOUBLE) AS ask_size FROM ticks)"""
+
+
+def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades: a tick's price, an amount, and a side by its kind."""
+    side = F.when(F.col("kind") == "purchase", "buy").when(F.col("kind") == "error", "sell").otherwise("unknown")
+    return ticks(spark, sf_dir).select("symbol", "ts_us", "event_id", "price", (1 + F.col("event_id") % 11).cast("double").alias("amount"), side.alias("side"))
+
+
+TRADES_SQL = f"""{TICKS_SQL}, trades AS (SELECT symbol, ts_us, event_id, price, CAST(1 + event_id % 11 AS DOUBLE) AS amount,
+ CASE kind WHEN 'purchase' THEN 'buy' WHEN 'error' THEN 'sell' ELSE 'unknown' END AS side FROM ticks)"""
+
+
+def books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots of 25 levels a side, best first; sizes from a vector."""
+    base, size = 100 + (F.col("vec_id") % 10) * 0.1, lambda v: F.abs(v.cast("double")) + 0.01
+    e = scan(spark, sf_dir, "embeddings").withColumn("base", base)
+    side = lambda at, sign: F.transform(F.slice("embedding", at, 25), lambda v, i: F.struct((F.col("base") + sign * 0.5 * (i + 1)).alias("price"), size(v).alias("size")))
+    return e.select(F.col("label").alias("symbol"), "vec_id", (F.col("vec_id") * 10_000_000).alias("ts_us"), side(1, -1).alias("bids"), side(26, 1).alias("asks"))
+
+
+BOOKS_SQL = """books AS (SELECT label AS symbol, vec_id, vec_id * 10000000 AS ts_us, 100 + (vec_id % 10) * 0.1 AS base,
+ [abs(CAST(x AS DOUBLE)) + 0.01 FOR x IN embedding[1:25]] AS bq, [abs(CAST(x AS DOUBLE)) + 0.01 FOR x IN embedding[26:50]] AS aq FROM embeddings)"""
