@@ -34,7 +34,7 @@ WINNOW = 8
 GAP_COST = 0.05
 MIN_WORDS = 50
 MIN_IDENTITY = 0.8
-PAD = 100
+PAD = 60
 #: words that a chain spans without a look at what lies beside it
 LONG = 30
 #: how far apart matching words beside a short chain may lie, and how many
@@ -42,7 +42,7 @@ LONG = 30
 SHIFT, SLACK = 10, 1.5
 BATCH_ROWS = 500
 #: occurrences in the smallest document that every other document links to
-FEW = 8
+FEW = 4
 #: bytes of text that are hashed at once
 CHUNK = 1 << 20
 _M = 0x9E3779B97F4A7C15
@@ -438,9 +438,10 @@ def shared_pairs(docs: DataFrame, min_words: int = MIN_WORDS, min_identity: floa
     links = held.join(at.filter(F.col("nth") <= FEW), "h").filter(other).select(*pair)
     # the anchor's further occurrences link to one place of one document each
     more = at.filter(F.col("nth") > FEW)
-    place = held.join(at.filter(F.col("nth") == FEW + 1).select("h", "aver"), "h").filter(other)
-    place = table(place.groupBy("h", "anchor").agg(F.max(F.struct("doc_id", "ver", (-F.col("pos")).alias("back"))).alias("m")), "place")
-    further = place.join(more, "h").select("m.doc_id", "m.ver", "anchor", "aver", (-F.col("m.back")).alias("pos"), "apos")
+    # the largest document of a seed that two hold is never its anchor
+    place = held.groupBy("h", "anchor").agg(F.max(F.struct("doc_id", "ver", (-F.col("pos")).alias("back"))).alias("m"))
+    place = table(place.join(at.filter(F.col("nth") == FEW + 1).select("h", "aver"), "h"), "place")
+    further = place.drop("aver").join(more, "h").select("m.doc_id", "m.ver", "anchor", "aver", (-F.col("m.back")).alias("pos"), "apos")
     chained = links.union(further).repartition("doc_id", "ver", "anchor", "aver").sortWithinPartitions(*pair)
     found = table(chained.mapInArrow(_chain_batches, CHAINS), "found")
     for name in ("repeated", "held", "at", "place"):
