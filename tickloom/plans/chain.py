@@ -10,9 +10,9 @@ from tickloom.plans.market import SW, TK, query, r
 from tickloom.sources.tables import scan, swaps, ticks
 
 
-@query(f"{SW} SELECT tx, log_index, round(quote / NULLIF(base * (log_index % 3), 0), 6) AS ratio FROM swaps")
+@query(f"{SW} SELECT tx, log_index, round(quote / NULLIF(base * (log_index % 3), 0), 9) AS ratio FROM swaps")
 def scl_01_safe_divide(spark, d):
-    return swaps(spark, d).select("tx", "log_index", r(S.safe_div(F.col("quote"), F.col("base") * (F.col("log_index") % 3)), "ratio"))
+    return swaps(spark, d).select("tx", "log_index", r(S.safe_div(F.col("quote"), F.col("base") * (F.col("log_index") % 3)), "ratio", 9))
 
 
 @query(f"{SW} SELECT tx, log_index, round(CASE WHEN abs(fee - 0.04) < 1e-9 THEN 0 ELSE fee - 0.04 END, 9) AS over FROM swaps")
@@ -34,10 +34,10 @@ def scl_04_epoch_unit(spark, d):
     return ticks(spark, d).select("event_id", S.epoch_micros(n).alias("us"))
 
 
-@query(f"{SW} SELECT tx, log_index, round(list_avg([x FOR x IN [base, CASE WHEN log_index % 2 = 0 THEN fee END, CASE WHEN log_index % 3 = 0 THEN price END] IF x IS NOT NULL]), 6) AS mean FROM swaps")
+@query(f"{SW} SELECT tx, log_index, round(list_avg([x FOR x IN [base, CASE WHEN log_index % 2 = 0 THEN fee END, CASE WHEN log_index % 3 = 0 THEN price END] IF x IS NOT NULL]), 9) AS mean FROM swaps")
 def scl_05_row_mean(spark, d):
     odd, third = F.when(F.col("log_index") % 2 == 0, F.col("fee")), F.when(F.col("log_index") % 3 == 0, F.col("price"))
-    return swaps(spark, d).select("tx", "log_index", r(S.row_mean(F.col("base"), odd, third), "mean"))
+    return swaps(spark, d).select("tx", "log_index", r(S.row_mean(F.col("base"), odd, third), "mean", 9))
 
 
 def _word(n):
@@ -68,11 +68,11 @@ def scl_06_log_words(spark, d):
 
 @query(f"""{SW}, v AS (SELECT tx, log_index, (CASE WHEN direction = 'sell_base' THEN -1 ELSE 1 END) * CAST(round(quote * 100) AS BIGINT) AS raw, log_index % 9 AS dec FROM swaps),
  t AS (SELECT *, lpad(CAST(abs(raw) AS VARCHAR), CAST(greatest(dec + 1, length(CAST(abs(raw) AS VARCHAR))) AS INTEGER), '0') AS s FROM v), u AS (SELECT *, left(s, CAST(length(s) - dec AS BIGINT)) AS w, rtrim(CASE WHEN dec > 0 THEN right(s, dec) ELSE '' END, '0') AS f FROM t)
- SELECT tx, log_index, CASE WHEN raw < 0 THEN '-' ELSE '' END || w || CASE WHEN f <> '' THEN '.' || f ELSE '' END AS amount, round(raw / pow(10, dec), 6) AS value FROM u""")
+ SELECT tx, log_index, CASE WHEN raw < 0 THEN '-' ELSE '' END || w || CASE WHEN f <> '' THEN '.' || f ELSE '' END AS amount, round(raw / pow(10, dec), 9) AS value FROM u""")
 def scl_07_raw_amount(spark, d):
     raw = F.when(F.col("direction") == "sell_base", -1).otherwise(1) * F.expr("cast(round(quote * 100) as bigint)")
     x = swaps(spark, d).select("tx", "log_index", raw.alias("raw"), (F.col("log_index") % 9).alias("dec"))
-    return x.select("tx", "log_index", CH.shifted(F.col("raw"), F.col("dec")).alias("amount"), r(F.col("raw") / F.pow(F.lit(10.0), F.col("dec")), "value"))
+    return x.select("tx", "log_index", CH.shifted(F.col("raw"), F.col("dec")).alias("amount"), r(F.col("raw") / F.pow(F.lit(10.0), F.col("dec")), "value", 9))
 
 
 @query(f"{SW}, v AS (SELECT tx, log_index, (CASE direction WHEN 'buy_base' THEN 1 WHEN 'sell_base' THEN -1 ELSE 0 END) * base AS db, quote FROM swaps) SELECT tx, log_index, CASE WHEN db > 0 THEN 'buy' WHEN db < 0 THEN 'sell' ELSE 'unknown' END AS side, round(sign(db) * quote, 4) AS flow, round(quote / NULLIF(abs(db), 0), 9) AS price FROM v")

@@ -242,22 +242,11 @@ def agg_25_trade_structure(spark, d):
 # -- windows -----------------------------------------------------------------
 
 
-@query(f"{SW} SELECT tx, log_index, lag(price) OVER w AS prev_price, lead(price) OVER w AS next_price, CAST(epoch_us(ts) - epoch_us(lag(ts) OVER w) AS BIGINT) AS gap_us FROM swaps WINDOW w AS ({ORD})")
-def win_01_lag_lead(spark, d):
-    return swaps(spark, d).select("tx", "log_index", F.lag("price").over(_event()).alias("prev_price"), F.lead("price").over(_event()).alias("next_price"), (micros("ts") - F.lag(micros("ts")).over(_event())).alias("gap_us"))
-
-
 @query(f"{SW} SELECT tx, log_index, round(ln(price / last_value(price IGNORE NULLS) OVER ({ORD} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 9) AS ret FROM swaps")
 def win_02_log_return(spark, d):
     return swaps(spark, d).select("tx", "log_index", r(W.log_return(F.col("price"), _event()), "ret", 9))
 
 
-@query(f"{SW} SELECT tx, log_index, round(sum(CASE direction WHEN 'buy_base' THEN quote WHEN 'sell_base' THEN -quote ELSE 0 END) OVER f, 4) AS net_flow, round(sum(quote) OVER f, 4) AS volume, CASE WHEN count(price) OVER f >= 2 THEN round(stddev_pop(price) OVER f, 6) END AS std FROM swaps WINDOW f AS ({ORD} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)")
-def win_03_past_rolling(spark, d):
-    f = W.rows(_event(), -20, -1)
-    return swaps(spark, d).select("tx", "log_index", r(F.sum(S.side_sign(F.col("direction")) * F.col("quote")).over(f), "net_flow", 4), r(F.sum("quote").over(f), "volume", 4), r(W.past_std(F.col("price"), _event(), 20), "std"))
-
-
 @query(f"{SW}, x AS (SELECT *, ln(price / lag(price) OVER ({ORD})) AS ret FROM swaps) SELECT tx, log_index, CASE WHEN count(ret) OVER f >= 15 THEN round(sqrt(sum(ret * ret) OVER f), 9) END AS rv FROM x WINDOW f AS ({ORD} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)")
 def win_04_realised_vol(spark, d):
     x = swaps(spark, d).withColumn("ret", W.log_return(F.col("price"), _event()))
@@ -280,18 +269,6 @@ def win_10_rolling_beta(spark, d):
     return swaps(spark, d).select("tx", "log_index", r(beta, "beta"), r(corr, "corr"))
 
 
-@query(f"{TK} SELECT event_id, count(*) OVER f AS n, round(coalesce(sum(price) OVER f, 0), 6) AS total FROM ticks WINDOW f AS (PARTITION BY symbol ORDER BY ts_us RANGE BETWEEN 86400000000 PRECEDING AND 1 PRECEDING)")
-def win_14_time_left_closed(spark, d):
-    f = W.time_frame(["symbol"], "ts_us", -86_400_000_000, -1)
-    return ticks(spark, d).select("event_id", F.count(F.lit(1)).over(f).alias("n"), r(F.coalesce(F.sum("price").over(f), F.lit(0.0)), "total"))
-
-
-@query(f"{TK} SELECT event_id, max(price) OVER f AS hi, min(price) OVER f AS lo, round(avg(price) OVER f, 6) AS mean FROM ticks WINDOW f AS (PARTITION BY symbol ORDER BY ts_us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW)")
-def win_15_time_inclusive(spark, d):
-    f = W.time_frame(["symbol"], "ts_us", -86_400_000_000, 0)
-    return ticks(spark, d).select("event_id", F.max("price").over(f).alias("hi"), F.min("price").over(f).alias("lo"), r(F.avg("price").over(f), "mean"))
-
-
 _FLAG = f"{TK}, x AS (SELECT *, price > avg(price) OVER (PARTITION BY symbol) AS up FROM ticks)"
 
 
@@ -299,11 +276,6 @@ def _flagged(spark, d):
     return ticks(spark, d).withColumn("up", F.col("price") > F.avg("price").over(Window.partitionBy("symbol")))
 
 
-@query(f"{_FLAG}, i AS (SELECT *, sum(CASE WHEN up THEN 0 ELSE 1 END) OVER ({TORD}) AS i FROM x) SELECT event_id, count(*) FILTER (up) OVER (PARTITION BY symbol, i ORDER BY ts_us, event_id) AS run FROM i")
-def win_19_run_length(spark, d):
-    return W.run_length(_flagged(spark, d), "up", ["symbol"], ["ts_us", "event_id"]).select("event_id", "run")
-
-
 @query(f"{TK}, x AS (SELECT *, price - lag(price) OVER ({TORD}) AS ch FROM ticks), s AS (SELECT *, sum(coalesce(ch - 0.5, 0)) OVER ({TORD}) AS s FROM x) SELECT event_id, round(s - least(0, min(s) OVER ({TORD})), 6) AS cusum FROM s")
 def win_27_cusum(spark, d):
     x = ticks(spark, d).withColumn("ch", F.col("price") - F.lag("price").over(_tick()))
@@ -325,29 +297,6 @@ def win_30_hysteresis(spark, d):
     return W.hysteresis(_flagged(spark, d), "up", ["symbol"], ["ts_us", "event_id"], 2, 2).select("event_id", "active", "starts")
 
 
-@query(f"{TK}, x AS (SELECT *, price - lag(price) OVER ({TORD}) AS ch FROM ticks), a AS (SELECT event_id, count(ch) OVER f AS c, avg(greatest(ch, 0)) FILTER (ch IS NOT NULL) OVER f AS u, avg(greatest(-ch, 0)) FILTER (ch IS NOT NULL) OVER f AS dn FROM x WINDOW f AS ({TORD} ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)) SELECT event_id, round(CASE WHEN c = 0 THEN 50.0 WHEN dn = 0 THEN CASE WHEN u = 0 THEN 50.0 ELSE 100.0 END ELSE 100 - 100 / (1 + u / dn) END, 6) AS rsi FROM a")
-def win_33_rsi(spark, d):
-    x = ticks(spark, d).withColumn("ch", F.col("price") - F.lag("price").over(_tick()))
-    return x.select("event_id", r(W.rsi(F.col("ch"), _tick(), 14), "rsi"))
-
-
-@query(f"{SW} SELECT tx, log_index, min(price) OVER f AS swing_low, max(price) OVER f AS swing_high FROM swaps WINDOW f AS ({ORD} ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)")
-def win_35_swing(spark, d):
-    f = W.rows(_event(), -60, -1)
-    return swaps(spark, d).select("tx", "log_index", F.min("price").over(f).alias("swing_low"), F.max("price").over(f).alias("swing_high"))
-
-
-@query(f"{SW}, k AS (SELECT *, rank() OVER (PARTITION BY day ORDER BY price) + (count(*) OVER (PARTITION BY day, price) - 1) / 2.0 AS rk FROM swaps) SELECT tx, log_index, round(100.0 * rk / count(*) OVER (PARTITION BY day), 6) AS pct FROM k")
-def win_39_rank_percent(spark, d):
-    return swaps(spark, d).select("tx", "log_index", r(100 * FA.average_rank("price", ["day"]) / F.count(F.lit(1)).over(Window.partitionBy("day")), "pct"))
-
-
-@query(f"{SW}, e AS (SELECT *, sum(CASE direction WHEN 'buy_base' THEN quote WHEN 'sell_base' THEN -quote ELSE 0 END) OVER ({ORD}) AS eq FROM swaps), p AS (SELECT *, greatest(max(eq) OVER ({ORD}), 0) AS pk FROM e) SELECT pool, round(max(pk - eq), 4) AS max_drawdown FROM p GROUP BY pool")
-def win_40_drawdown(spark, d):
-    x = swaps(spark, d).withColumn("pnl", S.side_sign(F.col("direction")) * F.col("quote"))
-    return W.max_drawdown(x, "pnl", ["pool"], KEY).select("pool", r("max_drawdown", "max_drawdown", 4))
-
-
 # -- grids -------------------------------------------------------------------
 
 
@@ -357,11 +306,6 @@ def grd_02_filled_spine(spark, d):
     return G.fill_forward(G.spine(bars, ["pool"], "dn", 1), bars, ["pool"], "dn", "vwap").select("pool", "dn", r("vwap", "vwap"), "method")
 
 
-@query(f"{_DAILY}, l AS (SELECT pool, dn - lag(dn) OVER (PARTITION BY pool ORDER BY dn) AS g FROM daily) SELECT pool, count(*) FILTER (g <> 1) AS breaks FROM l GROUP BY pool")
-def grd_03_continuity(spark, d):
-    return G.gaps(daily(spark, d), ["pool"], "dn", 1)
-
-
 @query(f"{SW} SELECT tx, log_index FROM swaps QUALIFY (row_number() OVER ({ORD}) - 1) % 7 = 0")
 def grd_11_stride(spark, d):
     return G.every_kth(swaps(spark, d), ["pool"], KEY, 7).select("tx", "log_index")
@@ -395,37 +339,12 @@ def lbl_02_entry_gap_return(spark, d):
     return swaps(spark, d).select("tx", "log_index", r(S.safe_div(F.lead("price", 6).over(_event()), F.lead("price", 1).over(_event())) - 1, "ret", 9))
 
 
-@query(f"{SW} SELECT tx, log_index, round(max(price) OVER f / price - 1, 9) AS mfe, round(min(price) OVER f / price - 1, 9) AS mae FROM swaps WINDOW f AS ({ORD} ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING)")
-def lbl_04_excursions(spark, d):
-    f = W.rows(_event(), 1, 10)
-    return swaps(spark, d).select("tx", "log_index", r(F.max("price").over(f) / F.col("price") - 1, "mfe", 9), r(F.min("price").over(f) / F.col("price") - 1, "mae", 9))
-
-
 @query(f"{TK} SELECT event_id, max(price) OVER f AS hi, min(price) OVER f AS lo FROM ticks WINDOW f AS (PARTITION BY symbol ORDER BY ts_us RANGE BETWEEN CURRENT ROW AND 86400000000 FOLLOWING)")
 def lbl_05_forward_extremes(spark, d):
     f = W.time_frame(["symbol"], "ts_us", 0, 86_400_000_000)
     return ticks(spark, d).select("event_id", F.max("price").over(f).alias("hi"), F.min("price").over(f).alias("lo"))
 
 
-@query(f"""{SW}, x AS (SELECT *, list(price) OVER ({ORD} ROWS BETWEEN 1 FOLLOWING AND 12 FOLLOWING) AS path FROM swaps),
- y AS (SELECT tx, log_index, len(path) AS m, list_position(list_transform(path, lambda p: p / price - 1 >= 0.05), true) AS up, list_position(list_transform(path, lambda p: p / price - 1 <= -0.05), true) AS dn FROM x)
- SELECT tx, log_index, CASE WHEN up IS NOT NULL AND (dn IS NULL OR up < dn) THEN 'upper' WHEN dn IS NOT NULL THEN 'lower' WHEN coalesce(m, 0) < 12 THEN 'future_missing' ELSE 'none' END AS label FROM y""")
-def lbl_08_triple_barrier(spark, d):
-    path = F.collect_list("price").over(W.rows(_event(), 1, 12))
-    x = swaps(spark, d).select("tx", "log_index", "price", path.alias("path"))
-    up = F.array_position(F.transform("path", lambda p: p / F.col("price") - 1 >= 0.05), True)
-    down = F.array_position(F.transform("path", lambda p: p / F.col("price") - 1 <= -0.05), True)
-    label = F.when((up > 0) & ((down == 0) | (up < down)), "upper").when(down > 0, "lower").when(F.size("path") < 12, "future_missing").otherwise("none")
-    return x.select("tx", "log_index", label.alias("label"))
-
-
-@query(f"{SW} SELECT tx, log_index, CAST(c AS INTEGER) AS slippage_bps, round(CASE direction WHEN 'buy_base' THEN 1 WHEN 'sell_base' THEN -1 ELSE 0 END * (lead(price, 5) OVER (PARTITION BY pool, c ORDER BY ts, tx, log_index) / price - 1) * 1e4 - 2 * fee * 100 - 2 * c, 6) + 0.0 AS net_bps FROM swaps CROSS JOIN (VALUES (0), (5), (20)) v(c)")
-def lbl_15_net_labels(spark, d):
-    gross = S.side_sign(F.col("direction")) * (S.safe_div(F.lead("price", 5).over(_event()), F.col("price")) - 1) * 1e4
-    x = swaps(spark, d).withColumn("gross", gross).withColumn("slippage_bps", F.explode(F.array(*map(F.lit, (0, 5, 20)))))
-    return x.select("tx", "log_index", "slippage_bps", (F.round(F.col("gross") - 2 * F.col("fee") * 100 - 2 * F.col("slippage_bps"), 6) + 0.0).alias("net_bps"))
-
-
 # -- factors and controls ----------------------------------------------------
 
 _X = f"{SW}, x AS (SELECT *, lead(price, 1) OVER ({ORD}) / price - 1 AS fwd, ln(quote) AS size FROM swaps)"
@@ -503,14 +422,6 @@ def ctl_10_leave_one_out(spark, d):
 # -- portfolio, order, shape -------------------------------------------------
 
 
-@query(f"{SW}, e AS (SELECT pool, ts AS t, 1 AS o, base AS w FROM swaps UNION ALL SELECT pool, ts + INTERVAL 3 DAY, 0, -base FROM swaps), x AS (SELECT pool, sum(w) OVER (PARTITION BY pool ORDER BY t, o ROWS UNBOUNDED PRECEDING) AS s FROM e) SELECT pool, count(*) AS events FROM x GROUP BY pool")
-def pf_09_exposure_events(spark, d):
-    s = swaps(spark, d)
-    e = s.select("pool", F.col("ts").alias("t"), F.lit(1).alias("o"), F.col("base").alias("w")).union(s.select("pool", F.col("ts") + F.expr("interval 3 days"), F.lit(0), -F.col("base")))
-    w = Window.partitionBy("pool").orderBy("t", "o").rowsBetween(Window.unboundedPreceding, 0)
-    return e.withColumn("s", F.sum("w").over(w)).groupBy("pool").agg(F.count("s").alias("events"))
-
-
 @query(f"{SW}, v AS (SELECT pool, sum(quote) AS total, min(quote) AS worst FROM swaps GROUP BY pool), m AS (SELECT *, max(worst) OVER (ORDER BY total DESC, pool ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM v) SELECT pool FROM m WHERE best IS NULL OR worst > best")
 def pf_12_pareto(spark, d):
     v = swaps(spark, d).groupBy("pool").agg(F.sum("quote").alias("total"), F.min("quote").alias("worst"))

@@ -46,12 +46,6 @@ def win_16_time_quantile(spark, d):
     return ticks(spark, d).select("event_id", r(F.when(F.count("price").over(f) >= 10, F.percentile("price", 0.9).over(f)), "q"))
 
 
-@query(f"{SW}, x AS (SELECT *, {SIGN} * quote AS s FROM swaps), m AS (SELECT tx, log_index, sum(greatest(s, 0)) OVER f AS p, sum(greatest(-s, 0)) OVER f AS q FROM x WINDOW f AS ({ORD} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) SELECT tx, log_index, round(p - q, 4) AS net, CASE WHEN p + q > 0 THEN round((p - q) / sqrt(p + q), 4) END AS balance FROM m")
-def win_17_signed_memory(spark, d):
-    m = W.signed_memory(_side() * F.col("quote"), W.rows(_event(), -19, 0))
-    return swaps(spark, d).select(*ID, r(m["net"], "net", 4), r(m["balance"], "balance", 4))
-
-
 @query(f"{SW} SELECT tx, log_index, CASE WHEN count(price) OVER f = 5 THEN round((" + " + ".join(f"coalesce(lag(price, {k}) OVER w, 0) * exp(-{k} / 2.0)" for k in range(5)) + ") / (" + " + ".join(f"exp(-{k} / 2.0)" for k in range(5)) + f"), 6) END AS y FROM swaps WINDOW w AS ({ORD}), f AS ({ORD} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
 def win_18_impulse_decay(spark, d):
     return swaps(spark, d).select(*ID, r(W.impulse_decay(F.col("price"), _event(), 5), "y"))
@@ -88,20 +82,6 @@ def win_32_momentum(spark, d):
     return swaps(spark, d).select(*ID, r(S.safe_div(p, back(5)) - 1, "momentum", 9), r(p - back(1), "gradient"), r(p - 2 * back(1) + back(2), "curvature"))
 
 
-@query(f"{SW}, x AS (SELECT *, ln(price / lag(price) OVER ({ORD})) AS ret FROM swaps), v AS (SELECT tx, log_index, sqrt(avg(ret * ret) OVER ({ORD} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)) AS s FROM x) SELECT tx, log_index, CASE WHEN s IS NULL THEN NULL WHEN s < 0.4 THEN 'calm' WHEN s < 0.6 THEN 'normal' ELSE 'hot' END AS state FROM v")
-def win_34_volatility_state(spark, d):
-    x = swaps(spark, d).withColumn("ret", W.log_return(F.col("price"), _event()))
-    s = F.sqrt(F.avg(F.col("ret") * F.col("ret")).over(W.rows(_event(), -29, 0)))
-    return x.select(*ID, F.when(s < 0.4, "calm").when(s < 0.6, "normal").when(s.isNotNull(), "hot").alias("state"))
-
-
-@query(f"{SW} SELECT tx, log_index, coalesce(price > max(price) OVER f, false) AS breakout_up, coalesce(price < min(price) OVER f, false) AS breakout_down, coalesce((max(price) OVER f - min(price) OVER f) / price < 0.5, false) AS compressed FROM swaps WINDOW f AS ({ORD} ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)")
-def win_36_breakout(spark, d):
-    f, p, no = W.rows(_event(), -60, -1), F.col("price"), F.lit(False)
-    hi, lo = F.max("price").over(f), F.min("price").over(f)
-    return swaps(spark, d).select(*ID, F.coalesce(p > hi, no).alias("breakout_up"), F.coalesce(p < lo, no).alias("breakout_down"), F.coalesce(S.safe_div(hi - lo, p) < 0.5, no).alias("compressed"))
-
-
 @query(f"{SW}, x AS (SELECT *, ln(price / lag(price) OVER ({ORD})) AS ret FROM swaps) SELECT tx, log_index, round(exp(coalesce(sum(ret) OVER ({ORD} ROWS UNBOUNDED PRECEDING), 0)), 6) AS idx FROM x")
 def win_37_price_index(spark, d):
     x = swaps(spark, d).withColumn("ret", W.log_return(F.col("price"), _event()))
@@ -157,14 +137,6 @@ def lbl_14_convergence(spark, d):
     return x.select("pool", "dn", F.when(later < 0.8 * F.col("d"), "shrink").when(later > 1.2 * F.col("d"), "expand").when(later.isNotNull(), "flat").alias("label"))
 
 
-@query(f"{SW}, x AS (SELECT tx, log_index, price * (1 - fee / 2) AS bid, price * (1 + fee / 2) AS ask, lead(price * (1 - fee / 2), 5) OVER w AS xb, lead(price * (1 + fee / 2), 5) OVER w AS xa FROM swaps WINDOW w AS ({ORD})) SELECT tx, log_index, round(1e4 * ln(xb / ask), 4) AS long_bps, round(1e4 * ln(bid / xa), 4) AS short_bps, round(1e4 * ln((xa + xb) / (ask + bid)), 4) AS mid_bps FROM x")
-def lbl_16_round_trip(spark, d):
-    s = swaps(spark, d).withColumn("bid", F.col("price") * (1 - F.col("fee") / 2)).withColumn("ask", F.col("price") * (1 + F.col("fee") / 2))
-    s = s.withColumn("xb", F.lead("bid", 5).over(_event())).withColumn("xa", F.lead("ask", 5).over(_event()))
-    bps = lambda a, b, name: r(S.log_ratio(a, b, 1e4), name, 4)
-    return s.select(*ID, bps(F.col("xb"), F.col("ask"), "long_bps"), bps(F.col("bid"), F.col("xa"), "short_bps"), bps(F.col("xa") + F.col("xb"), F.col("ask") + F.col("bid"), "mid_bps"))
-
-
 # -- factors -----------------------------------------------------------------
 
 

@@ -69,10 +69,10 @@ def agg_13_depth_distance(spark, d):
     return rounded(x.withColumns({"imbalance": B.imbalance(F.col("bid_5"), F.col("ask_5")), "slope": (F.col("bid_5") - F.col("bid_1")) / 0.04, "asymmetry": S.log_ratio(F.col("bid_5"), F.col("ask_5"))}), ["vec_id"])
 
 
-@query(f"""{SW}, s AS (SELECT swaps.*, {SIGN} AS sg FROM swaps WHERE NOT removed) SELECT date_diff('minute', TIMESTAMP '1970-01-01', ts) AS minute, count(*) AS n, round(sum(base), 4) AS base, round(sum(quote), 4) AS quote, round(sum(quote) / NULLIF(sum(base), 0), 6) AS vwap FROM s GROUP BY 1""")
+@query(f"""{SW}, s AS (SELECT swaps.*, {SIGN} AS sg FROM swaps WHERE NOT removed) SELECT date_diff('minute', TIMESTAMP '1970-01-01', ts) AS minute, count(*) AS n, round(sum(base), 4) AS base, round(sum(quote), 4) AS quote, round(sum(quote) / NULLIF(sum(base), 0), 9) AS vwap FROM s GROUP BY 1""")
 def agg_07_minute_vwap(spark, d):
     s = C.clean_reason(swaps(spark, d)).filter("not removed").withColumn("minute", F.expr("timestampdiff(MINUTE, timestamp_ntz'1970-01-01', cast(ts as timestamp_ntz))"))
-    return s.groupBy("minute").agg(F.count(F.lit(1)).alias("n"), r(F.sum("base"), "base", 4), r(F.sum("quote"), "quote", 4), r(S.safe_div(F.sum("quote"), F.sum("base")), "vwap"))
+    return s.groupBy("minute").agg(F.count(F.lit(1)).alias("n"), r(F.sum("base"), "base", 4), r(F.sum("quote"), "quote", 4), r(S.safe_div(F.sum("quote"), F.sum("base")), "vwap", 9))
 
 
 _SUMS = """count(*) AS swaps, count(*) FILTER (sg = 1) AS buys, count(*) FILTER (sg = -1) AS sells, round(sum(CASE WHEN sg = 1 THEN quote ELSE 0 END), 4) AS buy_volume, round(sum(CASE WHEN sg = -1 THEN quote ELSE 0 END), 4) AS sell_volume,
