@@ -60,6 +60,11 @@ def test_exact(spark, edge, empty):
         kept = exact.keep_one(docs)
         assert kept.columns == docs.columns and kept.count() == len(groups)
     assert exact.exact_dedup(empty).count() == 0 and exact.keep_one(empty).count() == 0
+    letters = [chr(c) for c in (*range(0x80, 0x250), *range(0x370, 0x530), *range(0x10A0, 0x1100), *range(0x1C80, 0x1CC0), *range(0x1E00, 0x2000), *range(0x2100, 0x2190), *range(0xA640, 0xA7FF), *range(0x10400, 0x10600), *range(0x10D50, 0x10D90), *range(0x1E900, 0x1E950))]
+    odd = spark.createDataFrame(list(enumerate("A" + c for c in letters)), "doc_id long, text string")
+    assert {r.doc_id: r.text_sha256 for r in exact.exact_dedup(odd).collect()} == {i: hashlib.sha256(("a" + c).encode()).hexdigest() for i, c in enumerate(letters)}
+    clash = spark.createDataFrame([(1, "a", 5, "x"), (2, "A", 6, "y")], "doc_id long, text string, row_key int, sha string")
+    assert [tuple(r) for r in exact.keep_one(clash).collect()] == [(2, "A", 6, "y")]
 
 
 def brute_fingerprint(text):
@@ -70,7 +75,7 @@ def brute_fingerprint(text):
 
 
 def test_simhash(spark, edge, empty):
-    for docs in (edge.filter("length(text) < 1000 or text is null"), small(spark)):
+    for docs in (edge, small(spark)):
         rows = docs.select("doc_id", "text").collect()
         fp = [brute_fingerprint(t) for _, t in rows]
         comp = list(range(len(rows)))
@@ -147,6 +152,8 @@ def test_mixing(spark, edge, empty):
         copies = mixing.repeated(docs.dropDuplicates(["doc_id"]))
         assert copies.columns == docs.columns
     assert mixing.mix_sources(empty).count() == 0
+    clash = spark.createDataFrame([(1, "a b", "s", 7, 8), (2, "c", "s", 9, 9)], "doc_id long, text string, source string, mix_id int, mix_times int")
+    assert {tuple(r) for r in mixing.repeated(clash).collect()} == {(1, "a b", "s", 7, 8), (2, "c", "s", 9, 9)}
 
 
 def test_mixing_prefers_quality(spark):
@@ -161,7 +168,7 @@ def test_packing(spark, edge, empty):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    for docs in (edge.filter("doc_id != 10"), small(spark)):
+    for docs in (edge, small(spark)):
         got = packing.pack_documents(docs, keep={"crc": F.crc32("ids")}).collect()
         texts = docs.select("doc_id", "text").collect()
         want = Counter()
@@ -181,6 +188,9 @@ def test_packing(spark, edge, empty):
             assert at <= 2048
         assert len(by) <= 1.03 * sum(r.length for r in got) / 2048 + 2
     assert packing.pack_documents(empty).count() == 0
+    marked = "a <|endoftext|> b<|endoftext|>"
+    ids = packing.pack_documents(spark.createDataFrame([(1, marked)], "doc_id long, text string")).first()
+    assert list(np.frombuffer(ids["ids"], "<u4")) == [*tok.encode(marked, add_special_tokens=False).ids, 1] and 50256 in np.frombuffer(ids["ids"], "<u4")
     ids = packing.pack_documents(edge.filter("doc_id = 4")).first()
     assert list(np.frombuffer(ids["ids"], "<u4")) == [*tok.encode("One", add_special_tokens=False).ids, 1]
 
@@ -464,7 +474,8 @@ def test_passages(spark, edge, empty):
     for i, (s, e) in {1: (40, 110), 2: (90, 160), 3: (0, 70), 4: (10, 130), 5: (100, 219), 9: (20, 80)}.items():
         assert abs(got[i].start - s) <= 2 and abs(got[i].end - e) <= 2, (i, got[i])
     assert passages.repeated_passages(empty).count() == 0
-    passages.repeated_passages(edge).collect()
+    # the repeated words and digits of the long edge texts are the only ones of 50 words, and share nothing
+    assert {r.doc_id for r in passages.repeated_passages(edge).collect()} <= {10, 13}
 
 
 def test_passages_whole_chain(spark):
@@ -511,6 +522,42 @@ def test_passages_fuzzy_recall(spark):
     assert len(got) >= 0.9 * len(docs), len(got)
 
 
+def test_seeds_and_word_hashes():
+    rng = np.random.default_rng(21)
+    words = [f"w{x}" for x in rng.integers(0, 10**6, 400)]
+    texts = [" ".join(words), "  ".join(["lead"] * 7 + words[100:120] + ["tail"]), "", "One two", "is it. " * 500, "\tONE\ntwo "]
+    h, counts = passages.hashed_words([t.encode() for t in texts])
+    assert counts.tolist() == [len(t.split()) for t in texts]
+    first = np.cumsum(counts) - counts
+    assert len(set(h[:400].tolist())) == len(set(words)) and (h[first[3] : first[3] + 2] == h[first[5] :]).all()
+    before = passages.CHUNK
+    try:  # a long text is cut at blanks
+        passages.CHUNK = 64
+        assert (passages.hashed_words([t.encode() for t in texts])[0] == h).all()
+    finally:
+        passages.CHUNK = before
+    for k in range(40):  # any k + winnow - 1 common words have a seed in common
+        at = int(rng.integers(0, 380))
+        run = words[at : at + passages.K + passages.WINNOW - 1]
+        other = " ".join([f"x{x}" for x in rng.integers(0, 10**6, 30)] + run + [f"y{k}"] * 20)
+        seeds, which, pos = passages.seeds_of([texts[0].encode(), other.encode()])
+        assert set(seeds[which == 0].tolist()) & set(seeds[(which == 1) & (pos >= 30) & (pos < 30 + len(run))].tolist())
+    seeds, which, pos = passages.seeds_of([texts[4].encode()])
+    assert len(seeds) <= 1000 / passages.WINNOW + 3 and pos.max() >= 1000 - passages.K - passages.WINNOW
+
+
+def test_passages_of_ids_that_repeat(spark):
+    rng = np.random.default_rng(22)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    shared = word(80)
+    rows = [(i, " ".join(word(20 * i) + shared + word(10))) for i in (1, 2, 3)] + [(1, " ".join(word(70)))]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows + rows[:1]], "doc_id long, text string, h string, anchor int")
+    got = sorted((r.doc_id, r.start, r.end) for r in passages.repeated_passages(df).collect())
+    assert len(got) == 3 and all(g[0] == i and abs(g[1] - 20 * i) <= 2 and abs(g[2] - 20 * i - 80) <= 2 for g, i in zip(got, (1, 2, 3), strict=True)), got
+    twins = spark.createDataFrame([(7, rows[0][1]), (7, rows[1][1])], "doc_id long, text string")
+    assert [r.doc_id for r in passages.repeated_passages(twins).collect()] == [7, 7]
+
+
 def test_chain_is_best():
     rng = np.random.default_rng(6)
     for _ in range(50):

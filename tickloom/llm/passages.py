@@ -1,9 +1,10 @@
 """Passages that repeat across documents, by collinear chaining of seeds.
 
 Seeds are winnowed k-word hashes of whole texts.  Every seed that two or more
-documents hold links each of its occurrences to the first FEW occurrences in the
-smallest document, and each further one there to the first occurrence in the
-largest, so links grow with the seeds and not with their pairs.  The links of
+documents hold links the first FEW occurrences of each document to the first FEW
+in the smallest document, its further ones to the first there, and each further
+one there to the first in the largest, so links grow with the seeds and not with
+their pairs.  The links of
 two documents are chained in order in both, with gap costs, through a Fenwick
 tree.  A chain shorter than LONG words is looked at in its surroundings: fewer
 words than a passage around it can differ must lie unmatched beside it.  From
@@ -128,10 +129,11 @@ def seeds_of(texts: list[bytes], k: int = K, winnow: int = WINNOW) -> tuple[np.n
     view = np.lib.stride_tricks.sliding_window_view(h, winnow)
     pick = np.concatenate([b + winnow - 1 - np.argmin(view[b][:, ::-1], axis=1) for b in np.array_split(base, len(base) // 65536 + 1)]) if len(base) else np.empty(0, np.int64)
     at = np.unique(pick)
-    # of a run of one gram, as a word repeated gives, every winnow-th place and the last
-    again = np.r_[False, (h[at[1:]] == h[at[:-1]]) & (at[1:] == at[:-1] + 1)] if len(at) else np.empty(0, bool)
-    nth = np.arange(len(at)) - np.maximum.accumulate(np.where(again, 0, np.arange(len(at))))
-    at = at[(nth % winnow == 0) | ~np.r_[again[1:], False][: len(at)]]
+    # of a run of one gram, as a few words repeated over and over give, one place in winnow words and the last
+    again = np.r_[False, (h[at[1:]] == h[at[:-1]]) & (at[1:] - at[:-1] <= winnow)] if len(at) else np.empty(0, bool)
+    since = at - at[np.maximum.accumulate(np.where(again, 0, np.arange(len(at))))]
+    fresh = np.r_[True, since[1:] // winnow != since[:-1] // winnow][: len(at)] | ~again
+    at = at[fresh | ~np.r_[again[1:], False][: len(at)]]
     text = np.searchsorted(starts, at, side="right") - 1
     return h[at].view(np.int64), text, (at - starts[text]).astype(np.int32)
 
@@ -146,7 +148,12 @@ def _seed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             part = b.slice(at, 512)
             h, which, pos = seeds_of(_texts(part.column(2)))
             own = [part.column(i).to_numpy(zero_copy_only=False)[which] for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(own[0], pa.int64()), pa.array(own[1], pa.int32()), pa.array(pos)], names=["h", "doc_id", "ver", "pos"])
+            # how many places the text has of the seed before this one
+            order = np.lexsort((pos, h, which))
+            same = np.r_[False, (h[order][1:] == h[order][:-1]) & (which[order][1:] == which[order][:-1])][: len(h)]
+            nth = np.empty(len(h), np.int32)
+            nth[order] = np.arange(len(h)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(own[0], pa.int64()), pa.array(own[1], pa.int32()), pa.array(pos), pa.array(nth)], names=["h", "doc_id", "ver", "pos", "earlier"])
 
 
 def chain(d: np.ndarray, a: np.ndarray, k: int = 8, gap_cost: float = GAP_COST) -> list[tuple[int, int, int, int, list[int], list[int]]]:
@@ -424,7 +431,7 @@ def shared_pairs(docs: DataFrame, min_words: int = MIN_WORDS, min_identity: floa
         return (session or spark).read.schema(df.schema).parquet(path)
 
     # tables that are written before a join read plain exchanges there, which Spark splits at a hot key
-    seeds = table(docs.mapInArrow(_seed_batches, "h long, doc_id long, ver int, pos int"), "seeds")
+    seeds = table(docs.mapInArrow(_seed_batches, "h long, doc_id long, ver int, pos int, earlier int"), "seeds")
     repeated = seeds.groupBy("h").agg(F.min("doc_id").alias("anchor"), F.max("doc_id").alias("last"), F.min("ver").alias("v0"), F.max("ver").alias("v1"))
     repeated = table(repeated.filter("anchor < last or v0 < v1").select("h", "anchor"), "repeated")
     held = table(seeds.join(repeated, "h"), "held")
@@ -435,7 +442,7 @@ def shared_pairs(docs: DataFrame, min_words: int = MIN_WORDS, min_identity: floa
     at = table(mine.filter("aver = least").drop("least"), "at")
     pair = ["doc_id", "ver", "anchor", "aver", "pos", "apos"]
     other = "doc_id != anchor or ver != aver"
-    links = held.join(at.filter(F.col("nth") <= FEW), "h").filter(other).select(*pair)
+    links = held.join(at.filter(F.col("nth") <= FEW), "h").filter(other).filter((F.col("earlier") < FEW) | (F.col("nth") == 1)).select(*pair)
     # the anchor's further occurrences link to one place of one document each
     more = at.filter(F.col("nth") > FEW)
     # the largest document of a seed that two hold is never its anchor
