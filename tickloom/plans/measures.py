@@ -134,7 +134,7 @@ def win_40_drawdown(spark, d):
     return x.select(*ID, "pool", r("eq", "equity", 4), r("pk", "peak", 4), r("gap", "drawdown", 4), r(F.max("gap").over(upto), "max_drawdown", 4))
 
 
-@query(f"""{_DAILY}, x AS (SELECT pool, dn, ln(vwap / lag(vwap) OVER ({_DW})) AS ret FROM daily), p AS (SELECT a.dn AS mk, x.pool AS i, y.pool AS j, count(*) AS n, corr(x.ret, y.ret) AS c FROM (SELECT DISTINCT dn FROM x) a JOIN x ON x.dn BETWEEN a.dn - 400 AND a.dn - 1 JOIN x y ON y.dn = x.dn AND y.pool > x.pool WHERE a.dn % 100 = 0 AND x.ret IS NOT NULL AND y.ret IS NOT NULL AND x.pool < 10 AND y.pool < 10 GROUP BY 1, 2, 3)
+@query(f"""{_DAILY}, x AS (SELECT pool, dn, ln(vwap / lag(vwap) OVER ({_DW})) AS ret FROM daily), p AS (SELECT a.dn AS mk, x.pool AS i, y.pool AS j, count(*) AS n, corr(x.ret, y.ret) AS c FROM (SELECT DISTINCT dn FROM x WHERE pool < 10 AND ret IS NOT NULL) a JOIN x ON x.dn BETWEEN a.dn - 400 AND a.dn - 1 JOIN x y ON y.dn = x.dn AND y.pool > x.pool WHERE a.dn % 100 = 0 AND x.ret IS NOT NULL AND y.ret IS NOT NULL AND x.pool < 10 AND y.pool < 10 GROUP BY 1, 2, 3)
  SELECT mk AS dn, count(*) AS pairs, round(avg(c), 6) AS mean FROM p WHERE n >= 10 AND NOT isnan(c) GROUP BY 1""")
 def win_11_pairwise_correlation(spark, d):
     """Mean correlation over the pairs of the ten first pools, the basket, in
