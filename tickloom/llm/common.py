@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,19 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the session's ``spark.checkpoint.dir``; a session without it is told
-    so, as a folder of one machine would not be seen by the others.
-    """
+    """The folder that the driver and all executors share: the session's
+    ``spark.checkpoint.dir``.  Where it is unset, a local master gets a
+    temporary folder; on a cluster that is an error, as no other machine would
+    see such a folder."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is not None and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(folder)
-    folder = folder or sc.getCheckpointDir()
-    if folder is None:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return folder
+    if sc.getCheckpointDir() is None:
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-shared-"))
+    return folder or sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
