@@ -17,10 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder where the cluster says that all can read and write."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-shared-")
-    return f"{root}/stream-{uuid.uuid4().hex}"
+def shared_folder(spark: SparkSession, kind: str = "stream") -> str:
+    """A new folder where the cluster says that all can read and write; only a
+    local master may do without such a setting."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if root is None and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{root or tempfile.mkdtemp(prefix='spark-shared-')}/{kind}-{uuid.uuid4().hex}"
 
 
 def file_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
