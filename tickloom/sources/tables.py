@@ -115,3 +115,90 @@ def books(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BOOKS_SQL = """books AS (SELECT label AS symbol, vec_id, vec_id * 10000000 AS ts_us, 100 + (vec_id % 10) * 0.1 AS base,
  [abs(CAST(x AS DOUBLE)) + 0.01 FOR x IN embedding[1:25]] AS bq, [abs(CAST(x AS DOUBLE)) + 0.01 FOR x IN embedding[26:50]] AS aq FROM embeddings)"""
+
+
+def latest_run(spark: SparkSession, root: str, run_tag: str | None = None) -> DataFrame:
+    """The parts of one run, by default of the last in name order; a tag that
+    no part has is an error.  The tag is a partition column, so other parts are
+    never read."""
+    parts = spark.read.parquet(root)
+    tags = [r.run_tag for r in parts.select("run_tag").distinct().orderBy("run_tag").collect()]  # one row a run
+    chosen = run_tag if run_tag is not None else (tags[-1] if tags else None)
+    if chosen not in tags:
+        raise ValueError(f"no part of run {chosen!r} under {root}")
+    return parts.filter(F.col("run_tag") == chosen)
+
+
+def current_dimension(snapshots: DataFrame, key: str, at: str, order: Column) -> DataFrame:
+    """Rows of the newest snapshot, one per key, the first by ``order``."""
+    newest = snapshots.agg(F.max(at).alias("newest_at"))  # one row
+    now = snapshots.join(F.broadcast(newest), F.col(at) == F.col("newest_at")).drop("newest_at")
+    best = F.max_by(F.struct(*now.columns), order)
+    return now.groupBy(key).agg(best.alias("best_row")).select("best_row.*")
+
+
+KLINE = "epoch long, open double, high double, low double, close double, volume double"
+
+
+def read_klines(spark: SparkSession, path: str) -> DataFrame:
+    """Headerless CSV bars whose epoch's unit is told by its magnitude → bars
+    with ts_us, minute and what is wrong with them."""
+    from tickloom.functions.scalars import epoch_micros
+
+    bars = spark.read.schema(KLINE).csv(path).withColumn("ts_us", epoch_micros(F.col("epoch")))
+    bad = F.least("open", "high", "low", "close") <= 0
+    return bars.withColumns({"minute": F.floor(F.col("ts_us") / 60_000_000).cast("long"), "bad_price": bad, "bad_volume": F.col("volume") < 0})
+
+
+def kline_quality(bars: DataFrame, by: list[str]) -> DataFrame:
+    each = bars.groupBy(*by, "minute").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad_price").alias("p"), F.count_if("bad_volume").alias("v"))
+    return each.groupBy(*by).agg(F.sum("n").alias("bars"), F.sum(F.col("n") - 1).alias("duplicate_minutes"), F.sum("p").alias("bad_prices"), F.sum("v").alias("bad_volumes"))
+
+
+def read_named_csv(spark: SparkSession, path: str, columns: Mapping[str, str]) -> DataFrame:
+    """CSV files, packed or not, whose columns are found by the names in their
+    header; ones that are missing are an error."""
+    df = spark.read.option("header", True).csv(path)
+    return df.select(*(F.col(c).cast(t).alias(c) for c, t in columns.items()))
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """A small result as one CSV file; an infinite or undefined number in it
+    fails the job before anything is written."""
+    numbers = [c for c, t in df.dtypes if t in ("double", "float")]
+    bad = [F.count_if(F.isnan(c) | (F.abs(F.col(c)) == float("inf"))).alias(c) for c in numbers]
+    found = df.agg(*bad).first().asDict() if bad else {}
+    if any(found.values()):
+        raise ValueError(f"numbers that are not finite: {found}")
+    df.coalesce(1).write.option("header", True).csv(path)
+
+
+def canonical_quotes(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Quotes with a dense seq per symbol and day, mid and spread_bps; and
+    apart the rows that are not positive or are crossed."""
+    from pyspark.sql import Window
+
+    ok = F.coalesce((F.col("bid") > 0) & (F.col("ask") > 0) & (F.col("bid") < F.col("ask")), F.lit(False))
+    mid = (F.col("bid") + F.col("ask")) / 2
+    w = Window.partitionBy("symbol", "day").orderBy("ts_us", "event_id")
+    good = raw.filter(ok).withColumns({"seq": F.row_number().over(w) - 1, "mid": mid, "spread_bps": (F.col("ask") - F.col("bid")) / mid * 1e4})
+    return good, raw.filter(~ok)
+
+
+def canonical_trades(raw: DataFrame, side: str) -> DataFrame:
+    """Trades with one spelling of the side, their notional and a dense seq."""
+    from pyspark.sql import Window
+
+    s = F.lower(F.trim(side))
+    known = F.when(s.isin("b", "buy", "bid"), "buy").when(s.isin("s", "sell", "ask"), "sell").otherwise("unknown")
+    w = Window.partitionBy("symbol", "day").orderBy("ts_us", "event_id")
+    return raw.withColumns({"side": known, "notional_quote": F.col("price") * F.col("amount"), "seq": F.row_number().over(w) - 1})
+
+
+def inventory(datasets: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
+    """Rows and least and greatest time of every dataset."""
+    one = [df.agg(F.count(F.lit(1)).alias("rows"), F.min(at).cast("timestamp_ntz").alias("first"), F.max(at).cast("timestamp_ntz").alias("last")).withColumn("dataset", F.lit(name)) for name, (df, at) in datasets.items()]
+    out = one[0]
+    for df in one[1:]:
+        out = out.unionByName(df)
+    return out
