@@ -1,4 +1,4 @@
-"""The queries of four plan modules against their SQL on the smallest tables."""
+"""The queries of five plan modules against their SQL on the smallest tables."""
 
 import datetime
 import decimal
@@ -8,11 +8,11 @@ from collections import Counter
 import duckdb
 import pytest
 
-from tickloom.plans import chain, market, measures, quality, state
+from tickloom.plans import chain, market, measures, quality, sourced, state
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events embeddings conversations".split()
-NAMES = sorted(n for m in (chain, measures, quality, state) for n, f in vars(m).items() if inspect.isfunction(f) and f.__module__ == m.__name__ and market.QUERIES.get(n) is f)
+NAMES = sorted(n for m in (chain, measures, quality, sourced, state) for n, f in vars(m).items() if inspect.isfunction(f) and f.__module__ == m.__name__ and market.QUERIES.get(n) is f)
 
 
 @pytest.fixture(scope="module")
