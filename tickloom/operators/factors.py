@@ -15,15 +15,47 @@ def average_rank(x: str, by: Sequence[str]) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(x)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, x)) - 1) / 2
 
 
+def value_slice(x: Column, parts: int = 1024) -> Column:
+    """A whole number that ascends with a finite x: ``parts`` slices between
+    two powers of two, so that rows spread whatever the scale of their values."""
+    size = F.greatest(F.abs(x.cast("double")), F.lit(1e-300))
+    power = F.floor(F.log2(size))
+    part = F.greatest(F.lit(0), F.least(F.floor((size / F.pow(F.lit(2.0), power) - 1) * parts), F.lit(parts - 1)))
+    return F.when(x == 0, 0).otherwise(F.signum(x) * ((power + 1100) * parts + part + 1)).cast("long")
+
+
+def with_ranks(df: DataFrame, x: str, by: Sequence[str], rank: str, tie: Sequence[str] = (), place: str | None = None, total: str | None = None) -> DataFrame:
+    """Average ranks of x per key, and where asked for the place in (x, tie)
+    order from 0 and the number of rows.  Rows are put in order inside slices of
+    the values only; the rows of the slices before are added from counts, so
+    that no task sorts a whole key."""
+    d = df.withColumn("value_slice", value_slice(F.col(x)))
+    counts = d.groupBy(*by, "value_slice").agg(F.count(F.lit(1)).alias("in_slice"))
+    key = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("in_slice").over(key.orderBy("value_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*by, "value_slice", before.alias("before_slice"), F.sum("in_slice").over(key).alias("rows_of_key"))
+    inside = Window.partitionBy(*by, "value_slice")
+    new = {rank: average_rank(x, [*by, "value_slice"])}
+    if place:
+        new[place] = F.row_number().over(inside.orderBy(x, *tie)) - 1
+    d = d.withColumns(new).join(counts, [*by, "value_slice"])
+    moved = {c: F.col(c) + F.col("before_slice") for c in new} | ({total: F.col("rows_of_key")} if total else {})
+    return d.withColumns(moved).drop("value_slice", "before_slice", "rows_of_key")
+
+
+def _correlation(x: str, y: str) -> Column:
+    return F.when(F.count(F.lit(1)) >= 2, safe_div(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+
+
 def pearson(df: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:
     d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    return d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= 2, safe_div(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))).alias("pearson"))
+    return d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), _correlation(x, y).alias("pearson"))
 
 
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:
-    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    d = d.withColumn("__rx", average_rank(x, by)).withColumn("__ry", average_rank(y, by))
-    return pearson(d, "__rx", "__ry", by).withColumnRenamed("pearson", "spearman")
+    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("x_value"), F.col(y).alias("y_value"))
+    d = with_ranks(with_ranks(d, "x_value", by, "x_rank"), "y_value", by, "y_rank")
+    return pearson(d, "x_rank", "y_rank", by).withColumnRenamed("pearson", "spearman")
 
 
 def equal_buckets(df: DataFrame, x: str, by: Sequence[str], tie: Sequence[str], k: int) -> DataFrame:
@@ -55,9 +87,11 @@ def factor_tests(df: DataFrame, ids: Sequence[str], factors: Sequence[str], targ
     lowest and highest bucket."""
     by = ["factor", "target"]
     d = long_form(df, ids, factors, targets).dropna(subset=["x", "y"])
-    p, s = pearson(d, "x", "y", by), spearman(d, "x", "y", by).drop("n")
-    b = equal_buckets(d, "x", by, [*ids, "y"], k).groupBy(*by).agg(F.avg(F.when(F.col("bucket") == 0, F.col("y"))).alias("low_mean"), F.avg(F.when(F.col("bucket") == k - 1, F.col("y"))).alias("high_mean"), F.avg((F.col("y") > 0).cast("double")).alias("positive_rate"))
-    return p.join(s, by).join(b, by).filter(F.col("n") >= least).withColumn("spread", F.col("high_mean") - F.col("low_mean"))
+    d = with_ranks(d, "x", by, "x_rank", [*ids, "y"], "place", "of")
+    d = with_ranks(d.drop(*ids), "y", by, "y_rank").withColumn("bucket", F.floor(F.col("place") * k / F.col("of")))
+    mean_in = lambda b: F.avg(F.when(F.col("bucket") == b, F.col("y")))
+    t = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), _correlation("x", "y").alias("pearson"), _correlation("x_rank", "y_rank").alias("spearman"), mean_in(0).alias("low_mean"), mean_in(k - 1).alias("high_mean"), F.avg((F.col("y") > 0).cast("double")).alias("positive_rate"))
+    return t.filter(F.col("n") >= least).withColumn("spread", F.col("high_mean") - F.col("low_mean"))
 
 
 def chronological_split(df: DataFrame, day: str, discovery: float = 0.6, validation: float = 0.8) -> DataFrame:
