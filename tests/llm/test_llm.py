@@ -571,16 +571,80 @@ def test_chain_is_best():
         assert any(abs(score[i] - max(score)) < 1e-9 and (pts[i][0] + 8, pts[i][1] + 8) == (best[1], best[3]) for i in range(n))
 
 
+def near_classes(texts):
+    """Smallest index reachable by links of Jaccard 0.8 between five-word shingle sets."""
+    grams = [frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for w in (re.findall(r"[^\x20\x09-\x0D]+", lower_az(t or "")) for t in texts)]
+    best = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if best[i] != best[j] and len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]):
+                a, b = best[i], best[j]
+                best = [min(a, b) if v in (a, b) else v for v in best]
+    return best
+
+
+def test_pipeline_stages_against_brute_force(spark, edge, empty):
+    """Each stage's decisions on its own input: the small table, and the edge
+    rows (nulls, empty and very long texts, repeats, clashing column names)."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    model = toxicity.train(small(spark), small(spark, "labels"))
+    for docs in (small(spark), edge):
+        rows = [tuple(r) for r in docs.collect()]
+        at = {c: k for k, c in enumerate(docs.columns)}
+        text, doc_id = at["text"], at["doc_id"]
+        # toxicity: what scores at the threshold or above goes
+        scorer = toxicity.train(docs, small(spark, "labels")) if docs is edge else model
+        kept = Counter(map(tuple, stages["toxicity"](spark, docs, SF).collect()))
+        assert kept == Counter(r for r in rows if sum(scorer.of_text(r[text])) < toxicity.REJECT_AT)
+        # exact copies: of equal texts the largest id stays, once
+        groups = defaultdict(list)
+        for r in rows:
+            groups[lower_az(r[text] or "")].append(r)
+        kept = stages["exact_dedup"](spark, docs, SF).collect()
+        assert len(kept) == len(groups)
+        for r in kept:
+            ids = [x[doc_id] for x in groups[lower_az(r.text or "")] if x[doc_id] is not None]
+            assert tuple(r) in groups[lower_az(r.text or "")] and r.doc_id == max(ids, default=None)
+        # near copies: the smallest id of a class stays
+        best = near_classes([r[text] for r in rows])
+        least = defaultdict(list)
+        for r, c in zip(rows, best, strict=True):
+            least[c].append(r[doc_id])
+        stay = {min((i for i in ids if i is not None), default=None) for ids in least.values()}
+        kept = Counter(map(tuple, stages["simhash_near_dedup"](spark, docs, SF).collect()))
+        assert kept == Counter(r for r in rows if r[doc_id] in stay)
+        # mixing: as often as the mix takes a document, up to twice
+        mixed = mixing.mix_sources(docs, weight_by=queries.quality_weight(spark, SF)).collect()
+        times = {}
+        for m in mixed:
+            if m.taken:
+                times[m.doc_id] = max(times.get(m.doc_id, 0), m.taken // m["size"])
+        kept = Counter(map(tuple, stages["mixing"](spark, docs, SF).collect()))
+        assert kept == Counter({r: n * times[r[doc_id]] for r, n in Counter(rows).items() if times.get(r[doc_id])})
+        # packing: every id of every row in one piece, windows without gaps
+        pieces = stages["packing"](spark, docs, SF).collect()
+        encode = packing.encoder()
+        assert sum(r.length for r in pieces) == sum(len(encode(r[text] or "")) + 1 for r in rows)
+        by = defaultdict(list)
+        for r in pieces:
+            by[r.sequence_id].append((r.offset, r.length))
+        assert all(o == sum(n for p, n in g if p < o) and o + m <= 2048 for g in by.values() for o, m in g)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, SF)
+        assert out.count() == 0 and (name == "packing" or out.columns == empty.columns)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
-    docs = small(spark)
-    out = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, out, SF)
-        assert out.columns == docs.columns, name
     last = corpus_pipeline.run(spark, SF)
-    assert last.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(last.columns)
+    docs = small(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+    names = ["doc_id", "start", "length", "ids_crc32"]
+    assert Counter(map(tuple, last.select(*names).collect())) == Counter(map(tuple, docs.select(*names).collect()))
 
 
 def test_near_stage_against_brute_force(spark, edge, empty):
