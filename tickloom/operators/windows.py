@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -127,30 +128,51 @@ def max_drawdown(df: DataFrame, pnl: str, by: Sequence[str], order: Sequence[str
     return d.groupBy(*by).agg(F.max(F.col("__p") - F.col("__e")).alias("max_drawdown"), F.sum(pnl).alias("total"))
 
 
+def keyed_scan(df: DataFrame, by: Sequence[str], order: Sequence[str], schema, fold: Callable) -> DataFrame:
+    """``fold(rows, state) → (rows, state)`` over each key in order.  Rows come
+    sorted, batch by batch, and the state goes on from one batch to the next,
+    so a task holds one batch however long a key's history is."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = None, None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            keys = list(zip(*(pdf[c].tolist() for c in by), strict=True))
+            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            out = []
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                rows_, state = fold(pdf.iloc[i:j], state if keys[i] == last else None)
+                last = keys[i]
+                out.append(rows_)
+            yield pd.concat(out)
+
+    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
+
+
 def recursive_filter(df: DataFrame, by: Sequence[str], order: Sequence[str], x: str, decay: float = 0.82, gain: float = 0.18, tanh: bool = False) -> DataFrame:
-    """y = decay·y + gain·x, or with tanh(x - y): order dependent, one scan per
-    key and so parallel over keys."""
-    schema = df.select(*by, *order).schema.add("y", "double")
+    """y = decay·y + gain·x, or with tanh(x − y); from 0, a null x counting as 0."""
     keep = [*dict.fromkeys([*by, *order])]
+    schema = df.select(*keep).schema.add("y", "double")
 
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, y, out = pdf.sort_values(list(order), kind="stable"), 0.0, []
-        for v in pdf[x].fillna(0.0).to_numpy():
-            y = decay * y + gain * (np.tanh(v - y) if tanh else v)
+    def fold(pdf: pd.DataFrame, y: float | None) -> tuple[pd.DataFrame, float]:
+        y, out = y or 0.0, []
+        for v in pdf[x].fillna(0.0).tolist():
+            y = decay * y + gain * (math.tanh(v - y) if tanh else v)
             out.append(y)
-        return pdf[keep].assign(y=out)
+        return pdf[keep].assign(y=out), y
 
-    return df.select(*keep, x).groupBy(*by).applyInPandas(scan, schema)
+    return keyed_scan(df.select(*keep, x), by, order, schema, fold)
 
 
 def refractory(df: DataFrame, by: Sequence[str], ts: str, gap: float, tie: Sequence[str] = ()) -> DataFrame:
     """Greedy thinning: a row stays if at least ``gap`` after the last kept."""
 
-    def thin(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, last, keep = pdf.sort_values([ts, *tie], kind="stable"), None, []
-        for t in pdf[ts].to_numpy():
+    def fold(pdf: pd.DataFrame, last: float | None) -> tuple[pd.DataFrame, float | None]:
+        keep = []
+        for t in pdf[ts].tolist():
             keep.append(last is None or t - last >= gap)
             last = t if keep[-1] else last
-        return pdf[np.array(keep, bool)]
+        return pdf[np.array(keep, bool)], last
 
-    return df.groupBy(*by).applyInPandas(thin, df.schema)
+    return keyed_scan(df, by, [ts, *tie], df.schema, fold)

@@ -282,17 +282,18 @@ def win_27_cusum(spark, d):
     return W.cusum(x, "ch", ["symbol"], ["ts_us", "event_id"], 0.5, 50.0).select("event_id", r("cusum", "cusum"))
 
 
-@query()
+@query(f"{TK}, l AS (SELECT event_id, list(price) OVER ({TORD} ROWS UNBOUNDED PRECEDING) AS p FROM ticks) SELECT event_id, round(list_reduce(list_prepend(0.0, p), lambda a, x: 0.82 * a + 0.18 * x), 6) AS y FROM l")
 def win_28_linear_filter(spark, d):
     return W.recursive_filter(ticks(spark, d), ["symbol"], ["ts_us", "event_id"], "price").select("event_id", r("y", "y"))
 
 
-@query()
+@query(f"{TK}, l AS (SELECT event_id, list(price) OVER ({TORD} ROWS UNBOUNDED PRECEDING) AS p FROM ticks) SELECT event_id, round(list_reduce(list_prepend(0.0, p), lambda a, x: 0.88 * a + 0.12 * (1 - 2 / (exp(2 * (x - a)) + 1))), 6) AS y FROM l")
 def win_29_tanh_filter(spark, d):
     return W.recursive_filter(ticks(spark, d), ["symbol"], ["ts_us", "event_id"], "price", 0.88, 0.12, tanh=True).select("event_id", r("y", "y"))
 
 
-@query()
+@query(f"""{_FLAG}, i AS (SELECT *, sum(CASE WHEN up THEN 0 ELSE 1 END) OVER ({TORD}) AS iu, sum(CASE WHEN up THEN 1 ELSE 0 END) OVER ({TORD}) AS id FROM x), n AS (SELECT *, count(*) FILTER (up) OVER (PARTITION BY symbol, iu ORDER BY ts_us, event_id) AS nu, count(*) FILTER (NOT up) OVER (PARTITION BY symbol, id ORDER BY ts_us, event_id) AS nd FROM i),
+ e AS (SELECT *, CASE WHEN nu >= 2 THEN true WHEN nd >= 2 THEN false END AS ev FROM n), a AS (SELECT symbol, ts_us, event_id, coalesce(last_value(ev IGNORE NULLS) OVER ({TORD} ROWS UNBOUNDED PRECEDING), false) AS active FROM e) SELECT event_id, active, active AND NOT coalesce(lag(active) OVER ({TORD}), false) AS starts FROM a""")
 def win_30_hysteresis(spark, d):
     return W.hysteresis(_flagged(spark, d), "up", ["symbol"], ["ts_us", "event_id"], 2, 2).select("event_id", "active", "starts")
 
@@ -316,7 +317,7 @@ def grd_12_time_bucket(spark, d):
     return G.first_per_bucket(ticks(spark, d), ["symbol"], "ts_us", 86_400_000_000, ["event_id"]).select("event_id")
 
 
-@query()
+@query(f"{TK}, l AS (SELECT symbol, ts_us, event_id, list(ts_us) OVER ({TORD} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM ticks) SELECT symbol, ts_us, event_id FROM l WHERE p IS NULL OR len(p) = 0 OR ts_us - list_reduce(p, lambda a, x: CASE WHEN x - a >= 86400000000 THEN x ELSE a END) >= 86400000000")
 def grd_13_refractory(spark, d):
     return W.refractory(ticks(spark, d).select("symbol", "ts_us", "event_id"), ["symbol"], "ts_us", 86_400_000_000, ["event_id"])
 
