@@ -48,11 +48,11 @@ def blob_id(text: Column) -> Column:
 def scan(docs: DataFrame, ledger: DataFrame | None = None, version: str = RULE_VERSION, text_col: str = "text") -> DataFrame:
     """New ledger rows: one per blob of ``docs`` not yet scanned by ``version``."""
     text = text_or_empty(text_col)
-    # copies combine before the shuffle; the text is part of the key, so that
-    # blobs are told apart by their bytes
-    blobs = docs.select(blob_id(text).alias("blob"), text.alias("text")).dropDuplicates(["blob", "text"])
+    # copies combine before the shuffle, and the ledger is looked up in the
+    # same partitioning by blob, so that a text is shuffled once at most
+    blobs = docs.select(blob_id(text).alias("blob"), text.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
     if ledger is not None:
-        blobs = blobs.join(ledger.filter(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
+        blobs = blobs.join(ledger.filter(F.col("rule_version") == version).select("blob").hint("merge"), "blob", "left_anti")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
