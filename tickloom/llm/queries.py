@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import exact, fim, mixing, packing, passages, pii, secret_scan, simhash, topk, toxicity, warc, whitening
+from tickloom.llm import exact, fim, mixing, multi_index, packing, passages, pii, secret_scan, simhash, topk, toxicity, warc, whitening
 from tickloom.llm.common import new_folder, table
 
 
@@ -105,6 +105,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.digest(table(spark, sf_dir, "embeddings"))
 
 
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
