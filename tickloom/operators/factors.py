@@ -24,7 +24,7 @@ def value_slice(x: Column, parts: int = 1024) -> Column:
     return F.when(x == 0, 0).otherwise(F.signum(x) * ((power + 1100) * parts + part + 1)).cast("long")
 
 
-def with_ranks(df: DataFrame, x: str, by: Sequence[str], rank: str, tie: Sequence[str] = (), place: str | None = None, total: str | None = None) -> DataFrame:
+def with_ranks(df: DataFrame, x: str, by: Sequence[str], rank: str | None, tie: Sequence[str] = (), place: str | None = None, total: str | None = None) -> DataFrame:
     """Average ranks of x per key, and where asked for the place in (x, tie)
     order from 0 and the number of rows.  Rows are put in order inside slices of
     the values only; the rows of the slices before are added from counts, so
@@ -35,7 +35,7 @@ def with_ranks(df: DataFrame, x: str, by: Sequence[str], rank: str, tie: Sequenc
     before = F.coalesce(F.sum("in_slice").over(key.orderBy("value_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select(*by, "value_slice", before.alias("before_slice"), F.sum("in_slice").over(key).alias("rows_of_key"))
     inside = Window.partitionBy(*by, "value_slice")
-    new = {rank: average_rank(x, [*by, "value_slice"])}
+    new = {rank: average_rank(x, [*by, "value_slice"])} if rank else {}
     if place:
         new[place] = F.row_number().over(inside.orderBy(x, *tie)) - 1
     d = d.withColumns(new).join(counts, [*by, "value_slice"])

@@ -27,6 +27,25 @@ def log_return(price: Column, w: WindowSpec, scale: float = 1.0) -> Column:
     return F.when(price > 0, F.log(price / prev) * scale)
 
 
+def past_sums(df: DataFrame, by: Sequence[str], order: Sequence[str], n: int, sums: dict[str, Column]) -> DataFrame:
+    """``df`` and, for each of ``sums``, its sum over the ``n`` rows before, 0
+    where there are none; ``order`` must tell the rows of a key apart.
+
+    Rows are cut into blocks of ``n``: the rows before are the end of one block
+    and the start of the next, each a running sum, so that a row costs the same
+    whatever ``n`` and nothing is taken away from a sum.
+    """
+    key = ordered(by, order)
+    d = df.withColumn("row_place", F.row_number().over(key) - 1).withColumn("row_block", F.floor(F.col("row_place") / n))
+    d = d.withColumns({f"part_{name}": F.coalesce(c.cast("double"), F.lit(0.0)) for name, c in sums.items()})
+    block = Window.partitionBy(*by, "row_block")
+    ahead, behind = rows(block.orderBy("row_place"), None, -1), rows(block.orderBy(F.desc("row_place")), None, 0)
+    d = d.withColumns({f"start_{name}": F.sum(f"part_{name}").over(ahead) for name in sums} | {f"end_{name}": F.sum(f"part_{name}").over(behind) for name in sums})
+    place = Window.partitionBy(*by).orderBy("row_place")
+    whole = {name: F.coalesce(F.lag(f"end_{name}", n).over(place), F.lit(0.0)) + F.coalesce(f"start_{name}", F.lit(0.0)) for name in sums}
+    return d.withColumns(whole).select(*df.columns, *sums)
+
+
 def past_std(x: Column, w: WindowSpec, n: int, least: int = 2) -> Column:
     f = rows(w, -n, -1)
     return F.when(F.count(x).over(f) >= least, F.stddev_pop(x).over(f))
