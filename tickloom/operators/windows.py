@@ -27,23 +27,44 @@ def log_return(price: Column, w: WindowSpec, scale: float = 1.0) -> Column:
     return F.when(price > 0, F.log(price / prev) * scale)
 
 
-def past_sums(df: DataFrame, by: Sequence[str], order: Sequence[str], n: int, sums: dict[str, Column]) -> DataFrame:
-    """``df`` and, for each of ``sums``, its sum over the ``n`` rows before, 0
-    where there are none; ``order`` must tell the rows of a key apart.
+_FOLDS = {"sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0))), "max": (F.max, F.greatest), "min": (F.min, F.least)}
+
+
+def rolled(df: DataFrame, by: Sequence[str], order: Sequence[str], sizes: Sequence[int], folds: dict[str, tuple[str, Column]]) -> DataFrame:
+    """``df`` and, for each size n and each of ``folds`` (a sum, max or min of a
+    column), ``{name}_last_{n}`` over the last n rows, this one included, and
+    ``{name}_past_{n}`` over the n rows before it; sums of nothing are 0.
 
-    Rows are cut into blocks of ``n``: the rows before are the end of one block
-    and the start of the next, each a running sum, so that a row costs the same
-    whatever ``n`` and nothing is taken away from a sum.
+    Rows are cut into blocks of n: a frame is the end of one block and the start
+    of the next, each a running fold.  A row costs the same whatever n, and
+    nothing is taken away from a sum.  ``order`` must tell the rows of a key apart.
     """
-    key = ordered(by, order)
-    d = df.withColumn("row_place", F.row_number().over(key) - 1).withColumn("row_block", F.floor(F.col("row_place") / n))
-    d = d.withColumns({f"part_{name}": F.coalesce(c.cast("double"), F.lit(0.0)) for name, c in sums.items()})
-    block = Window.partitionBy(*by, "row_block")
-    ahead, behind = rows(block.orderBy("row_place"), None, -1), rows(block.orderBy(F.desc("row_place")), None, 0)
-    d = d.withColumns({f"start_{name}": F.sum(f"part_{name}").over(ahead) for name in sums} | {f"end_{name}": F.sum(f"part_{name}").over(behind) for name in sums})
-    place = Window.partitionBy(*by).orderBy("row_place")
-    whole = {name: F.coalesce(F.lag(f"end_{name}", n).over(place), F.lit(0.0)) + F.coalesce(f"start_{name}", F.lit(0.0)) for name in sums}
-    return d.withColumns(whole).select(*df.columns, *sums)
+    d = df.withColumn("row_place", F.row_number().over(ordered(by, order)) - 1).withColumns({f"part_{name}": c.cast("double") for name, (_, c) in folds.items()})
+    place, out = Window.partitionBy(*by).orderBy("row_place"), []
+    for n in sizes:
+        d = d.withColumn(f"block_{n}", F.floor(F.col("row_place") / n))
+        block = Window.partitionBy(*by, f"block_{n}")
+        here, behind = rows(block.orderBy("row_place"), None, 0), rows(block.orderBy(F.desc("row_place")), None, 0)
+        runs = {}
+        for name, (kind, _) in folds.items():
+            runs |= {f"start_{name}_{n}": _FOLDS[kind][0](f"part_{name}").over(here), f"end_{name}_{n}": _FOLDS[kind][0](f"part_{name}").over(behind)}
+        d = d.withColumns(runs)
+        first, last = F.col("row_place") % n == 0, F.col("row_place") % n == n - 1
+        both = {}
+        for name, (kind, _) in folds.items():
+            join, start, end = _FOLDS[kind][1], F.col(f"start_{name}_{n}"), F.col(f"end_{name}_{n}")
+            both[f"{name}_last_{n}"] = join(F.when(~last, F.lag(end, n - 1).over(place)), start)
+            both[f"{name}_past_{n}"] = join(F.lag(end, n).over(place), F.when(~first, F.lag(start, 1).over(place)))
+        out += both
+        d = d.withColumns(both)
+    return d.select(*df.columns, *out)
+
+
+def past_sums(df: DataFrame, by: Sequence[str], order: Sequence[str], n: int, sums: dict[str, Column]) -> DataFrame:
+    """``df`` and, for each of ``sums``, its sum over the ``n`` rows before, 0
+    where there are none."""
+    d = rolled(df, by, order, [n], {name: ("sum", c) for name, c in sums.items()})
+    return d.select(*df.columns, *(F.col(f"{name}_past_{n}").alias(name) for name in sums))
 
 
 def past_std(x: Column, w: WindowSpec, n: int, least: int = 2) -> Column:

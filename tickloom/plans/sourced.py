@@ -133,3 +133,23 @@ def src_15_canonical_trades(spark, d):
     raw = F.when(F.col("side") == "buy", F.when(odd, " BUY").otherwise("b")).when(F.col("side") == "sell", F.when(odd, "Ask").otherwise("SELL ")).otherwise("?")
     t = trades(spark, d).withColumns({"raw": raw, "day": F.expr(f"ts_us div {DAY}")})
     return T.canonical_trades(t, "raw").select("symbol", "event_id", "side", r("notional_quote", "notional_quote"), F.col("seq").cast("long").alias("seq"))
+
+
+@query("SELECT 'status=' || o_orderstatus AS dataset, 1 AS files, true AS has_bytes, count(*) AS rows, false AS first_reused, true AS second_reused, false AS changed_reused FROM orders GROUP BY o_orderstatus")
+def src_12_inventory(spark, d):
+    """Files of three datasets, and a table derived from them: built, found again
+    as it is, and built anew when a source has got a file more."""
+    from tickloom.sources import manifest as MF
+
+    root, out = shared_folder(spark, "raw"), shared_folder(spark, "derived")
+    orders = scan(spark, d, "orders").withColumnRenamed("o_orderstatus", "status")
+    orders.repartition("status").write.partitionBy("status").parquet(root)  # a file a status
+    build = lambda: spark.read.parquet(root).groupBy(F.concat(F.lit("status="), "status").alias("dataset")).agg(F.count(F.lit(1)).alias("rows"))
+    files = MF.raw_files(spark, root)
+    seen = MF.inventory(files).select("dataset", "files", (F.col("bytes") > 0).alias("has_bytes"))
+    first, was = MF.derived_table(files, out, build)
+    again = MF.derived_table(MF.raw_files(spark, root), out, build)[1]
+    later = f"{root}-later"
+    orders.repartition("status").write.partitionBy("status").parquet(later)
+    changed = MF.derived_table(MF.raw_files(spark, root).unionByName(MF.raw_files(spark, later)), out, build)[1]
+    return seen.join(first, "dataset").withColumns({"first_reused": F.lit(was), "second_reused": F.lit(again), "changed_reused": F.lit(changed)})
