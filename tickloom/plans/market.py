@@ -276,10 +276,10 @@ def _flagged(spark, d):
     return ticks(spark, d).withColumn("up", F.col("price") > F.avg("price").over(Window.partitionBy("symbol")))
 
 
-@query(f"{TK}, x AS (SELECT *, price - lag(price) OVER ({TORD}) AS ch FROM ticks), s AS (SELECT *, sum(coalesce(ch - 0.5, 0)) OVER ({TORD}) AS s FROM x) SELECT event_id, round(s - least(0, min(s) OVER ({TORD})), 6) AS cusum FROM s")
+@query(f"{TK}, x AS (SELECT *, price - lag(price) OVER ({TORD}) AS ch FROM ticks), s AS (SELECT *, sum(coalesce(ch - 0.5, 0)) OVER ({TORD}) AS s FROM x) SELECT event_id, round(s - least(0, min(s) OVER ({TORD})), 6) AS cusum, s - least(0, min(s) OVER ({TORD})) > 50 AS cusum_flag FROM s")
 def win_27_cusum(spark, d):
     x = ticks(spark, d).withColumn("ch", F.col("price") - F.lag("price").over(_tick()))
-    return W.cusum(x, "ch", ["symbol"], ["ts_us", "event_id"], 0.5, 50.0).select("event_id", r("cusum", "cusum"))
+    return W.cusum(x, "ch", ["symbol"], ["ts_us", "event_id"], 0.5, 50.0).select("event_id", r("cusum", "cusum"), "cusum_flag")
 
 
 @query(f"{TK}, l AS (SELECT event_id, list(price) OVER ({TORD} ROWS UNBOUNDED PRECEDING) AS p FROM ticks) SELECT event_id, round(list_reduce(list_prepend(0.0, p), lambda a, x: 0.82 * a + 0.18 * x), 6) AS y FROM l")

@@ -201,9 +201,12 @@ def joi_08_nearest_other(spark, d):
 
 @query(f"{TK} SELECT x.event_id, min(y.ts_us) - x.ts_us AS wait_us FROM ticks x LEFT JOIN ticks y ON y.symbol = x.symbol AND y.ts_us >= x.ts_us + 3600000000 AND y.event_id <> x.event_id GROUP BY x.event_id, x.ts_us")
 def joi_10_own_later_event(spark, d):
-    """The symbol's first other event at least an hour later."""
-    w = Window.partitionBy("symbol").orderBy("ts_us").rangeBetween(3_600_000_000, Window.unboundedFollowing)
-    return ticks(spark, d).select("event_id", (F.min("ts_us").over(w) - F.col("ts_us")).alias("wait_us"))
+    """The symbol's first other event at least an hour later, by a forward as-of
+    join: a frame to the end of the key would be evaluated anew for each row."""
+    t = ticks(spark, d)
+    asked = t.select("symbol", "event_id", (F.col("ts_us") + 3_600_000_000).alias("ts_us"))
+    later = t.select("symbol", "ts_us", F.col("event_id").alias("other"))
+    return J.asof_join(asked, later, "ts_us", ["symbol"], ["other"], forward=True).select("event_id", (F.col("age") + 3_600_000_000).alias("wait_us"))
 
 
 @query("""WITH c AS (SELECT p_partkey AS id, p_brand AS underlying, p_type AS expiry, p_size AS strike, CASE WHEN p_partkey % 2 = 0 THEN 'above' ELSE 'below' END AS way FROM part), s AS (SELECT *, lead(id) OVER w AS nx, lead(strike) OVER w AS ns FROM c WINDOW w AS (PARTITION BY underlying, expiry, way ORDER BY strike, id))
