@@ -114,9 +114,15 @@ def auc(df: DataFrame, score: str, label: str, by: Sequence[str]) -> DataFrame:
 
 def expected_shortfall(df: DataFrame, x: str, by: Sequence[str], alpha: float) -> DataFrame:
     """Mean of the ceil(alpha · n) smallest values."""
-    w = Window.partitionBy(*by)
-    d = df.dropna(subset=[x]).withColumn("__n", F.row_number().over(w.orderBy(x))).withColumn("__t", F.ceil(F.count(F.lit(1)).over(w) * alpha))
-    return d.filter(F.col("__n") <= F.col("__t")).groupBy(*by).agg(F.avg(x).alias("tail_mean"))
+    d = with_ranks(df.dropna(subset=[x]).select(*by, x), x, by, None, place="place", total="total")
+    return d.filter(F.col("place") < F.ceil(F.col("total") * alpha)).groupBy(*by).agg(F.avg(x).alias("tail_mean"))
+
+
+def trimmed_mean(df: DataFrame, x: str, by: Sequence[str], alpha: float) -> DataFrame:
+    """Mean without the ceil(alpha · n) largest values."""
+    d = with_ranks(df.dropna(subset=[x]).select(*by, x), x, by, None, place="place", total="total")
+    kept = F.when(F.col("total") - F.col("place") > F.ceil(F.col("total") * alpha), F.col(x))
+    return d.groupBy(*by).agg(F.avg(kept).alias("trimmed_mean"))
 
 
 def mad(df: DataFrame, x: str, by: Sequence[str], floor: float = 1e-9) -> DataFrame:

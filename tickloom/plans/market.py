@@ -106,15 +106,14 @@ def joi_02_unique_inner(spark, d):
     return J.unique_inner(swaps(spark, d), o, ["tx"]).select("tx", "log_index", "o_totalprice")
 
 
-_PAIR = f"{TK}, k AS (SELECT kind FROM ticks GROUP BY kind ORDER BY kind), a AS (SELECT symbol, ts_us, event_id FROM ticks WHERE kind = (SELECT min(kind) FROM k)), b AS (SELECT symbol, ts_us, max(event_id) AS other FROM ticks WHERE kind = (SELECT max(kind) FROM k) GROUP BY 1, 2)"
+_PAIR = f"{TK}, a AS (SELECT symbol, ts_us, event_id FROM ticks WHERE kind <> 'purchase'), b AS (SELECT symbol, ts_us, max(event_id) AS other FROM ticks WHERE kind = 'purchase' GROUP BY 1, 2)"
 
 
 def _sides(spark, d):
+    """Purchases, and all other events."""
     t = ticks(spark, d)
-    ends = t.agg(F.min("kind").alias("lo"), F.max("kind").alias("hi"))
-    t = t.join(F.broadcast(ends), F.col("kind").isin(F.col("lo"), F.col("hi")))  # one row
-    a = t.filter("kind = lo").select("symbol", "ts_us", "event_id")
-    b = t.filter("kind = hi").groupBy("symbol", "ts_us").agg(F.max("event_id").alias("other"))
+    a = t.filter("kind != 'purchase'").select("symbol", "ts_us", "event_id")
+    b = t.filter("kind = 'purchase'").groupBy("symbol", "ts_us").agg(F.max("event_id").alias("other"))
     return a, b
 
 
@@ -389,15 +388,19 @@ def fac_11_split(spark, d):
     return FA.chronological_split(swaps(spark, d), "day").groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("WITH k AS (SELECT lang, toxic, rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2.0 AS rk FROM documents JOIN labels USING (doc_id)), a AS (SELECT lang, count(*) FILTER (toxic = 1) AS p, count(*) FILTER (toxic = 0) AS q, sum(rk) FILTER (toxic = 1) AS s FROM k GROUP BY lang) SELECT lang, p AS positives, q AS negatives, CASE WHEN p * q > 0 THEN round((s - p * (p + 1) / 2.0) / (p * q), 9) END AS auc FROM a")
+@query("WITH k AS (SELECT lang, toxic, rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2.0 AS rk FROM documents JOIN labels USING (doc_id)), a AS (SELECT lang, count(*) FILTER (toxic = 1) AS p, count(*) FILTER (toxic = 0) AS q, sum(rk) FILTER (toxic = 1) AS s FROM k GROUP BY lang) SELECT lang, p AS positives, q AS negatives, CASE WHEN p * q > 0 AND p + q >= 50 THEN round((s - p * (p + 1) / 2.0) / (p * q), 9) END AS auc, CASE WHEN p * q > 0 AND p + q >= 50 THEN round(greatest((s - p * (p + 1) / 2.0) / (p * q), 1 - (s - p * (p + 1) / 2.0) / (p * q)), 9) END AS best FROM a")
 def fac_26_auc(spark, d):
     x = scan(spark, d, "documents").select("doc_id", "lang", "n_chars").join(scan(spark, d, "labels"), "doc_id")
-    return FA.auc(x, "n_chars", "toxic", ["lang"]).select("lang", "positives", "negatives", r("auc", "auc", 9))
+    auc = F.when(F.col("positives") + F.col("negatives") >= 50, F.col("auc"))
+    return FA.auc(x, "n_chars", "toxic", ["lang"]).select("lang", "positives", "negatives", r(auc, "auc", 9), r(F.greatest(auc, 1 - auc), "best", 9))
 
 
-@query(f"{_X}, k AS (SELECT pool, fwd, row_number() OVER (PARTITION BY pool ORDER BY fwd) AS i, ceil(count(*) OVER (PARTITION BY pool) * 0.1) AS t FROM x WHERE fwd IS NOT NULL) SELECT pool, round(avg(fwd), 9) AS tail_mean FROM k WHERE i <= t GROUP BY pool")
+@query(f"{_X}, k AS (SELECT pool, fwd, row_number() OVER (PARTITION BY pool ORDER BY fwd) AS i, count(*) OVER (PARTITION BY pool) AS n, ceil(count(*) OVER (PARTITION BY pool) * 0.1) AS t FROM x WHERE fwd IS NOT NULL) SELECT pool, round(avg(fwd) FILTER (i <= t), 9) AS tail_mean, round(avg(fwd) FILTER (n - i >= t), 9) AS trimmed_mean FROM k GROUP BY pool")
 def fac_31_tail(spark, d):
-    return FA.expected_shortfall(_panel(spark, d), "fwd", ["pool"], 0.1).select("pool", r("tail_mean", "tail_mean", 9))
+    """The mean of the worst tenth, and of all but the best tenth."""
+    x = _panel(spark, d)
+    trimmed = FA.trimmed_mean(x, "fwd", ["pool"], 0.1)
+    return FA.expected_shortfall(x, "fwd", ["pool"], 0.1).join(trimmed, "pool").select("pool", r("tail_mean", "tail_mean", 9), r("trimmed_mean", "trimmed_mean", 9))
 
 
 @query(f"{SW} SELECT pool, round(greatest(mad(price), 1e-9), 6) AS mad FROM swaps GROUP BY pool")

@@ -223,11 +223,14 @@ def ctl_11_drop_winners(spark, d):
     return _panel(spark, d).withColumn("i", F.row_number().over(w)).filter("i > 3 and fwd is not null").groupBy("pool").agg(F.count("fwd").alias("n"), r(F.avg("fwd"), "mean", 9))
 
 
-@query(f"{_X}, g AS (SELECT {SIGN} * fwd * 1e4 AS g, CAST(c AS INTEGER) AS cost FROM x CROSS JOIN (VALUES (0), (10), (100)) t(c) WHERE fwd IS NOT NULL AND direction <> 'unknown') SELECT cost, round(avg(g - cost), 4) AS mean, round(quantile_cont(g - cost, 0.5), 4) AS median, round(avg(CASE WHEN g > cost THEN 1.0 ELSE 0 END), 9) AS above, round(avg(g - cost) FILTER (g > cost), 4) AS excess, round(avg(cost - g) FILTER (g <= cost), 4) AS shortfall FROM g GROUP BY cost")
+@query(f"{_X}, g AS (SELECT {SIGN} * fwd * 1e4 AS g, CAST(c AS INTEGER) AS cost FROM x CROSS JOIN (VALUES (0), (10), (100)) t(c) WHERE fwd IS NOT NULL AND direction <> 'unknown'), k AS (SELECT *, row_number() OVER (PARTITION BY cost ORDER BY g) AS i, count(*) OVER (PARTITION BY cost) AS n FROM g) SELECT cost, round(avg(g - cost), 4) AS mean, round(quantile_cont(g - cost, 0.5), 4) AS median, round(avg(CASE WHEN g > cost THEN 1.0 ELSE 0 END), 9) AS above, round(avg(g - cost) FILTER (g > cost), 4) AS excess, round(avg(cost - g) FILTER (g <= cost), 4) AS shortfall, round(avg(g - cost) FILTER (i <= ceil(n * 0.05)), 4) AS tail_mean, round(avg(CASE WHEN g > cost THEN 1.0 ELSE 0 END) * coalesce(avg(g - cost) FILTER (g > cost), 0) - avg(CASE WHEN g > cost THEN 0 ELSE 1.0 END) * coalesce(avg(cost - g) FILTER (g <= cost), 0), 4) AS edge FROM k GROUP BY cost")
 def ctl_12_cost_stress(spark, d):
     x = _panel(spark, d).filter("fwd is not null and direction != 'unknown'").select((_side() * F.col("fwd") * 1e4).alias("g"), F.explode(F.array(*map(F.lit, (0, 10, 100)))).alias("cost"))
     net, up = F.col("g") - F.col("cost"), F.col("g") > F.col("cost")
-    return x.groupBy("cost").agg(r(F.avg(net), "mean", 4), r(F.percentile(net, 0.5), "median", 4), r(F.avg(up.cast("double")), "above", 9), r(F.avg(F.when(up, net)), "excess", 4), r(F.avg(F.when(~up, -net)), "shortfall", 4))
+    share = F.avg(up.cast("double"))
+    edge = share * F.coalesce(F.avg(F.when(up, net)), F.lit(0.0)) - (1 - share) * F.coalesce(F.avg(F.when(~up, -net)), F.lit(0.0))
+    tail = FA.expected_shortfall(x.withColumn("net", net), "net", ["cost"], 0.05).select("cost", r("tail_mean", "tail_mean", 4))
+    return x.groupBy("cost").agg(r(edge, "edge", 4), r(F.avg(net), "mean", 4), r(F.percentile(net, 0.5), "median", 4), r(F.avg(up.cast("double")), "above", 9), r(F.avg(F.when(up, net)), "excess", 4), r(F.avg(F.when(~up, -net)), "shortfall", 4)).join(tail, "cost")
 
 
 # -- portfolio ---------------------------------------------------------------
@@ -239,15 +242,33 @@ def _trades(spark, d):
     return _panel(spark, d).filter("fwd is not null and direction != 'unknown'").withColumn("pnl", _side() * F.col("fwd") * F.col("quote"))
 
 
-@query(f"{_PNL} SELECT pool, day, count(*) AS trades, round(sum(pnl), 7) AS pnl, round(avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0 END), 9) AS win_rate, round(sum(quote), 7) AS turnover, round(max(pnl), 7) AS best, round(min(pnl), 7) AS worst FROM p GROUP BY 1, 2")
+#: amounts end in a few digits, half a unit of the last place among them; this
+#: moves them off the point where rounding hangs on the last bit
+_OFF = 1.234567e-5
+
+
+@query(f"""{_PNL}, g AS (SELECT pool, day, count(*) AS trades, sum(pnl) AS pnl, avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0 END) AS win_rate, sum(quote) AS turnover, max(pnl) AS best, min(pnl) AS worst FROM p GROUP BY 1, 2),
+ z AS (SELECT pool, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM g GROUP BY pool), f AS (SELECT z.pool, z.day, coalesce(trades, 0) AS trades, coalesce(pnl, 0) AS pnl, win_rate, coalesce(turnover, 0) AS turnover, best, worst FROM z LEFT JOIN g ON g.pool = z.pool AND g.day = z.day),
+ e AS (SELECT *, sum(pnl) OVER w AS equity FROM f WINDOW w AS (PARTITION BY pool ORDER BY day))
+ SELECT pool, day, trades, round(pnl, 7) AS pnl, round(win_rate, 9) AS win_rate, round(turnover, 7) AS turnover, round(best, 7) AS best, round(worst, 7) AS worst, round(equity + {_OFF}, 4) AS equity, round(greatest(max(equity) OVER (PARTITION BY pool ORDER BY day), 0) - equity + {_OFF}, 4) AS drawdown FROM e""")
 def pf_02_daily_pnl(spark, d):
-    return _trades(spark, d).groupBy("pool", "day").agg(F.count(F.lit(1)).alias("trades"), r(F.sum("pnl"), "pnl", 7), r(F.avg((F.col("pnl") > 0).cast("double")), "win_rate", 9), r(F.sum("quote"), "turnover", 7), r(F.max("pnl"), "best", 7), r(F.min("pnl"), "worst", 7))
+    """Every day from a pool's first trade to its last, quiet ones with zeros,
+    and the drawdown of what was earned so far."""
+    g = _trades(spark, d).groupBy("pool", "day").agg(F.count(F.lit(1)).alias("trades"), F.sum("pnl").alias("pnl"), F.avg((F.col("pnl") > 0).cast("double")).alias("win_rate"), F.sum("quote").alias("turnover"), F.max("pnl").alias("best"), F.min("pnl").alias("worst"))
+    spine = g.groupBy("pool").agg(F.min("day").alias("a"), F.max("day").alias("b")).select("pool", F.explode(F.sequence("a", "b")).alias("day"))
+    f = spine.join(g, ["pool", "day"], "left").na.fill(0, ["trades"]).na.fill(0.0, ["pnl", "turnover"])
+    w = W.rows(Window.partitionBy("pool").orderBy("day"), None, 0)
+    e = f.withColumn("equity", F.sum("pnl").over(w)).withColumn("drawdown", F.greatest(F.max("equity").over(w), F.lit(0.0)) - F.col("equity"))
+    return e.select("pool", "day", "trades", r("pnl", "pnl", 7), r("win_rate", "win_rate", 9), r("turnover", "turnover", 7), r("best", "best", 7), r("worst", "worst", 7), r(F.col("equity") + _OFF, "equity", 4), r(F.col("drawdown") + _OFF, "drawdown", 4))
 
 
-@query(f"{_PNL} SELECT pool, count(*) AS trades, round(sum(pnl), 4) AS total, round(quantile_cont(pnl, 0.5), 4) AS median, round(quantile_cont(pnl, 0.05), 4) AS p5, CASE WHEN sum(greatest(-pnl, 0)) > 0 THEN round(sum(greatest(pnl, 0)) / sum(greatest(-pnl, 0)), 6) END AS profit_factor, round(count(*) * 1.0 / count(DISTINCT day), 6) AS per_day FROM p GROUP BY pool")
+@query(f"{_PNL}, q AS (SELECT *, year(day)::VARCHAR AS fold FROM p) SELECT pool, coalesce(fold, 'all') AS fold, count(*) AS trades, round(sum(pnl) + {_OFF}, 4) AS total, round(quantile_cont(pnl, 0.5) + {_OFF}, 4) AS median, round(quantile_cont(pnl, 0.05) + {_OFF}, 4) AS p5, CASE WHEN sum(greatest(-pnl, 0)) > 0 THEN round(sum(greatest(pnl, 0)) / sum(greatest(-pnl, 0)), 6) END AS profit_factor, round(count(*) * 1.0 / count(DISTINCT day), 6) AS per_day FROM q GROUP BY GROUPING SETS ((pool, fold), (pool))")
 def pf_03_summary(spark, d):
+    """Per pool and year, and per pool over all years."""
     gain = lambda c: F.sum(F.greatest(c, F.lit(0.0)))
-    return _trades(spark, d).groupBy("pool").agg(F.count(F.lit(1)).alias("trades"), r(F.sum("pnl"), "total", 4), r(F.percentile("pnl", 0.5), "median", 4), r(F.percentile("pnl", 0.05), "p5", 4), r(S.safe_div(gain(F.col("pnl")), gain(-F.col("pnl"))), "profit_factor"), r(F.count(F.lit(1)) / F.count_distinct("day"), "per_day"))
+    t = _trades(spark, d).withColumn("fold", F.year("day").cast("string"))
+    g = t.groupingSets([["pool", "fold"], ["pool"]], "pool", "fold").agg(F.count(F.lit(1)).alias("trades"), r(F.sum("pnl") + _OFF, "total", 4), r(F.percentile("pnl", 0.5) + _OFF, "median", 4), r(F.percentile("pnl", 0.05) + _OFF, "p5", 4), r(S.safe_div(gain(F.col("pnl")), gain(-F.col("pnl"))), "profit_factor"), r(F.count(F.lit(1)) / F.count_distinct("day"), "per_day"))
+    return g.withColumn("fold", F.coalesce("fold", F.lit("all")))
 
 
 @query(f"{_PNL}, s AS (SELECT pool, sum(pnl) AS t FROM p GROUP BY pool) SELECT count(*) AS configs, round(max(t), 4) AS best, round(quantile_cont(t, 0.5), 4) AS median, round(min(t), 4) AS worst, round(avg(CASE WHEN t > 0 THEN 1.0 ELSE 0 END), 9) AS positive FROM s")
@@ -274,12 +295,13 @@ def pf_13_membership(spark, d):
     return swaps(spark, d).groupBy(flags.alias("flags")).agg(F.count(F.lit(1)).alias("n"), r(F.avg("quote"), "mean", 4))
 
 
-@query(f"{SW}, x AS (SELECT min(price) OVER ({ORD} ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) / price - 1 AS mae, lead(price, 10) OVER ({ORD}) / price - 1 AS net FROM swaps) SELECT CAST(level AS DOUBLE) AS level, round(avg(CASE WHEN mae <= -level THEN 1.0 ELSE 0 END), 9) AS reached, round(avg(net) FILTER (mae <= -level), 9) AS mean, round(avg(CASE WHEN net > 0 THEN 1.0 ELSE 0 END) FILTER (mae <= -level), 9) AS recovered FROM x CROSS JOIN (VALUES (0.1), (0.2), (0.4)) t(level) WHERE net IS NOT NULL GROUP BY 1")
+@query(f"{SW}, x AS (SELECT min(price) OVER ({ORD} ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) / price - 1 AS mae, lead(price, 10) OVER ({ORD}) / price - 1 AS net FROM swaps) SELECT CAST(level AS DOUBLE) AS level, round(avg(CASE WHEN mae <= -level THEN 1.0 ELSE 0 END), 9) AS reached, round(avg(net) FILTER (mae <= -level), 9) AS mean, round(avg(CASE WHEN net > 0 THEN 1.0 ELSE 0 END) FILTER (mae <= -level), 9) AS recovered, round(quantile_cont(net, 0.5) FILTER (mae <= -level), 9) AS median, round(avg(net) FILTER (mae <= -level AND i <= ceil(m * 0.05)), 9) AS tail_mean FROM (SELECT *, row_number() OVER (PARTITION BY level, mae <= -level ORDER BY net) AS i, count(*) OVER (PARTITION BY level, mae <= -level) AS m FROM x CROSS JOIN (VALUES (0.1), (0.2), (0.4)) t(level) WHERE net IS NOT NULL) GROUP BY 1")
 def pf_15_adverse_excursions(spark, d):
     x = swaps(spark, d).select((S.safe_div(F.min("price").over(W.rows(_event(), 1, 10)), F.col("price")) - 1).alias("mae"), (S.safe_div(F.lead("price", 10).over(_event()), F.col("price")) - 1).alias("net"))
     x = x.filter("net is not null").withColumn("level", F.explode(F.array(*map(F.lit, (0.1, 0.2, 0.4)))))
     hit = F.col("mae") <= -F.col("level")
-    return x.groupBy("level").agg(r(F.avg(hit.cast("double")), "reached", 9), r(F.avg(F.when(hit, F.col("net"))), "mean", 9), r(F.avg(F.when(hit, (F.col("net") > 0).cast("double"))), "recovered", 9))
+    worst = FA.expected_shortfall(x.filter(hit), "net", ["level"], 0.05).select("level", r("tail_mean", "tail_mean", 9))
+    return x.groupBy("level").agg(r(F.percentile(F.when(hit, F.col("net")), 0.5), "median", 9), r(F.avg(hit.cast("double")), "reached", 9), r(F.avg(F.when(hit, F.col("net"))), "mean", 9), r(F.avg(F.when(hit, (F.col("net") > 0).cast("double"))), "recovered", 9)).join(worst, "level", "left")
 
 
 # -- order and sets ----------------------------------------------------------

@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import scalars as S
+from tickloom.operators import evaluate as EV
 from tickloom.operators import factors as FA
 from tickloom.operators import grid as G
 from tickloom.operators import joins as J
@@ -205,11 +206,18 @@ def fac_12_purged_folds(spark, d):
     return X.purged_folds(daily(spark, d), "dn", ((1, 0.45, 0.63), (2, 0.60, 0.78), (3, 0.72, 0.94)), 10).groupBy("fold").agg(F.count_if(F.col("part") == "train").alias("train"), F.count_if(F.col("part") == "valid").alias("valid"))
 
 
-@query(f"{_X} SELECT CAST(grouping_id(direction, removed) AS BIGINT) AS level, direction, removed, count(fwd) AS n, round(corr(size, fwd), 6) AS pearson, round(avg(fwd) FILTER (size > 10.5) - avg(fwd) FILTER (size <= 10.5), 6) AS spread FROM x GROUP BY GROUPING SETS ((direction), (removed), ())")
+_STRATA = {"direction": "direction", "pool": "pool::VARCHAR", "year": "year(day)::VARCHAR", "cost": "(CAST(round(fee * 100) AS BIGINT) // 4)::VARCHAR", "lot": "CAST(floor(base / 10) AS BIGINT)::VARCHAR"}
+
+
+@query(f"""{_X}, y AS (SELECT * FROM x WHERE fwd IS NOT NULL), v AS (SELECT size, row_number() OVER (ORDER BY size) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT size FROM y)), c AS (SELECT list(size) AS cuts FROM v WHERE list_contains([n * 1 // 3, n * 2 // 3], i)),
+ b AS (SELECT y.*, len(list_filter(cuts, lambda q: q < size)) AS bucket FROM y, c), l AS ({" UNION ALL ".join(f"SELECT '{k}' AS stratum, {v} AS value, size, fwd, bucket FROM b" for k, v in _STRATA.items())})
+ SELECT stratum, value, count(*) AS n, round(corr(size, fwd), 6) AS pearson, round(avg(fwd) FILTER (bucket = 2), 6) AS high, round(avg(fwd) FILTER (bucket = 0), 6) AS low, round(avg(fwd) FILTER (bucket = 2) - avg(fwd) FILTER (bucket = 0), 6) AS spread FROM l GROUP BY 1, 2 HAVING count(*) >= 30""")
 def fac_15_stratified(spark, d):
-    x = _panel(spark, d)
-    x.createOrReplaceTempView("fac_15_panel")
-    return spark.sql("SELECT grouping_id(direction, removed) AS level, direction, removed, count(fwd) AS n, round(corr(size, fwd), 6) AS pearson, round(avg(fwd) FILTER (WHERE size > 10.5) - avg(fwd) FILTER (WHERE size <= 10.5), 6) AS spread FROM fac_15_panel GROUP BY GROUPING SETS ((direction), (removed), ())")
+    """Highest less lowest size bucket in each of five kinds of strata."""
+    x = _panel(spark, d).filter("fwd is not null").withColumn("one", F.lit(0))
+    x = EV.cut_bucket(x, "size", EV.distinct_cuts(x, "size", ["one"], 3), ["one"])
+    value = {"direction": F.col("direction"), "pool": F.col("pool").cast("string"), "year": F.year("day").cast("string"), "cost": F.floor(F.round(F.col("fee") * 100) / 4).cast("string"), "lot": F.floor(F.col("base") / 10).cast("string")}
+    return EV.stratified(x, value, "size", "fwd", 3).select("stratum", "value", "n", *(r(c, c) for c in ("pearson", "high", "low", "spread")))
 
 
 @query(f"{_X}, w AS (SELECT pool, coalesce(corr(size, fwd), 0) AS a, coalesce(corr(base, fwd), 0) AS b, coalesce(corr(fee, fwd), 0) AS c FROM x WHERE day < DATE '2000-01-01' AND fwd IS NOT NULL GROUP BY 1), t AS (SELECT *, abs(a) + abs(b) + abs(c) AS s FROM w) SELECT pool, round(CASE WHEN s < 1e-12 THEN 1 / 3.0 ELSE a / s END, 6) AS size, round(CASE WHEN s < 1e-12 THEN 1 / 3.0 ELSE b / s END, 6) AS base, round(CASE WHEN s < 1e-12 THEN 1 / 3.0 ELSE c / s END, 6) AS fee FROM t")
