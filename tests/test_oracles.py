@@ -12,7 +12,7 @@ from tickloom.plans import chain, fits, market, measures, micro, quality, source
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events embeddings conversations".split()
-NAMES = sorted(n for m in (chain, fits, measures, micro, quality, sourced, state) for n, f in vars(m).items() if inspect.isfunction(f) and f.__module__ == m.__name__ and market.QUERIES.get(n) is f)
+NAMES = sorted(n for m in (chain, fits, measures, micro, quality, sourced, state) for n, f in vars(m).items() if inspect.isfunction(f) and f.__module__ == m.__name__ and market.QUERIES.get(n) is f and n in market.SQL)
 
 
 @pytest.fixture(scope="module")
