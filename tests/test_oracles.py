@@ -1,4 +1,4 @@
-"""The queries of seven plan modules against their SQL on the smallest tables."""
+"""The queries of eight plan modules against their SQL on the smallest tables."""
 
 import datetime
 import decimal
@@ -8,11 +8,11 @@ from collections import Counter
 import duckdb
 import pytest
 
-from tickloom.plans import chain, fits, market, measures, micro, quality, sourced, state
+from tickloom.plans import chain, fits, market, measures, micro, quality, sourced, state, studies
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events embeddings conversations".split()
-NAMES = sorted(n for m in (chain, fits, measures, micro, quality, sourced, state) for n, f in vars(m).items() if inspect.isfunction(f) and f.__module__ == m.__name__ and market.QUERIES.get(n) is f and n in market.SQL)
+NAMES = sorted(n for m in (chain, fits, measures, micro, quality, sourced, state, studies) for n, f in vars(m).items() if inspect.isfunction(f) and f.__module__ == m.__name__ and market.QUERIES.get(n) is f and n in market.SQL)
 
 
 @pytest.fixture(scope="module")

@@ -167,11 +167,11 @@ def _first(cond):
     return f"list_position(list_transform(path, lambda p: {cond}), true)"
 
 
-@query(f"""{SW}, x AS (SELECT *, list(price) OVER ({ORD} ROWS BETWEEN 1 FOLLOWING AND 12 FOLLOWING) AS path FROM swaps), y AS (SELECT tx, log_index, len(path) AS m, {_first("ln(p / price) * 1e4 >= 500")} AS up, {_first("ln(p / price) * 1e4 <= -500")} AS dn FROM x)
- SELECT tx, log_index, CASE WHEN up IS NOT NULL AND up = dn THEN 'both_or_ambiguous' WHEN up IS NOT NULL AND (dn IS NULL OR up < dn) THEN 'up' WHEN dn IS NOT NULL THEN 'down' WHEN coalesce(m, 0) < 12 THEN 'future_missing' ELSE 'none' END AS label FROM y""")
+@query(f"""{SW}, x AS (SELECT *, list(price) OVER ({ORD} ROWS BETWEEN 1 FOLLOWING AND 12 FOLLOWING) AS path FROM swaps), y AS (SELECT tx, log_index, len(path) AS m, ln(path[12] / price) * 1e4 AS ret, ln(list_max(path) / price) * 1e4 AS mfe, ln(list_min(path) / price) * 1e4 AS mae, {_first("ln(p / price) * 1e4 >= 500")} AS up, {_first("ln(p / price) * 1e4 <= -500")} AS dn FROM x)
+ SELECT tx, log_index, CASE WHEN up IS NOT NULL AND up = dn THEN 'both_or_ambiguous' WHEN up IS NOT NULL AND (dn IS NULL OR up < dn) THEN 'up' WHEN dn IS NOT NULL THEN 'down' WHEN coalesce(m, 0) < 12 THEN 'future_missing' ELSE 'none' END AS label, round(ret, 4) AS ret, round(mfe, 4) AS mfe, round(mae, 4) AS mae FROM y""")
 def lbl_08_triple_barrier(spark, d):
     move = lambda p: F.log(p / F.col("price")) * 1e4
-    return ME.triple_barrier(swaps(spark, d).withColumn("path", P.ahead(F.col("price"), _event(), 12)), lambda p: move(p) >= 500, lambda p: move(p) <= -500, 12).select(*ID, "label")
+    return ME.triple_barrier(swaps(spark, d).withColumn("path", P.ahead(F.col("price"), _event(), 12)), lambda p: move(p) >= 500, lambda p: move(p) <= -500, 12).select(*ID, "label", r(move(F.get("path", F.lit(11))), "ret", 4), r(move(F.array_max("path")), "mfe", 4), r(move(F.array_min("path")), "mae", 4))
 
 
 _BARS = f"{TK}, bars AS (SELECT symbol, ts_us // 21600000000 AS b, max(price) AS hi, min(price) AS lo, arg_max(price, (ts_us, event_id)) AS c FROM ticks GROUP BY 1, 2)"
@@ -187,11 +187,12 @@ def _bar():
     return Window.partitionBy("symbol").orderBy("b")
 
 
-@query(f"""{_BARS}, x AS (SELECT *, list({{'hi': hi, 'lo': lo}}) OVER ({_BW} ROWS BETWEEN 1 FOLLOWING AND 8 FOLLOWING) AS path FROM bars), y AS (SELECT symbol, b, len(path) AS m, {_first("p.hi >= c * 1.5")} AS up, {_first("p.lo <= c * 0.5")} AS dn FROM x)
- SELECT symbol, b, CASE WHEN up IS NOT NULL AND up = dn THEN 'both_or_ambiguous' WHEN up IS NOT NULL AND (dn IS NULL OR up < dn) THEN 'up' WHEN dn IS NOT NULL THEN 'down' WHEN coalesce(m, 0) < 8 THEN 'future_missing' ELSE 'none' END AS label FROM y""")
+@query(f"""{_BARS}, x AS (SELECT *, list({{'hi': hi, 'lo': lo, 'c': c}}) OVER ({_BW} ROWS BETWEEN 1 FOLLOWING AND 8 FOLLOWING) AS path FROM bars), y AS (SELECT symbol, b, len(path) AS m, path[8].c / c - 1 AS ret, list_max([p.hi FOR p IN path]) / c - 1 AS mfe, list_min([p.lo FOR p IN path]) / c - 1 AS mae, {_first("p.hi >= c * 1.5")} AS up, {_first("p.lo <= c * 0.5")} AS dn FROM x)
+ SELECT symbol, b, CASE WHEN up IS NOT NULL AND up = dn THEN 'both_or_ambiguous' WHEN up IS NOT NULL AND (dn IS NULL OR up < dn) THEN 'up' WHEN dn IS NOT NULL THEN 'down' WHEN coalesce(m, 0) < 8 THEN 'future_missing' ELSE 'none' END AS label, round(ret, 6) AS ret, round(mfe, 6) AS mfe, round(mae, 6) AS mae FROM y""")
 def lbl_09_high_low_barrier(spark, d):
-    x = _bars(spark, d).withColumn("path", P.ahead(F.struct("hi", "lo"), _bar(), 8))
-    return ME.triple_barrier(x, lambda p: p["hi"] >= F.col("c") * 1.5, lambda p: p["lo"] <= F.col("c") * 0.5, 8).select("symbol", "b", "label")
+    x = _bars(spark, d).withColumn("path", P.ahead(F.struct("hi", "lo", "c"), _bar(), 8))
+    against = lambda v: v / F.col("c") - 1
+    return ME.triple_barrier(x, lambda p: p["hi"] >= F.col("c") * 1.5, lambda p: p["lo"] <= F.col("c") * 0.5, 8).select("symbol", "b", "label", r(against(F.get("path", F.lit(7))["c"]), "ret"), r(against(F.array_max("path.hi")), "mfe"), r(against(F.array_min("path.lo")), "mae"))
 
 
 @query(f"""{SW}, v AS (SELECT *, {SIGN} AS sg, stddev_pop(ln(price / 1000)) OVER ({ORD} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS sigma, list(price) OVER ({ORD} ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS path FROM swaps), x AS (SELECT *, 2 * fee / 10 + 2 * 0.001 + 0.002 + 0.0005 + sigma * 0.1 AS bar FROM v), y AS (SELECT *, {_first("sg * ln(p / price) >= bar")} AS fav, {_first("sg * ln(p / price) <= -bar")} AS adv FROM x)

@@ -97,12 +97,13 @@ def win_38_since_change(spark, d):
 # -- labels ------------------------------------------------------------------
 
 
-@query(f"{SW}, e AS (SELECT *, max(ts) OVER (PARTITION BY pool) AS e FROM swaps), x AS (SELECT *, last_value(price) OVER f AS l, max(price) OVER f AS hi, min(price) OVER f AS lo FROM e WINDOW f AS (PARTITION BY pool ORDER BY ts RANGE BETWEEN CURRENT ROW AND INTERVAL 30 DAY FOLLOWING)) SELECT tx, log_index, CASE WHEN ts + INTERVAL 30 DAY <= e THEN round(hi / price - 1, 9) END AS draw_up, CASE WHEN ts + INTERVAL 30 DAY <= e THEN round(lo / price - 1, 9) END AS draw_down FROM x")
+@query(f"{SW}, e AS (SELECT *, max(ts) OVER (PARTITION BY pool) AS e FROM swaps), x AS (SELECT *, (max({{'t': ts, 'x': tx, 'i': log_index, 'k': token, 'q': quote, 'p': price}}) OVER f).p AS l, max(price) OVER f AS hi, min(price) OVER f AS lo FROM e WINDOW f AS (PARTITION BY pool ORDER BY ts RANGE BETWEEN CURRENT ROW AND INTERVAL 30 DAY FOLLOWING)) SELECT tx, log_index, CASE WHEN ts + INTERVAL 30 DAY <= e THEN round(hi / price - 1, 9) END AS draw_up, CASE WHEN ts + INTERVAL 30 DAY <= e THEN round(lo / price - 1, 9) END AS draw_down, CASE WHEN ts + INTERVAL 30 DAY <= e THEN round(l / price - 1, 9) END AS ret FROM x")
 def lbl_06_full_window(spark, d):
     x = swaps(spark, d).withColumn("t", F.unix_date("day").cast("long"))
     f, whole = W.time_frame(["pool"], "t", 0, 30), F.col("t") + 30 <= F.max("t").over(Window.partitionBy("pool"))
+    last = F.max_by("price", F.struct("t", "tx", "log_index", "token", "quote"))
     part = lambda agg: F.when(whole, S.safe_div(agg.over(f), F.col("price")) - 1)
-    return x.select(*ID, r(part(F.max("price")), "draw_up", 9), r(part(F.min("price")), "draw_down", 9))
+    return x.select(*ID, r(part(F.max("price")), "draw_up", 9), r(part(F.min("price")), "draw_down", 9), r(part(last), "ret", 9))
 
 
 @query(f"{SW}, x AS (SELECT tx, log_index, {SIGN} * (lead(price, 2) OVER w / price - 1) AS s, {SIGN} * (lead(price, 12) OVER w / price - 1) AS l FROM swaps WINDOW w AS ({ORD})) SELECT tx, log_index, CASE WHEN s IS NULL OR l IS NULL THEN 'insufficient' WHEN abs(l) < 0.1 AND abs(s) >= 0.1 THEN 'whipsaw' WHEN abs(l) < 0.1 THEN 'flat' WHEN sign(s) * sign(l) < 0 THEN 'reversal' ELSE 'continuation' END AS label FROM x")
