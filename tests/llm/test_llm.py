@@ -373,6 +373,23 @@ def test_warc_pushdown(spark):
     assert len(left) == 1 and reader.wanted == [("record_type", warc.EqualTo, "revisit")]
 
 
+def test_warc_odd_headers(spark, tmp_path):
+    head = b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:x:1>\r\nWARC-Target-URI: http://a/\r\n  b\r\nX-Name: caf\xe9\r\nContent-Type: text/plain\r\n"
+    (tmp_path / "a.warc").write_bytes(head + b"WARC-Payload-Length: many\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n")
+    row = warc.read(spark, str(tmp_path)).first()
+    assert (row.target_uri, row.payload, row.payload_bytes) == ("http://a/ b", "abc", 3)
+    (tmp_path / "b.warc").write_bytes(head + b"\r\nabc\r\n\r\n")
+    with pytest.raises(Exception, match="does not tell its length"):
+        warc.read(spark, str(tmp_path)).collect()
+
+
+def test_warc_ids_and_payloads_repeat(spark):
+    rows = [(1, "a"), (1, "b"), (2, "a"), (2, "a"), (None, "a"), (None, None), (3, ""), (None, "c")]
+    df = spark.createDataFrame(rows, "page_id long, html string").withColumn("url", F.lit("u")).withColumn("key", F.lit(0))
+    got = Counter((r.page_id, r.payload, r.record_type, r.refers_to) for r in warc.records(df).collect())
+    assert got == Counter({(1, "a", "response", None): 1, (1, "b", "response", None): 1, (2, None, "revisit", 1): 2, (None, None, "revisit", 1): 1, (None, None, "revisit", 3): 1, (3, "", "response", None): 1, (None, "c", "response", None): 1})
+
+
 def test_warc_of_other_writers(spark, tmp_path):
     import gzip
 

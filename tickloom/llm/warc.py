@@ -95,6 +95,14 @@ def _page(value: str | None) -> int | None:
     return int(text) if re.fullmatch("-?[0-9]+", text) else None
 
 
+def _header_text(line: bytes) -> str:
+    """A header line in UTF-8 or, as some writers send it, Latin-1."""
+    try:
+        return line.decode("utf-8", "surrogatepass")
+    except UnicodeDecodeError:
+        return line.decode("latin-1")
+
+
 #: predicates on headers that the reader checks itself; a null passes none but IsNull
 _TESTS: dict[type, Callable[[object, object], bool]] = {
     EqualTo: operator.eq,
@@ -156,10 +164,17 @@ class WarcReader(DataSourceReader):
                 continue  # the blank lines after a record
             if not line.startswith(b"WARC/"):
                 raise ValueError(f"{path}: no record where one should begin")
-            head = {}
+            head, k = {}, None
             while line := f.readline().rstrip(b"\r\n"):
-                k, _, v = line.decode("utf-8", "surrogatepass").partition(":")
-                head[k.strip().lower()] = v.strip()
+                text = _header_text(line)
+                if k is not None and text[0] in " \t":
+                    head[k] = f"{head[k]} {text.strip()}".strip()  # a folded value goes on
+                else:
+                    k, _, v = text.partition(":")
+                    k = k.strip().lower()
+                    head[k] = v.strip()
+            if not re.fullmatch("[0-9]+", head.get("content-length", "")):
+                raise ValueError(f"{path}: record {head.get('warc-record-id')} does not tell its length")
             length = int(head["content-length"])
             algorithm, _, digest = head.get("warc-payload-digest", "").partition(":")
             told = head.get("warc-payload-length")
@@ -171,7 +186,7 @@ class WarcReader(DataSourceReader):
                 "refers_to_id": head.get("warc-refers-to"),
                 "refers_to": _page(head.get("warc-refers-to-page-id")),
                 "content_type": head.get("content-type"),
-                "payload_bytes": int(told) if told else None,
+                "payload_bytes": int(told) if told and re.fullmatch("[0-9]+", told) else None,
                 "payload_digest": digest or None,
                 "payload": None,
             }
@@ -262,8 +277,12 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     written whole; further columns are ignored; an empty table gives none."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("target_uri"), F.coalesce("html", F.lit("")).alias("payload"))
     p = p.withColumn("key", F.unhex(F.sha2(F.col("payload").cast("binary"), 256))).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    first = p.filter(F.col("payload_bytes") >= min_bytes).groupBy("key").agg(F.min("page_id").alias("first_id"))
-    j = p.join(first, "key", "left")
+    # who stands for a payload is settled on ids and hashes; the payloads meet
+    # that by id, so a page copied very often does not go to one task
+    light = p.filter(F.col("payload_bytes") >= min_bytes).select("page_id", "key").distinct()
+    first = light.groupBy("key").agg(F.min("page_id").alias("first_id"))
+    first = light.join(first, "key").select(F.col("page_id").alias("of_id"), F.col("key").alias("of_key"), "first_id")
+    j = p.join(first, F.col("page_id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key")), "left")
     again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     digest = F.sha1(F.col("payload").cast("binary"))
     return j.select(
