@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -463,6 +464,46 @@ def test_toxicity_model():
     assert toxicity.fit(*toxic_arrays([])).above({}) == pytest.approx([0, 0], abs=1e-6)
 
 
+def test_toxicity_fit_is_the_optimum():
+    """No step from the fitted weights and thresholds lowers the penalised mean
+    log loss, written out here over dense rows."""
+    rng = np.random.default_rng(4)
+    x = np.log1p(rng.poisson(1.0, (240, 4)).astype(float))
+    z = x @ [1.2, -0.8, 0.4, 0.0] + rng.logistic(size=240)
+    grade, ridge = (z > 0.6).astype(int) + (z > 1.8), 0.01
+    row, col = np.nonzero(x)
+    w, cuts = toxicity._solve(row, col, x[row, col], 4, grade, 5000, np.zeros(4), ridge)
+    std = x.std(axis=0)
+
+    def loss(at):
+        above = [1 / (1 + np.exp(at[4 + j] - x @ at[:4])) for j in (0, 1)]
+        p = np.select([grade == 0, grade == 1], [1 - above[0], above[0] - above[1]], above[1])
+        return -np.log(p).mean() + ridge / 2 * ((at[:4] * std) ** 2).sum()
+
+    best = np.array([*w, *cuts])
+    for i in range(6):
+        step = np.eye(6)[i] * 1e-4
+        assert abs(loss(best + step) - loss(best - step)) / 2e-4 < 1e-4
+
+
+def test_toxicity_query_against_plain_scoring(spark):
+    model = toxicity.train(small(spark), small(spark, "labels"))
+    got = {r.doc_id: r for r in queries.op6_toxicity(spark, SF).collect()}
+    texts = {r.doc_id: r.text or "" for r in small(spark).select("doc_id", "text").collect()}
+    assert got.keys() == texts.keys() and model.weights
+    for i, text in texts.items():
+        counts = {}
+        for word in re.split(r"[\W\d_]+", text.lower()):
+            for key in {word, word[:5] + "*" if len(word) > 5 else word} - {""}:
+                f = zlib.crc32(key.encode()) % toxicity.BUCKETS
+                counts[f] = counts.get(f, 0) + 1
+        s = sum(w * math.log(1 + counts.get(f, 0)) for f, w in model.weights.items())
+        p = [1 / (1 + math.exp(t - s)) for t in model.thresholds]
+        r = got[i]
+        assert (r.p_above_0, r.p_above_1, r.expected_severity) == pytest.approx((*p, sum(p)), abs=2e-6)
+        assert r.grade == sum(q >= 0.5 for q in p) and (r.toxic == (sum(p) >= 0.5) or abs(sum(p) - 0.5) < 1e-6)
+
+
 def test_toxicity_on_tables(spark, edge, empty):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
