@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -46,8 +47,19 @@ def passes(c: Column, cut: float | Column, how: str) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
-def work_queue(wanted: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return wanted.join(done.select(*keys).distinct(), list(keys), "left_anti")
+def work_queue(wanted: DataFrame, done: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Rows of ``wanted`` whose keys are not in ``done``, in ``order`` and then
+    in that of the keys."""
+    return wanted.join(done.select(*keys).distinct(), list(keys), "left_anti").orderBy(*order, *keys)
+
+
+def label_frequency(df: DataFrame, label: str, retry: Sequence[str] = ("rpc", "missing")) -> DataFrame:
+    """label, n, share of all rows and retryable (the label holds one of
+    ``retry``), in order of label; a null label counts as one, not retryable."""
+    c = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    total = c.agg(F.sum("n").alias("total"))  # one row
+    mends = F.coalesce(F.col(label).rlike("|".join(map(re.escape, retry))), F.lit(False))
+    return c.crossJoin(F.broadcast(total)).select(label, "n", (F.col("n") / F.col("total")).alias("share"), mends.alias("retryable")).orderBy(label)
 
 
 def hash_shard(df: DataFrame, key: str, n: int, i: int) -> DataFrame:

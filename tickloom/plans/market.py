@@ -80,10 +80,10 @@ def flt_07_threshold(spark, d):
     return swaps(spark, d).filter(C.passes(F.col("quote"), 20000, "high") & C.passes(F.col("fee"), 0.04, "low")).select("tx", "log_index")
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'F')")
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'F') ORDER BY o_orderdate, o_orderkey")
 def flt_10_work_queue(spark, d):
     done = scan(spark, d, "lineitem").filter("l_linestatus = 'F'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return C.work_queue(scan(spark, d, "orders").select("o_orderkey"), done, ["o_orderkey"])
+    return C.work_queue(scan(spark, d, "orders").select("o_orderkey", "o_orderdate"), done, ["o_orderkey"], ["o_orderdate"])
 
 
 @query(f"{SW} SELECT count(*) FILTER (base = 0 OR quote = 0) AS zero_amount, count(*) FILTER (base <> 0 AND quote <> 0 AND price <= 0) AS bad_price, count(*) FILTER (base <> 0 AND direction = 'unknown') AS unknown_direction FROM swaps")
@@ -221,10 +221,13 @@ def agg_20_mode(spark, d):
     return ticks(spark, d).groupBy("symbol", "kind").agg(F.count(F.lit(1)).alias("n")).groupBy("symbol").agg(F.max_by("kind", F.struct("n", "kind")).alias("mode"))
 
 
-@query(f"{TK} SELECT kind, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM ticks GROUP BY kind")
+_REASON = "CASE WHEN direction = 'unknown' THEN 'missing_direction' WHEN removed THEN 'rpc_removed' WHEN fee >= 0.08 THEN 'fee_too_high' ELSE 'ok' END"
+
+
+@query(f"{SW}, l AS (SELECT {_REASON} AS label FROM swaps) SELECT label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS share, contains(label, 'rpc') OR contains(label, 'missing') AS retryable FROM l GROUP BY label")
 def agg_21_label_frequency(spark, d):
-    c = ticks(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-    return c.select("kind", "n", r(F.col("n") / F.sum("n").over(Window.partitionBy()), "share", 9))
+    """Reasons why swaps are left out, in order of name, and which of them a second try may mend."""
+    return C.label_frequency(swaps(spark, d).select(F.expr(_REASON).alias("label")), "label").withColumn("share", F.round("share", 9))
 
 
 @query(f"{TK} SELECT symbol, string_agg(DISTINCT kind, '+' ORDER BY kind) AS kinds FROM ticks GROUP BY symbol")
