@@ -61,3 +61,11 @@ def test_a_broken_series_fails(spark):
     with pytest.raises(Exception, match="broken at"):
         measures.ME.assert_continuous(df, ["k"], "t", 1).collect()
     assert measures.ME.assert_continuous(df.filter("t < 4"), ["k"], "t", 1).count() == 2
+
+
+def test_top_of_book_rounds_as_its_sql(spark, duck):
+    """Every column to its last digit: many a mid ends in half of one."""
+    df = market.QUERIES["grd_09_top_of_book"](spark, SF)
+    cursor = duck.execute(market.SQL["grd_09_top_of_book"])
+    want = Counter(cursor.fetchall())
+    assert Counter(tuple(row) for row in df.select(*(c[0] for c in cursor.description)).collect()) == want
