@@ -732,3 +732,39 @@ def test_near_stage_against_brute_force(spark, edge, empty):
     assert kept == {i for i, v in best.items() if i == v} and 1001 not in kept
     assert simhash.near_components(empty).count() == 0 and simhash.near_components(edge).count() == len(EDGE)
     assert corpus_pipeline.drop_near_copies(spark, edge, SF).columns == edge.columns
+
+
+def test_near_stage_in_a_crowd(spark):
+    """Two linked texts among 700 that share all their full buckets with them
+    and are linked to neither."""
+    rng = np.random.default_rng(1)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**9, n))
+    core = words(1004)
+    texts = [f"{core} {words(k)}" for k in [130] * 700 + [122] * 2]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    assert {r.doc_id: r.component_id for r in simhash.near_components(docs).collect()} == {i: min(i, 700) for i in range(702)}
+
+
+def test_near_stage_loses_no_link(spark):
+    """Links too weak for most buckets, sets of all sizes, copies of rows, and
+    shingles that many texts share, against brute force."""
+    rng = np.random.default_rng(5)
+    lines = [" ".join(f"l{x}" for x in rng.integers(0, 10**6, 30)) for _ in range(6)]
+    texts = ["", "one", "one two"]
+    for _ in range(60):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, int(rng.integers(1, 120)))]
+        for _ in range(3):
+            part = base[int(rng.integers(0, len(base) // 3 + 1)) :]
+            texts.append(" ".join(part + [lines[k] for k in rng.permutation(6)[: int(rng.integers(0, 4))]]))
+    texts += texts[:20]
+    grams = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    for similarity in (0.4, 0.75, 1.0):
+        best = list(range(len(texts)))
+        for i in range(len(texts)):
+            for j in range(i):
+                both = len(grams[i] & grams[j])
+                if both >= similarity * (len(grams[i]) + len(grams[j]) - both) and best[i] != best[j]:
+                    a, b = sorted((best[i], best[j]))
+                    best = [a if v == b else v for v in best]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+        assert {r.doc_id: r.component_id for r in simhash.near_components(docs, similarity=similarity).collect()} == dict(enumerate(best))

@@ -1,7 +1,8 @@
-"""Signatures, buckets and exact checks of word-shingle sets."""
+"""Buckets, prefixes and exact checks of word-shingle sets."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +12,12 @@ import xxhash
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
-SIGNED = "doc_id long, node long, fp long, buckets array<long>, sig binary, shingles binary"
+#: a sketch is 1,024 bits, each the parity of the shingles that fall on it
+SKETCH = [f"b{k}" for k in range(16)]
+#: shingles that two prefixes have to share
+MEET = 4
+SIGNED = f"doc_id long, node long, fp long, buckets array<long>, size int, {', '.join(f'{b} long' for b in SKETCH)}, shingles binary"
+PREFIX = "token long, node long, size int, left int, indexed boolean"
 _RNG = np.random.default_rng(11)
 _FLIP = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _TIMES = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -44,10 +50,13 @@ def fingerprint_of(shingles: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(shingles)).tobytes(), "big", signed=True)
 
 
+def sketch_of(shingles: np.ndarray) -> np.ndarray:
+    odd = np.bincount((shingles & np.uint64(1023)).astype(np.int64), minlength=1024) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def sign(n: int) -> Callable:
-    """(doc_id, text) → SIGNED, a few hundred rows a batch.  The set that is
-    kept has 32 bits of each shingle's hash: of 20,000 shingles two share them
-    with probability 0.05, which moves a similarity by 0.0001."""
+    """(doc_id, text) → SIGNED, a few hundred rows a batch."""
     names = [x.split()[0] for x in SIGNED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,20 +64,63 @@ def sign(n: int) -> Callable:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
                 sets = [shingle_set(t.as_py(), n) for t in b.column(1)]
-                least = [least_values(s) for s in sets]
                 cols = [
                     b.column(0),
                     pa.array([xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets], pa.int64()),
                     pa.array([fingerprint_of(s) for s in sets], pa.int64()),
-                    pa.array([bands_of(x) for x in least], pa.list_(pa.int64())),
-                    pa.array([x.astype(np.uint32).tobytes() for x in least], pa.binary()),
-                    pa.array([np.unique(s.astype(np.uint32)).tobytes() for s in sets], pa.binary()),
+                    pa.array([bands_of(least_values(s)) for s in sets], pa.list_(pa.int64())),
+                    pa.array([len(s) for s in sets], pa.int32()),
+                    *map(pa.array, np.array([sketch_of(s) for s in sets], np.int64).reshape(-1, len(SKETCH)).T),
+                    pa.array([s.tobytes() for s in sets], pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
 
 
+def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shingles) → a row per shingle."""
+    for b in batches:
+        for s in b.column(0):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(s.as_buffer(), np.int64))], names=["token"])
+
+
+def least_overlap(share: float, size: int) -> int:
+    """The least whole number that is ``share`` of ``size`` or more."""
+    return math.ceil(share * size - 1e-6)
+
+
+def prefixes(similarity: float, common) -> Callable:
+    """(node, shingles) → PREFIX: the first shingles of every set in one order
+    of all shingles, the ``common`` ones last.
+
+    Two sets whose similarity suffices share ``MEET`` of these (or all of a
+    smaller overlap), and the smaller set (of equals, either) has them among its
+    ``indexed`` ones, as otherwise too few are left for the overlap.  ``left``
+    counts a set's shingles from this one on.
+    ``common`` is a broadcast of the common shingles and their places.
+    """
+    names = [x.split()[0] for x in PREFIX.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, place = common.value
+        for b in batches:
+            rows = []
+            for node, s in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                x = np.frombuffer(s.as_buffer(), np.uint64)
+                n = len(x)
+                first, index = (n - least_overlap(share, n) + MEET for share in (similarity, 2 * similarity / (1 + similarity)))
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                    x = x[np.argsort(np.where(known[at] == x, place[at], 0), kind="stable")]
+                k = np.arange(min(first, n))
+                rows.append((x[: len(k)].view(np.int64), np.full(len(k), node), np.full(len(k), n, np.int32), (n - k).astype(np.int32), k < index))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], names=names)
+
+    return run
+
+
 def _pairs_where(test: Callable) -> Callable:
     """(a, b, x, y) → the pairs (a, b) whose x and y pass."""
 
@@ -80,18 +132,11 @@ def _pairs_where(test: Callable) -> Callable:
     return run
 
 
-def promising(similarity: float) -> Callable:
-    """Signatures that agree as often as sets of this similarity do, less four
-    standard deviations (a true link is lost with probability 0.00003)."""
-    least = similarity * BANDS * ROWS - 4 * (similarity * (1 - similarity) * BANDS * ROWS) ** 0.5
-    return _pairs_where(lambda x, y: int((np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32)).sum()) >= least)
-
-
 def similar(similarity: float) -> Callable:
     """Whole sets with at least this Jaccard similarity."""
 
     def test(x, y) -> bool:
-        x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
         if min(len(x), len(y)) < similarity * max(len(x), len(y)):
             return False
         both = len(np.intersect1d(x, y, assume_unique=True))

@@ -14,7 +14,8 @@ with the square of its size.
 
 ``near_components`` is the operator for whole similarity classes: links of
 fingerprints of five-word shingles and buckets of MinHash values propose pairs,
-and every pair is checked on the whole shingle sets.
+every pair is checked on the whole shingle sets, and a prefix join compares what
+is still in different classes, so that no link between two classes is lost.
 """
 
 from __future__ import annotations
@@ -36,9 +37,9 @@ SHINGLE = 3
 #: the grid's step and the words within one bit are made for this radius
 MAX_DISTANCE = 2
 CELL = 64
-#: near_components: fingerprints beside the hub that a leftover is compared with, and rows a group of leftovers
-NEXT, GROUP = 8, 128
-BATCH_ROWS = 500
+#: near_components: documents whose shingles are counted to order all shingles, and shingles that get a place of their own
+COUNTED, COMMON = 65_536, 200_000
+BATCH_ROWS = 250
 _EVEN = 0x5555555555555555
 
 
@@ -130,14 +131,16 @@ def near_components(docs: DataFrame, shingle: int = minhash.SHINGLE, similarity:
     links of ``similarity`` or more between sets of ``shingle``-word shingles
     reach.
 
-    Nodes are the different sets.  Pairs come from fingerprints that differ in
-    two bits or fewer, and from buckets: two sets at similarity 0.8 share none
-    of the 24 with probability 0.00007.  In a bucket every set is compared with
-    the hub, the one whose buckets are fullest; what the hub's class does not
-    take in is compared, in groups of about ``GROUP``, with the group's first
-    and the ``NEXT`` sets in order.  So pairs grow with the rows of a bucket;
-    a link between two leftovers of a large bucket that are neither the hub's
-    nor near in order can be missed.
+    Nodes are the different sets.  Fingerprints that differ in two bits or fewer
+    propose pairs, and so do buckets, in which every set is compared with the
+    hub, the one whose buckets are fullest.  That joins most near copies to
+    classes.  Every link between two classes is then found by a prefix join
+    (``minhash.prefixes``) of the sets that are not of the same class.  Its order
+    of the shingles has those last that are common in ``COUNTED`` documents;
+    any order gives the same result, this one small groups.  A group's largest
+    class is not compared with itself; sizes, places, 1,024 bits of parity and the
+    number of shared places drop pairs that cannot reach the similarity; the
+    whole sets decide.
 
     Null texts count as empty, a component of only null ids has a null
     component_id, rows that repeat are returned as often as they come, texts of
@@ -147,13 +150,14 @@ def near_components(docs: DataFrame, shingle: int = minhash.SHINGLE, similarity:
     spark, folder = docs.sparkSession, new_folder(docs.sparkSession, "near")
     own = small_batches(spark, BATCH_ROWS)  # sets of long texts are large
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    kept = {"rows": minhash.SIGNED, "nodes": "node long, first_id long, fp long", "met": "node long, bucket long, n long", "hubs": "bucket long, hub long", "sets": "node long, sig binary, shingles binary"}
+    sketch = ", ".join(f"{b} long" for b in minhash.SKETCH)
+    kept = {"rows": minhash.SIGNED, "nodes": f"node long, first_id long, fp long, size int, {sketch}", "met": "node long, bucket long, n long", "hubs": "bucket long, hub long", "shared": minhash.PREFIX, "live": f"{minhash.PREFIX}, c long, main long, {sketch}"}
 
     def read(name: str, kind: str | None = None, session=spark) -> DataFrame:
         return session.read.schema(kind or kept[name]).parquet(f"{folder}/{name}")
 
     written(texts.mapInArrow(minhash.sign(shingle), minhash.SIGNED), folder, "rows")
-    written(read("rows").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("fp").alias("fp")), folder, "nodes")
+    written(read("rows").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("fp").alias("fp"), *(F.first(c).alias(c) for c in ("size", *minhash.SKETCH))), folder, "nodes")
     placed = read("rows").select("node", F.explode("buckets").alias("bucket")).distinct()
     counted = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     written(placed.join(counted.hint("merge"), "bucket").select("node", "bucket", "n"), folder, "met")
@@ -165,38 +169,57 @@ def near_components(docs: DataFrame, shingle: int = minhash.SHINGLE, similarity:
     fp_pairs = link_edges(of_fp.select("fp")).join(of_fp.select(F.col("fp").alias("a"), F.col("rep").alias("x")), "a").join(of_fp.select(F.col("fp").alias("b"), F.col("rep").alias("y")), "b").select("x", "y")
     pairs = met.join(read("hubs").hint("merge"), "bucket").select(F.col("node").alias("x"), F.col("hub").alias("y"))
     pairs = pairs.union(fp_pairs).union(read("nodes").join(of_fp, "fp").select(F.col("node").alias("x"), F.col("rep").alias("y")))
-
-    def ordered(p: DataFrame) -> DataFrame:
-        return p.filter("x != y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-
     edge = "a long, b long"
-    written(ordered(pairs), folder, "pairs")
-    asked = met.select("node").union(read("pairs", edge).select("a")).union(read("pairs", edge).select("b")).distinct()
-    one = read("rows").join(asked.hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("sig").alias("sig"), F.first("shingles").alias("shingles"))
-    written(one, folder, "sets")
 
-    def checked(name: str) -> DataFrame:
-        """The pairs of table ``name`` that hold; signatures, small, go first."""
-        for column, test, out in (("sig", minhash.promising(similarity), f"{name}-close"), ("shingles", minhash.similar(similarity), f"{name}-links")):
-            sets = read("sets", session=own)
-            whole = read(name, edge, own).join(sets.select(F.col("node").alias("a"), F.col(column).alias("x")).hint("merge"), "a").join(sets.select(F.col("node").alias("b"), F.col(column).alias("y")).hint("merge"), "b")
-            written(whole.select("a", "b", "x", "y").mapInArrow(test, edge), folder, out)
-            name = out
-        return read(name, edge)
+    def possible() -> Column:
+        """The sketches of sets x and y differ in no more bits than the sets may in shingles."""
+        differing = sum(F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in minhash.SKETCH)
+        return differing * (1 + similarity) <= (F.col("x.size") + F.col("y.size")) * (1 - similarity) + 1e-6
 
+    def checked(name: str) -> DataFrame:
+        """The pairs of table ``name`` whose whole sets are similar."""
+        asked = read(name, edge).select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        one = read("rows").join(asked, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+        written(one, folder, f"{name}-sets")
+        sets = read(f"{name}-sets", "node long, shingles binary", own)
+        whole = read(name, edge, own).join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b")
+        written(whole.select("a", "b", "x", "y").mapInArrow(minhash.similar(similarity), edge), folder, f"{name}-links")
+        drop(spark, f"{folder}/{name}-sets")
+        return read(f"{name}-links", edge)
+
+    nodes = read("nodes").drop("first_id", "fp")
+    pairs = pairs.filter("x != y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    pairs = pairs.join(nodes.alias("x").hint("merge"), F.col("a") == F.col("x.node")).join(nodes.alias("y").hint("merge"), F.col("b") == F.col("y.node"))
+    written(pairs.filter(possible()).select("a", "b"), folder, "pairs")
     links = checked("pairs")
     member = components(links)
-    named = met.join(member, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("c"))
-    hubs = read("hubs").join(member.withColumnRenamed("node", "hub"), "hub", "left").select("bucket", F.coalesce("component", "hub").alias("hub_c"))
-    left = named.join(hubs.hint("merge"), "bucket").filter("c != hub_c")
-    left = left.withColumn("deal", F.pmod(F.xxhash64(F.lit(1), "node"), F.floor(F.col("n") / GROUP) + 1))
-    in_order = Window.partitionBy("bucket", "deal").orderBy("node")
-    other = F.struct("node", "c")
-    others = F.array(F.first(other).over(in_order), *(F.lead(other, k).over(in_order) for k in range(1, NEXT + 1)))
-    more = left.select("node", "c", others.alias("os")).select("node", "c", F.explode("os").alias("o")).filter("o is not null and o.c != c")
-    more = ordered(more.select(F.col("node").alias("x"), F.col("o.node").alias("y")))
-    written(more.join(read("pairs", edge).hint("merge"), ["a", "b"], "left_anti"), folder, "more")
+
+    share = COUNTED / max(read("rows").count(), COUNTED)
+    some = read("rows", session=own).filter(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < share * (1 << 20)).select("shingles")
+    often = some.mapInArrow(minhash.tokens, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
+    written(often.orderBy(F.desc("n"), "token").limit(COMMON), folder, "often")
+    often = read("often", "token long, n long").toArrow().sort_by([("n", "descending"), ("token", "ascending")])
+    often = often.column("token").to_numpy().view(np.uint64)
+    by_token = np.argsort(often)
+    common = spark.sparkContext.broadcast((often[by_token], len(often) - by_token))
+    firsts = read("rows", session=own).select("node", "shingles").mapInArrow(minhash.prefixes(similarity, common), minhash.PREFIX)
+    together = Window.partitionBy("token")
+    firsts = firsts.select("*", F.min("node").over(together).alias("lo"), F.max("node").over(together).alias("hi"))
+    written(firsts.filter("lo != hi").drop("lo", "hi").distinct(), folder, "shared")
+    named = read("shared").join(member, "node", "left").select(*read("shared").columns, F.coalesce("component", "node").alias("c"))
+    main = named.groupBy("token", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max(F.struct("n", "c")).alias("m"), F.count(F.lit(1)).alias("k"))
+    live = named.join(main.filter("k > 1").select("token", F.col("m.c").alias("main")).hint("merge"), "token").join(nodes.drop("size").hint("merge"), "node")
+    written(live.select(*(c.split()[0] for c in kept["live"].split(", "))), folder, "live")
+    x, y = read("live").filter("c != main").alias("x"), read("live").alias("y")
+    larger = F.expr("x.size > y.size or x.size = y.size and x.node > y.node")
+    reach = (F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * similarity - 1e-6) & ((F.least("x.left", "y.left") + minhash.MEET - 1) * (1 + similarity) >= (F.col("x.size") + F.col("y.size")) * similarity - 1e-6)
+    once = F.expr("y.c = y.main or x.node > y.node")
+    overlap = F.ceil((F.col("x.size") + F.col("y.size")) * (similarity / (1 + similarity)) - 1e-6)
+    more = x.join(y.hint("merge"), (F.col("x.token") == F.col("y.token")) & (F.col("x.c") != F.col("y.c")) & once & F.when(larger, F.col("y.indexed")).otherwise(F.col("x.indexed")) & reach & possible())
+    more = more.groupBy(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"), F.least(F.lit(minhash.MEET), overlap).alias("least"))
+    written(more.agg(F.count(F.lit(1)).alias("n")).filter("n >= least").select("a", "b"), folder, "more")
     member = components(links.union(checked("more")))
+    common.destroy()
     labelled = read("nodes").join(member, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
     least = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
     labelled = labelled.join(least.hint("merge"), "component").select("node", "component_id")
