@@ -768,3 +768,28 @@ def test_near_stage_loses_no_link(spark):
                     best = [a if v == b else v for v in best]
         docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
         assert {r.doc_id: r.component_id for r in simhash.near_components(docs, similarity=similarity).collect()} == dict(enumerate(best))
+
+
+def test_near_stage_joins_classes_by_their_links_alone(spark, monkeypatch):
+    """The rounds after the prefix join see links between classes, each named by
+    its smallest node, and none of the links inside a class."""
+    seen = []
+
+    def noted(edges):
+        seen.append({tuple(sorted(e)) for e in edges.filter("a != b").select("a", "b").collect()})
+        return components.components(edges)
+
+    monkeypatch.setattr(simhash, "components", noted)
+    rng = np.random.default_rng(9)
+    texts = []
+    for _ in range(16):
+        words = [f"w{x}" for x in rng.integers(0, 10**9, 460)]
+        texts += [" ".join([*half, f"e{rng.integers(10**9)}"]) for half in (words[:300], words[100:400]) for _ in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.near_components(docs, similarity=0.48).collect()}
+    assert got == {i: i - i % 6 for i in range(len(texts))}
+    (first, second), of = seen, {}
+    for _ in range(6):
+        for a, b in first:
+            of[a] = of[b] = min(of.get(a, a), of.get(b, b))
+    assert second and all(of.get(x, x) == x for e in second for x in e)

@@ -134,7 +134,7 @@ def near_components(docs: DataFrame, shingle: int = minhash.SHINGLE, similarity:
     Nodes are the different sets.  Fingerprints that differ in two bits or fewer
     propose pairs, and so do buckets, in which every set is compared with the
     hub, the one whose buckets are fullest.  That joins most near copies to
-    classes.  Every link between two classes is then found by a prefix join
+    classes, which are written once.  Every link between two classes is then found by a prefix join
     (``minhash.prefixes``) of the sets that are not of the same class.  Its order
     of the shingles has those last that are common in ``COUNTED`` documents;
     any order gives the same result, this one small groups.  A group's largest
@@ -151,7 +151,7 @@ def near_components(docs: DataFrame, shingle: int = minhash.SHINGLE, similarity:
     own = small_batches(spark, BATCH_ROWS)  # sets of long texts are large
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = ", ".join(f"{b} long" for b in minhash.SKETCH)
-    kept = {"rows": minhash.SIGNED, "nodes": f"node long, first_id long, fp long, size int, {sketch}", "met": "node long, bucket long, n long", "hubs": "bucket long, hub long", "shared": minhash.PREFIX, "live": f"{minhash.PREFIX}, c long, main long, {sketch}"}
+    kept = {"rows": minhash.SIGNED, "nodes": f"node long, first_id long, fp long, size int, {sketch}", "met": "node long, bucket long, n long", "hubs": "bucket long, hub long", "classes": "node long, component long", "shared": minhash.PREFIX, "live": f"{minhash.PREFIX}, c long, main long, {sketch}"}
 
     def read(name: str, kind: str | None = None, session=spark) -> DataFrame:
         return session.read.schema(kind or kept[name]).parquet(f"{folder}/{name}")
@@ -191,8 +191,8 @@ def near_components(docs: DataFrame, shingle: int = minhash.SHINGLE, similarity:
     pairs = pairs.filter("x != y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
     pairs = pairs.join(nodes.alias("x").hint("merge"), F.col("a") == F.col("x.node")).join(nodes.alias("y").hint("merge"), F.col("b") == F.col("y.node"))
     written(pairs.filter(possible()).select("a", "b"), folder, "pairs")
-    links = checked("pairs")
-    member = components(links)
+    written(components(checked("pairs")), folder, "classes")
+    member = read("classes")
 
     share = COUNTED / max(read("rows").count(), COUNTED)
     some = read("rows", session=own).filter(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < share * (1 << 20)).select("shingles")
@@ -218,9 +218,12 @@ def near_components(docs: DataFrame, shingle: int = minhash.SHINGLE, similarity:
     more = x.join(y.hint("merge"), (F.col("x.token") == F.col("y.token")) & (F.col("x.c") != F.col("y.c")) & once & F.when(larger, F.col("y.indexed")).otherwise(F.col("x.indexed")) & reach & possible())
     more = more.groupBy(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"), F.least(F.lit(minhash.MEET), overlap).alias("least"))
     written(more.agg(F.count(F.lit(1)).alias("n")).filter("n >= least").select("a", "b"), folder, "more")
-    member = components(links.union(checked("more")))
+    # a link joins the classes of its ends, each known by its smallest node, so the rounds see nothing of what lies inside a class
+    ends = checked("more").join(member.toDF("a", "p").hint("merge"), "a", "left").join(member.toDF("b", "q").hint("merge"), "b", "left")
+    joined = components(ends.select(F.coalesce("p", "a").alias("a"), F.coalesce("q", "b").alias("b"))).toDF("c", "whole")
     common.destroy()
-    labelled = read("nodes").join(member, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
+    labelled = read("nodes").join(member, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("c"))
+    labelled = labelled.join(joined, "c", "left").select("node", "first_id", F.coalesce("whole", "c").alias("component"))
     least = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
     labelled = labelled.join(least.hint("merge"), "component").select("node", "component_id")
     out = materialise(read("rows").select("doc_id", "node").join(labelled.hint("merge"), "node").select("doc_id", "component_id"))
