@@ -793,3 +793,15 @@ def test_near_stage_joins_classes_by_their_links_alone(spark, monkeypatch):
         for a, b in first:
             of[a] = of[b] = min(of.get(a, a), of.get(b, b))
     assert second and all(of.get(x, x) == x for e in second for x in e)
+
+
+def test_nothing_that_grows_with_the_fingerprints_is_broadcast(spark, monkeypatch):
+    """However small Spark takes the cells for, which are many a fingerprint."""
+    plans = []
+    keep = simhash.materialise
+    monkeypatch.setattr(simhash, "materialise", lambda df: plans.append(df) or keep(df))
+    docs = spark.createDataFrame([(i, f"word{i % 7} and {i} more words of text number {i % 5}") for i in range(60)], "doc_id long, text string")
+    plans.append(simhash.simhash_components(docs))
+    assert len(plans) >= 3
+    for df in plans:
+        assert "Broadcast" not in df._jdf.queryExecution().sparkPlan().toString()

@@ -99,7 +99,8 @@ def link_edges(fps: DataFrame) -> DataFrame:
     fps = fps.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # few bytes, but each row makes many
     placed = fps.select("fp", _embedding(F.col("fp")).alias("v")).select("fp", F.explode(F.expr(_CELLS)).alias("cell"))
     shared = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = materialise(placed.join(shared, "cell").select("cell", "n", "fp"))
+    # a fingerprint makes 33 to 65 rows that Spark's estimate does not count, so none of this is broadcast
+    met = materialise(placed.join(shared.hint("merge"), "cell").select("cell", "n", "fp"))
     few = met.filter(F.col("n") <= CELL).groupBy("cell").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
     direct = few.select(F.explode(_linked_in(F.col("fps"), MAX_DISTANCE)).alias("e")).select("e.a", "e.b")
     # at most 65 different fingerprints lie within one bit of a word
@@ -120,10 +121,11 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = materialise(fingerprints(docs, id_col, text_col))
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     member = components(link_edges(nodes.select("fp")))
-    labelled = nodes.join(member, nodes.fp == member.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
+    # what is joined grows with the rows, so it is never broadcast
+    labelled = nodes.join(member.hint("merge"), nodes.fp == member.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
     least = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    by_fp = labelled.join(least, "component").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    by_fp = labelled.join(least.hint("merge"), "component").select("fp", "component_id")
+    return rows.join(by_fp.hint("merge"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def near_components(docs: DataFrame, shingle: int = minhash.SHINGLE, similarity: float = minhash.SIMILARITY) -> DataFrame:
