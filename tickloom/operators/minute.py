@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.scalars import safe_div
+from tickloom.functions.scalars import quotient, safe_div
 from tickloom.operators import book as B
 
 
@@ -19,7 +19,7 @@ def quote_columns(df: DataFrame) -> DataFrame:
     """mid, spread_bps, top notional and the microprice's offset in bps."""
     mid = (F.col("bid") + F.col("ask")) / 2
     micro = B.microprice(F.col("bid"), F.col("bid_size"), F.col("ask"), F.col("ask_size"))
-    return df.withColumns({"mid": mid, "spread_bps": (F.col("ask") - F.col("bid")) / mid * 1e4, "top_notional": F.col("bid") * F.col("bid_size") + F.col("ask") * F.col("ask_size"), "micro_bps": (micro - mid) / mid * 1e4})
+    return df.withColumns({"mid": mid, "spread_bps": quotient(F.col("ask") - F.col("bid"), mid) * 1e4, "top_notional": F.col("bid") * F.col("bid_size") + F.col("ask") * F.col("ask_size"), "micro_bps": quotient(micro - mid, mid) * 1e4})
 
 
 def book_ticker_state(quotes: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -86,5 +86,5 @@ def basket_return(returns: DataFrame, weights: DataFrame, by: Sequence[str], sym
     where no present symbol has a weight."""
     # the weights, one row a symbol, join by key
     x = returns.filter(F.col(ret).isNotNull()).join(weights, symbol, "left")
-    weighted = safe_div(F.sum(F.col(ret) * F.col("weight")), F.sum(F.when(F.col("weight").isNotNull(), F.col("weight"))))
+    weighted = quotient(F.sum(F.col(ret) * F.col("weight")), F.nullif(F.sum("weight"), F.lit(0.0)))
     return x.groupBy(*by).agg(weighted.alias("weighted"), F.avg(ret).alias("equal"), F.count(F.lit(1)).alias("symbols")).withColumn("basket", F.coalesce("weighted", "equal"))
