@@ -13,6 +13,7 @@ from tickloom.plans import fits, market, measures, quality, sourced, state, stud
 SF = "/root/testdata/sf0.001"
 NAMES = [
     "agg_09_minute_book",
+    "agg_18_basket",
 ]
 
 

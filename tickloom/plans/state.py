@@ -152,7 +152,7 @@ def agg_17_with_total(spark, d):
  SELECT hour, round(sum(ret * weight) / NULLIF(sum(weight), 0), 9) AS weighted, round(avg(ret), 9) AS equal, count(*) AS symbols, round(coalesce(sum(ret * weight) / NULLIF(sum(weight), 0), avg(ret)), 9) AS basket FROM x LEFT JOIN w USING (symbol) WHERE ret IS NOT NULL GROUP BY hour""")
 def agg_18_basket(spark, d):
     at = F.struct("ts_us", "event_id")
-    x = ticks(spark, d).groupBy("symbol", M.bucket("ts_us", 3_600_000_000).alias("hour")).agg(F.log(F.max_by("price", at) / F.min_by("price", at)).alias("ret"))
+    x = ticks(spark, d).groupBy("symbol", M.bucket("ts_us", 3_600_000_000).alias("hour")).agg(S.natural_log(S.quotient(F.max_by("price", at), F.min_by("price", at))).alias("ret"))
     w = scan(spark, d, "customer").filter("c_acctbal > 5000").select(F.col("c_custkey").alias("symbol"), F.col("c_acctbal").alias("weight"))
     return rounded(M.basket_return(x, w, ["hour"], "symbol", "ret"), ["hour"], 9)
 
