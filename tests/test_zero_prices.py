@@ -14,6 +14,7 @@ SF = "/root/testdata/sf0.001"
 NAMES = [
     "agg_09_minute_book",
     "agg_18_basket",
+    "flt_12_wide_spread",
 ]
 
 
