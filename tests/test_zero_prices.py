@@ -15,6 +15,7 @@ NAMES = [
     "agg_09_minute_book",
     "agg_18_basket",
     "flt_12_wide_spread",
+    "grd_09_top_of_book",
 ]
 
 
