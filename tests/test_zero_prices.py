@@ -16,6 +16,7 @@ NAMES = [
     "agg_18_basket",
     "flt_12_wide_spread",
     "grd_09_top_of_book",
+    "joi_12_cross_venue",
 ]
 
 

@@ -89,7 +89,7 @@ def joi_11_lagged_equi(spark, d):
 def joi_12_cross_venue(spark, d):
     h = _hours(spark, d)
     b = h.select("symbol", "hour", F.col("kind").alias("other"), F.col("price").alias("p2"), F.col("n").alias("n2"))
-    return h.join(b, ["symbol", "hour"]).filter("kind <> other").select("symbol", "hour", "kind", "other", r(F.col("price") / F.col("p2") - 1, "basis", 9), r(F.col("n") / F.col("n2"), "activity_ratio", 9))
+    return h.join(b, ["symbol", "hour"]).filter("kind <> other").select("symbol", "hour", "kind", "other", r(S.quotient(F.col("price"), F.col("p2")) - 1, "basis", 9), r(F.col("n") / F.col("n2"), "activity_ratio", 9))
 
 
 @query(f"{_DAILY} SELECT f.pool, f.dn, round(f.vwap, 6) AS vwap, round(l.vwap, 6) AS leader_vwap FROM daily f JOIN daily l ON l.dn = f.dn AND l.pool = 0 WHERE f.pool <> 0")
@@ -169,7 +169,7 @@ def grd_14_non_overlap(spark, d):
 @query(f"{TK} SELECT a.event_id, round(10000 * ln(lead(a.price, 3) OVER w / a.price), 4) AS fwd_rows, round(10000 * ln(a.price / lag(a.price, 3) OVER w), 4) AS past_rows, round(10000 * ln(b.price / a.price), 4) AS fwd_clock FROM (SELECT *, ts_us + {24 * HOUR} AS later FROM ticks) a ASOF LEFT JOIN ticks b ON a.symbol = b.symbol AND a.later <= b.ts_us WINDOW w AS (PARTITION BY a.symbol ORDER BY a.ts_us, a.event_id)")
 def lbl_03_two_clocks(spark, d):
     t = ticks(spark, d).select("event_id", "symbol", "ts_us", "price")
-    bps = lambda a, b: F.log(S.safe_div(a, b)) * 10_000
+    bps = lambda a, b: S.natural_log(S.quotient(a, b)) * 10_000
     p = F.col("price")
     x = t.select("*", r(bps(F.lead("price", 3).over(_tick()), p), "fwd_rows", 4), r(bps(p, F.lag("price", 3).over(_tick())), "past_rows", 4)).withColumn("ts_us", F.col("ts_us") + 24 * HOUR)
     y = J.asof_join(x, t.withColumnRenamed("price", "later"), "ts_us", ["symbol"], ["later"], forward=True)
