@@ -17,6 +17,7 @@ NAMES = [
     "flt_12_wide_spread",
     "grd_09_top_of_book",
     "joi_12_cross_venue",
+    "lbl_09_high_low_barrier",
 ]
 
 

@@ -191,7 +191,7 @@ def _bar():
  SELECT symbol, b, CASE WHEN up IS NOT NULL AND up = dn THEN 'both_or_ambiguous' WHEN up IS NOT NULL AND (dn IS NULL OR up < dn) THEN 'up' WHEN dn IS NOT NULL THEN 'down' WHEN coalesce(m, 0) < 8 THEN 'future_missing' ELSE 'none' END AS label, round(ret, 6) AS ret, round(mfe, 6) AS mfe, round(mae, 6) AS mae FROM y""")
 def lbl_09_high_low_barrier(spark, d):
     x = _bars(spark, d).withColumn("path", P.ahead(F.struct("hi", "lo", "c"), _bar(), 8))
-    against = lambda v: v / F.col("c") - 1
+    against = lambda v: S.quotient(v, F.col("c")) - 1
     return ME.triple_barrier(x, lambda p: p["hi"] >= F.col("c") * 1.5, lambda p: p["lo"] <= F.col("c") * 0.5, 8).select("symbol", "b", "label", r(against(F.get("path", F.lit(7))["c"]), "ret"), r(against(F.array_max("path.hi")), "mfe"), r(against(F.array_min("path.lo")), "mae"))
 
 
@@ -246,7 +246,7 @@ def lbl_17_bar_exit(spark, d):
 def lbl_18_conditional_entry(spark, d):
     """Bars from a signal to the first that meets each rule, within six."""
     x, c = _bars(spark, d).withColumn("path", P.ahead(F.col("c"), _bar(), 6)), F.col("c")
-    rules = {"pullback": lambda p: p <= c * 0.9, "breakout": lambda p: p >= c * 1.1, "retest": lambda p: F.abs(p / c - 1) <= 0.05}
+    rules = {"pullback": lambda p: p <= c * 0.9, "breakout": lambda p: p >= c * 1.1, "retest": lambda p: F.abs(S.quotient(p, c) - 1) <= 0.05}
     return x.select("symbol", "b", *(P.first_hit(F.col("path"), f).cast("long").alias(n) for n, f in rules.items()))
 
 
