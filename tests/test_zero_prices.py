@@ -18,6 +18,7 @@ NAMES = [
     "grd_09_top_of_book",
     "joi_12_cross_venue",
     "lbl_09_high_low_barrier",
+    "lbl_18_conditional_entry",
 ]
 
 
