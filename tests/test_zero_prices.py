@@ -19,6 +19,7 @@ NAMES = [
     "joi_12_cross_venue",
     "lbl_09_high_low_barrier",
     "lbl_18_conditional_entry",
+    "qlt_09_longest_unchanged",
 ]
 
 

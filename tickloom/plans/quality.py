@@ -136,7 +136,7 @@ def qlt_08_invariants(spark, d):
 def qlt_09_longest_unchanged(spark, d):
     q = M.quote_columns(quotes(spark, d)).withColumn("dt", M.bucket("ts_us", DAY)).withColumn("traded", F.col("event_id") % 5 < 2)
     w = Window.partitionBy("dt").orderBy("ts_us", "event_id")
-    q = q.withColumns({"level": F.floor("bid"), "gap": (F.col("ts_us") - F.lag("ts_us").over(w)) / 1e6, "before": F.lag("mid").over(w), "target": F.lead("mid").over(w) / F.col("mid") - 1})
+    q = q.withColumns({"level": F.floor("bid"), "gap": (F.col("ts_us") - F.lag("ts_us").over(w)) / 1e6, "before": F.lag("mid").over(w), "target": S.quotient(F.lead("mid").over(w), F.col("mid")) - 1})
     rate = lambda c: F.avg(c.cast("int"))
     a = q.groupBy("dt").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("mid").alias("mids"), F.count_distinct("bid", "ask").alias("pairs"), r(rate(F.col("mid") != F.col("before")), "change_rate"), r(rate(F.col("traded")), "trade_rate"),
