@@ -20,6 +20,7 @@ NAMES = [
     "lbl_09_high_low_barrier",
     "lbl_18_conditional_entry",
     "qlt_09_longest_unchanged",
+    "win_21_transitions",
 ]
 
 
