@@ -21,6 +21,7 @@ NAMES = [
     "lbl_18_conditional_entry",
     "qlt_09_longest_unchanged",
     "win_21_transitions",
+    "lbl_03_two_clocks",
 ]
 
 
