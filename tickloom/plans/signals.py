@@ -10,6 +10,7 @@ from tickloom.functions import scalars as S
 from tickloom.operators import factors as FA
 from tickloom.operators import joins as J
 from tickloom.operators import paths as P
+from tickloom.operators import walk as WF
 from tickloom.operators import windows as W
 from tickloom.plans.market import _DAILY, _X, ORD, SW, TK, TORD, _event, _flagged, _panel, _tick, daily, n, query, r
 from tickloom.sources.tables import micros, scan, swaps, ticks
@@ -230,8 +231,10 @@ def ctl_12_cost_stress(spark, d):
     net, up = F.col("g") - F.col("cost"), F.col("g") > F.col("cost")
     share = F.avg(up.cast("double"))
     edge = share * F.coalesce(F.avg(F.when(up, net)), F.lit(0.0)) - (1 - share) * F.coalesce(F.avg(F.when(~up, -net)), F.lit(0.0))
-    tail = FA.expected_shortfall(x.withColumn("net", net), "net", ["cost"], 0.05).select("cost", r("tail_mean", "tail_mean", 4))
-    return x.groupBy("cost").agg(r(edge, "edge", 4), r(F.avg(net), "mean", 4), r(F.percentile(net, 0.5), "median", 4), r(F.avg(up.cast("double")), "above", 9), r(F.avg(F.when(up, net)), "excess", 4), r(F.avg(F.when(~up, -net)), "shortfall", 4)).join(tail, "cost")
+    # a cost moves all rows alike, so their order and its points are found once
+    order = WF.points(_panel(spark, d).filter("fwd is not null and direction != 'unknown'").select((_side() * F.col("fwd") * 1e4).alias("x")), [], {"median": 0.5}, {"tail_mean": 0.05}, few=True)
+    tail = order.select(F.explode(F.array(*map(F.lit, (0, 10, 100)))).alias("cost"), "*").select("cost", *(r(F.col(c) - F.col("cost"), c, 4) for c in ("median", "tail_mean")))
+    return x.groupBy("cost").agg(r(edge, "edge", 4), r(F.avg(net), "mean", 4), r(F.avg(up.cast("double")), "above", 9), r(F.avg(F.when(up, net)), "excess", 4), r(F.avg(F.when(~up, -net)), "shortfall", 4)).join(tail, "cost")
 
 
 # -- portfolio ---------------------------------------------------------------
@@ -301,8 +304,8 @@ def pf_15_adverse_excursions(spark, d):
     x = swaps(spark, d).select((S.safe_div(F.min("price").over(W.rows(_event(), 1, 10)), F.col("price")) - 1).alias("mae"), (S.safe_div(F.lead("price", 10).over(_event()), F.col("price")) - 1).alias("net"))
     x = x.filter("net is not null").withColumn("level", F.explode(F.array(*map(F.lit, (0.1, 0.2, 0.4)))))
     hit = F.col("mae") <= -F.col("level")
-    worst = FA.expected_shortfall(x.filter(hit), "net", ["level"], 0.05).select("level", r("tail_mean", "tail_mean", 9))
-    return x.groupBy("level").agg(r(F.percentile(F.when(hit, F.col("net")), 0.5), "median", 9), r(F.avg(hit.cast("double")), "reached", 9), r(F.avg(F.when(hit, F.col("net"))), "mean", 9), r(F.avg(F.when(hit, (F.col("net") > 0).cast("double"))), "recovered", 9)).join(worst, "level", "left")
+    worst = WF.points(x.filter(hit).select("level", F.col("net").alias("x")), ["level"], {"median": 0.5}, {"tail_mean": 0.05}, few=True).select("level", r("median", "median", 9), r("tail_mean", "tail_mean", 9))
+    return x.groupBy("level").agg(r(F.avg(hit.cast("double")), "reached", 9), r(F.avg(F.when(hit, F.col("net"))), "mean", 9), r(F.avg(F.when(hit, (F.col("net") > 0).cast("double"))), "recovered", 9)).join(worst, "level", "left")
 
 
 # -- order and sets ----------------------------------------------------------
