@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import safe_div
 from tickloom.operators.paths import first_hit
+from tickloom.operators.walk import points
 
 
 def capped_run(df: DataFrame, by: Sequence[str], order: Sequence[str], flag: str, broken: str, cap: int) -> DataFrame:
@@ -38,14 +39,17 @@ def rolling_pair_correlation(df: DataFrame, symbol: str, at: str, value: str, wi
 
 def prior_cuts(df: DataFrame, period: str, value: str, shares: Sequence[float], least: int) -> DataFrame:
     """bucket of each row among edges from all rows of earlier periods, or of
-    the whole sample where those are fewer than ``least``.  Edges come from
-    counts of values by period, each period's counts going to the later ones."""
-    counts = df.groupBy(period, value).agg(F.count(F.lit(1)).alias("n"))
-    periods = df.select(F.col(period).alias("later")).distinct()  # one row a period
-    prior = counts.join(F.broadcast(periods), F.col(period) < F.col("later")).groupBy("later", value).agg(F.sum("n").alias("n"))
-    edges = lambda g: g.agg(*(F.percentile(value, q, F.col("n")).alias(f"q{k}") for k, q in enumerate(shares)), F.sum("n").alias("rows"))
-    own = edges(prior.groupBy("later")).withColumnRenamed("later", period)
-    whole = edges(df.groupBy(value).agg(F.count(F.lit(1)).alias("n")))
+    the whole sample where those are fewer than ``least``.  A value goes to
+    every later period; edges come from slices of the values (``points``), so no
+    task holds the values of a period."""
+    sizes = df.groupBy(period).agg(F.count(F.lit(1)).alias("n"))  # one row a period
+    later = sizes.select(F.col(period).alias("later"))
+    rows = sizes.join(F.broadcast(later), F.col(period) < F.col("later")).groupBy("later").agg(F.sum("n").alias("rows"))
+    at = {f"q{k}": q for k, q in enumerate(shares)}
+    x = df.select(period, F.col(value).cast("double").alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") < float("inf")))
+    prior = x.join(F.broadcast(later), F.col(period) < F.col("later")).select("later", "x")
+    own = rows.join(F.broadcast(points(prior, ["later"], at, few=True)), "later", "left").withColumnRenamed("later", period)
+    whole = points(x, [], at, few=True)
     x = df.join(F.broadcast(own), period, "left").join(F.broadcast(whole.toDF(*(f"w_{c}" for c in whole.columns))))  # a row a period, and one
     enough = F.coalesce(F.col("rows") >= least, F.lit(False))
     edge = [F.when(enough, F.col(f"q{k}")).otherwise(F.col(f"w_q{k}")) for k in range(len(shares))]
