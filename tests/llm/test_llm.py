@@ -802,6 +802,7 @@ def test_nothing_that_grows_with_the_fingerprints_is_broadcast(spark, monkeypatc
     monkeypatch.setattr(simhash, "materialise", lambda df: plans.append(df) or keep(df))
     docs = spark.createDataFrame([(i, f"word{i % 7} and {i} more words of text number {i % 5}") for i in range(60)], "doc_id long, text string")
     plans.append(simhash.simhash_components(docs))
-    assert len(plans) >= 3
+    plans.append(simhash.keep_one(docs.withColumn("source", F.lit("a"))))
+    assert len(plans) >= 5
     for df in plans:
         assert "Broadcast" not in df._jdf.queryExecution().sparkPlan().toString()

@@ -168,9 +168,9 @@ def near_components(docs: DataFrame, shingle: int = minhash.SHINGLE, similarity:
     heaviest = met.join(weight.hint("merge"), "node").groupBy("bucket").agg(F.max(F.struct("w", "node")).alias("m"))
     written(heaviest.select("bucket", F.col("m.node").alias("hub")), folder, "hubs")
     of_fp = read("nodes").groupBy("fp").agg(F.min("node").alias("rep"))
-    fp_pairs = link_edges(of_fp.select("fp")).join(of_fp.select(F.col("fp").alias("a"), F.col("rep").alias("x")), "a").join(of_fp.select(F.col("fp").alias("b"), F.col("rep").alias("y")), "b").select("x", "y")
+    fp_pairs = link_edges(of_fp.select("fp")).join(of_fp.select(F.col("fp").alias("a"), F.col("rep").alias("x")).hint("merge"), "a").join(of_fp.select(F.col("fp").alias("b"), F.col("rep").alias("y")).hint("merge"), "b").select("x", "y")
     pairs = met.join(read("hubs").hint("merge"), "bucket").select(F.col("node").alias("x"), F.col("hub").alias("y"))
-    pairs = pairs.union(fp_pairs).union(read("nodes").join(of_fp, "fp").select(F.col("node").alias("x"), F.col("rep").alias("y")))
+    pairs = pairs.union(fp_pairs).union(read("nodes").join(of_fp.hint("merge"), "fp").select(F.col("node").alias("x"), F.col("rep").alias("y")))
     edge = "a long, b long"
 
     def possible() -> Column:
@@ -181,7 +181,7 @@ def near_components(docs: DataFrame, shingle: int = minhash.SHINGLE, similarity:
     def checked(name: str) -> DataFrame:
         """The pairs of table ``name`` whose whole sets are similar."""
         asked = read(name, edge).select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        one = read("rows").join(asked, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+        one = read("rows").join(asked.hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
         written(one, folder, f"{name}-sets")
         sets = read(f"{name}-sets", "node long, shingles binary", own)
         whole = read(name, edge, own).join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b")
@@ -208,7 +208,7 @@ def near_components(docs: DataFrame, shingle: int = minhash.SHINGLE, similarity:
     together = Window.partitionBy("token")
     firsts = firsts.select("*", F.min("node").over(together).alias("lo"), F.max("node").over(together).alias("hi"))
     written(firsts.filter("lo != hi").drop("lo", "hi").distinct(), folder, "shared")
-    named = read("shared").join(member, "node", "left").select(*read("shared").columns, F.coalesce("component", "node").alias("c"))
+    named = read("shared").join(member.hint("merge"), "node", "left").select(*read("shared").columns, F.coalesce("component", "node").alias("c"))
     main = named.groupBy("token", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max(F.struct("n", "c")).alias("m"), F.count(F.lit(1)).alias("k"))
     live = named.join(main.filter("k > 1").select("token", F.col("m.c").alias("main")).hint("merge"), "token").join(nodes.drop("size").hint("merge"), "node")
     written(live.select(*(c.split()[0] for c in kept["live"].split(", "))), folder, "live")
@@ -224,8 +224,8 @@ def near_components(docs: DataFrame, shingle: int = minhash.SHINGLE, similarity:
     ends = checked("more").join(member.toDF("a", "p").hint("merge"), "a", "left").join(member.toDF("b", "q").hint("merge"), "b", "left")
     joined = components(ends.select(F.coalesce("p", "a").alias("a"), F.coalesce("q", "b").alias("b"))).toDF("c", "whole")
     common.destroy()
-    labelled = read("nodes").join(member, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("c"))
-    labelled = labelled.join(joined, "c", "left").select("node", "first_id", F.coalesce("whole", "c").alias("component"))
+    labelled = read("nodes").join(member.hint("merge"), "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("c"))
+    labelled = labelled.join(joined.hint("merge"), "c", "left").select("node", "first_id", F.coalesce("whole", "c").alias("component"))
     least = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
     labelled = labelled.join(least.hint("merge"), "component").select("node", "component_id")
     out = materialise(read("rows").select("doc_id", "node").join(labelled.hint("merge"), "node").select("doc_id", "component_id"))
@@ -238,4 +238,4 @@ def keep_one(docs: DataFrame, **kw) -> DataFrame:
     rows that repeat that id stay with it."""
     key = own_name(docs, "near_id")
     stay = near_components(docs, **kw).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay[key]), "left_semi")
+    return docs.join(stay.hint("merge"), docs["doc_id"].eqNullSafe(stay[key]), "left_semi")
